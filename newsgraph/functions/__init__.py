@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,12 +45,18 @@ def webpage_id(article_id: Column, url_hash: Column) -> Column:
     return F.concat_ws("_", article_id, url_hash)
 
 
+# Where percent-encoding of IRIs differs from form encoding.
+_IRI_FIXES = (("+", "%20"), ("%2F", "/"), ("%7E", "~"), ("*", "%2A"))
+
+
 def iri_quote(col: Column) -> Column:
     """Percent-encoding that keeps letters, digits and ``_.-~/`` and encodes everything else."""
-    quoted = F.url_encode(col)
-    for found, wanted in (("+", "%20"), ("%2F", "/"), ("%7E", "~"), ("*", "%2A")):
-        quoted = F.replace(quoted, F.lit(found), F.lit(wanted))
-    return quoted
+    return reduce(lambda q, fix: F.replace(q, F.lit(fix[0]), F.lit(fix[1])), _IRI_FIXES, F.url_encode(col))
+
+
+def iri_quote_sql(text: str) -> str:
+    """``iri_quote`` as SQL text, for expressions that are built as text."""
+    return reduce(lambda q, fix: f"replace({q}, '{fix[0]}', '{fix[1]}')", _IRI_FIXES, f"url_encode({text})")
 
 
 def guess_type(col: Column, guess_datetime: bool = False) -> Column:

@@ -61,9 +61,11 @@ def rule_entities(
 
 def _phrases(n: int) -> Column:
     """All sequences of ``n`` neighbouring words of the array ``words``."""
-    last = F.size("words") - (n - 1)
-    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice("words", i, F.lit(n)), " "))
+    if n == 1:
+        return F.col("words")
+    last_words = F.slice("words", F.lit(n), F.size("words"))
+    pairs = F.zip_with(_phrases(n - 1), last_words, lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.filter(pairs, lambda phrase: phrase.isNotNull())
 
 
 def gazetteer_entities(
@@ -76,9 +78,9 @@ def gazetteer_entities(
     and otherwise joins by shuffle, where the adaptive skew join splits very common words.
     """
     words = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
-    phrases = [_phrases(n) for n in range(2, max_words + 1)]
+    phrases = [_phrases(n) for n in range(1, max_words + 1)]
     rows = input_fields(df, fields).withColumn("words", words).where(F.size("words") > 0)
-    candidates = F.array_distinct(F.concat(F.col("words"), *phrases))
+    candidates = F.array_distinct(F.concat(*phrases))
     place = ["article_id", "url_hash", "source_column", "publication_date"]
     tokens = rows.select(*place, F.explode(candidates).alias("_term"))
     terms = gazetteer.select(F.lower("entity").alias("_term"), "entity", "entity_label").distinct()

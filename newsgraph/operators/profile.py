@@ -109,16 +109,14 @@ def _describe_texts(df: DataFrame, columns: list[str]) -> DataFrame:
 
     hashed = long(lambda c: F.sha2(F.col(c), 256))
     counts = hashed.groupBy("column", "value").agg(F.count("value").alias("n"))
+    first = F.min_by("value", F.struct(-F.col("n"), F.col("value")))
     per_column = counts.groupBy("column").agg(
         F.sum("n").alias("count"),
         F.count("value").alias("unique"),
         F.max(F.when(F.col("value").isNotNull(), F.col("n"))).alias("freq"),
+        first.alias("value"),
     )
-    tops = (
-        counts.join(per_column.select("column", F.col("freq").alias("n")), ["column", "n"])
-        .groupBy("column")
-        .agg(F.min("value").alias("value"))
-    )
+    tops = per_column.select("column", "value")
     # One row per column of the table, so its size is bounded by the schema.
     named = (
         long(F.col)

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsgraph.functions import XSD, iri_quote
+from newsgraph.functions import XSD, iri_quote_sql
 from newsgraph.schema import TRIPLE_COLUMNS, TRIPLE_SCHEMA, TRIPLE_TYPE
 
 DEFAULT_NS = "https://newsgraph.example/ns#"
@@ -135,63 +135,71 @@ def ontology_usage(declared: DataFrame, triples: DataFrame) -> DataFrame:
     return joined.select("s", "p", "o", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_uses"))
 
 
-def node(ns: str, value: Column, quote: bool = True) -> Column:
+# Expressions of the graph builders are SQL text: a graph has hundreds of small ones, and one parse of the text is
+# much cheaper than a call into the JVM for each of them.
+
+
+def text(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def node(ns: str, value: str, quote: bool = True) -> str:
     """IRI of a value under the namespace; hex digests need no quoting."""
-    return F.concat(F.lit(ns), iri_quote(value) if quote else value)
+    return f"concat({text(ns)}, {iri_quote_sql(value) if quote else value})"
 
 
-def blank_node(*parts: Column) -> Column:
+def blank_node(key: str, predicate: str) -> str:
     """A blank node label that is the same in every run."""
-    return F.concat(F.lit("_:b"), F.sha2(F.concat_ws("|", *parts), 256))
+    return f"concat('_:b', sha2(concat_ws('|', {key}, {predicate}), 256))"
 
 
-def triple(s: Column, p: str | Column, o: Column, kind: str | Column, datatype: str | Column | None = None) -> Column:
-    def as_col(value):
-        return value if isinstance(value, Column) else F.lit(value).cast("string")
+def triple(s: str, p: str, o: str, kind: str, datatype: str = "NULL") -> str:
+    """A triple struct; all parts are SQL text."""
+    values = dict(zip(TRIPLE_COLUMNS, (s, p, o, kind, f"CAST({datatype} AS STRING)")))
+    return "named_struct(" + ", ".join(f"'{name}', {value}" for name, value in values.items()) + ")"
 
-    values = [s, as_col(p), o, as_col(kind), as_col(datatype)]
-    return F.struct(*[v.alias(name) for v, name in zip(values, TRIPLE_COLUMNS)])
 
+def iri_triple(s: str, predicate: str, o: str) -> str:
+    return triple(s, text(predicate), o, "'iri'")
 
-def type_triple(s: Column, cls: str) -> Column:
-    return triple(s, RDF_TYPE, F.lit(cls), "iri")
 
+def literal_triple(s: str, predicate: str, o: str, datatype: str | None = None) -> str:
+    return triple(s, text(predicate), o, "'literal'", text(datatype) if datatype else "NULL")
 
-def label_triple(s: Column, text: Column) -> Column:
-    return triple(s, RDFS_LABEL, text, "literal")
 
+def type_triple(s: str, cls: str) -> str:
+    return iri_triple(s, RDF_TYPE, text(cls))
 
-def literal_or_blank(s: Column, p: str, value: Column, blank: Column, datatype: str | None = None) -> Column:
-    """A literal triple, or one with a blank node as object when the value is missing."""
-    missing = value.isNull()
-    return triple(
-        s,
-        p,
-        F.when(missing, blank).otherwise(value),
-        F.when(missing, "bnode").otherwise("literal"),
-        F.when(~missing, F.lit(datatype).cast("string")),
-    )
+
+def link_triple(s: str, ns: str, predicate: str, value: str, target: str, key: str) -> str:
+    """A link to the node of a value, or to a blank node when the value is missing."""
+    target = f"IF({value} IS NULL, {blank_node(key, text(predicate))}, {target})"
+    return triple(s, text(ns + predicate), target, f"IF({value} IS NULL, 'bnode', 'iri')")
 
 
-def date_triples(s: Column, ns: str, columns: dict[str, str], key: Column) -> dict[str, Column]:
+def date_facts(s: str, ns: str, key: str, columns: dict[str, str]) -> list[Fact]:
     """xsd:dateTime literals by input column; missing values become blank nodes."""
-    return {
-        column: literal_or_blank(s, ns + p, F.col(column), blank_node(key, F.lit(p)), XSD + "dateTime")
-        for column, p in columns.items()
-    }
+    facts = []
+    for column, predicate in columns.items():
+        value = f"coalesce({column}, {blank_node(key, text(predicate))})"
+        kind = f"IF({column} IS NULL, 'bnode', 'literal')"
+        datatype = f"IF({column} IS NULL, NULL, {text(XSD + 'dateTime')})"
+        facts.append(fact((key, column), triple(s, text(ns + predicate), value, kind, datatype)))
+    return facts
 
 
 @dataclass(frozen=True)
 class Fact:
-    """Triples (an array column) that depend only on the text columns ``keys``."""
+    """Triples (SQL text of an array) that depend only on the text columns ``keys``."""
 
     keys: tuple[str, ...]
-    triples: Column
+    triples: str
     required: tuple[str, ...] = ()  # the fact is skipped where one of these is NULL
 
 
-def fact(keys: tuple[str, ...], *triples: Column, required: tuple[str, ...] = ()) -> Fact:
-    return Fact(keys, F.array(*triples), required)
+def fact(keys: tuple[str, ...], *triples: str, required: tuple[str, ...] = ()) -> Fact:
+    return Fact(keys, f"array({', '.join(triples)})", required)
 
 
 @dataclass(frozen=True)
@@ -204,8 +212,8 @@ class Graph:
     label_predicate: str = RDFS_LABEL
 
 
-def _all_present(names: tuple[str, ...]) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names], F.lit(True))
+def _all_present(names: tuple[str, ...]) -> str:
+    return " AND ".join(f"{n} IS NOT NULL" for n in names) or "true"
 
 
 def graph_to_triples(df: DataFrame, graph: Graph) -> DataFrame:
@@ -218,49 +226,45 @@ def graph_to_triples(df: DataFrame, graph: Graph) -> DataFrame:
     columns = sorted({k for f in graph.facts for k in f.keys})
     classes = list(dict.fromkeys(cls for _, cls in graph.nodes if cls))
 
-    def entry(number: int, value: Column, bits: int, keys: tuple[str, ...], present: Column) -> Column:
-        values = [(F.col(c) if c in keys else F.lit(None).cast("string")).alias(c) for c in columns]
-        fields = [F.lit(number).alias("fact"), value.alias("node_value"), F.lit(bits).cast("long").alias("bits")]
-        return F.when(present, F.struct(*fields, *values))
+    def entry(number: int, value: str, bits: int, keys: tuple[str, ...], present: tuple[str, ...]) -> str:
+        fields = [f"'fact', {number}", f"'node_value', CAST({value} AS STRING)", f"'bits', {bits}L"]
+        fields += [f"'{c}', CAST({c if c in keys else 'NULL'} AS STRING)" for c in columns]
+        return f"IF({_all_present(present)}, named_struct({', '.join(fields)}), NULL)"
 
     entries = [
-        entry(-1, F.col(column), 1 << classes.index(cls) if cls else 0, (), F.col(column).isNotNull())
-        for column, cls in graph.nodes
+        entry(-1, column, 1 << classes.index(cls) if cls else 0, (), (column,)) for column, cls in graph.nodes
     ]
-    nothing = F.lit(None).cast("string")
-    entries += [entry(i, nothing, 0, f.keys, _all_present(f.required)) for i, f in enumerate(graph.facts)]
-
+    entries += [entry(i, "NULL", 0, f.keys, f.required) for i, f in enumerate(graph.facts)]
     distinct = (
-        df.select(F.inline(F.array_compact(F.array(*entries))))
+        df.selectExpr(f"inline(array_compact(array({', '.join(entries)})))")
         .groupBy("fact", "node_value", *columns)
         .agg(F.bit_or("bits").alias("bits"))
     )
-    entity = node(graph.ns, F.col("node_value"))
-    typed = [
-        F.when(F.col("bits").bitwiseAND(1 << i) != 0, type_triple(entity, graph.ns + cls))
-        for i, cls in enumerate(classes)
+    entity = node(graph.ns, "node_value")
+    described = [literal_triple(entity, graph.label_predicate, "node_value")]
+    described += [
+        f"IF(bits & {1 << i}L != 0, {type_triple(entity, graph.ns + cls)}, NULL)" for i, cls in enumerate(classes)
     ]
-    labelled = triple(entity, graph.label_predicate, F.col("node_value"), "literal")
-    described = F.array_compact(F.array(labelled, *typed))
-    expanded = F.when(F.col("fact") == -1, described)
-    for i, f in enumerate(graph.facts):
-        expanded = expanded.when(F.col("fact") == i, f.triples)
-    return distinct.select(F.inline(expanded))
+    branches = [f"WHEN -1 THEN array_compact(array({', '.join(described)}))"]
+    branches += [f"WHEN {i} THEN {f.triples}" for i, f in enumerate(graph.facts)]
+    return distinct.selectExpr(f"inline(CASE fact {' '.join(branches)} END)")
 
 
 def graph_to_array(graph: Graph) -> Column:
     """The triples of one row as an array, without a shuffle."""
-    none = F.array().cast(f"array<{TRIPLE_TYPE}>")
     parts = []
     for column, cls in graph.nodes:
-        entity = node(graph.ns, F.col(column))
-        described = [triple(entity, graph.label_predicate, F.col(column), "literal")]
+        entity = node(graph.ns, column)
+        described = [literal_triple(entity, graph.label_predicate, column)]
         if cls:
             described.append(type_triple(entity, graph.ns + cls))
-        parts.append(F.when(F.col(column).isNotNull(), F.array(*described)).otherwise(none))
-    for f in graph.facts:
-        parts.append(F.when(_all_present(f.required), f.triples).otherwise(none) if f.required else f.triples)
-    return F.array_distinct(F.concat(*parts))
+        parts.append(fact((column,), *described, required=(column,)))
+    none = f"CAST(array() AS array<{TRIPLE_TYPE}>)"
+    arrays = [
+        f"IF({_all_present(f.required)}, {f.triples}, {none})" if f.required else f.triples
+        for f in [*parts, *graph.facts]
+    ]
+    return F.expr(f"array_distinct(concat({', '.join(arrays)}))")
 
 
 def ntriples_line(s: Column, p: Column, o: Column, kind: Column, datatype: Column) -> Column:

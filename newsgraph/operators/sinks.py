@@ -44,14 +44,8 @@ def write_text(df: DataFrame, path: str, column: str = "value") -> None:
 
 
 def write_documents(documents: DataFrame, path: str) -> None:
-    """Documents in 256 folders by the first two characters of their name.
-
-    Many documents share a file; each begins with a comment line that holds its name.
-    """
-    value = F.concat(F.lit("# "), "name", F.lit("\n"), "document")
-    bucket = F.left(F.regexp_replace("name", "^NER_", ""), F.lit(2))
-    rows = documents.select(value.alias("value"), bucket.alias("bucket"))
-    rows.write.mode("overwrite").partitionBy("bucket").text(path)
+    """Documents as text, many per file and without a shuffle; each begins with a comment line that holds its name."""
+    write_text(documents.select(F.concat(F.lit("# "), "name", F.lit("\n"), "document").alias("value")), path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -22,13 +22,16 @@ from newsgraph.operators.rdf import (
     Fact,
     Graph,
     blank_node,
-    date_triples,
+    date_facts,
     document_text,
     fact,
     graph_to_array,
     graph_to_triples,
-    label_triple,
+    iri_triple,
+    link_triple,
+    literal_triple,
     node,
+    text,
     triple,
     type_triple,
 )
@@ -56,30 +59,28 @@ def _article_values(df: DataFrame, *extra: Column) -> DataFrame:
 
 
 def article_graph(ns: str = DEFAULT_NS, author_predicate: str = "authored_by") -> Graph:
-    page = F.col("webpage")
-    pub = node(ns, page, quote=False)
+    pub = node(ns, "webpage", quote=False)
     facts = [
         fact(
             ("webpage",),
             type_triple(pub, ns + "publication"),
-            label_triple(pub, page),
-            triple(pub, ns + "turtleFile", sha256_hex(page), "literal", XSD + "string"),
+            literal_triple(pub, RDFS_LABEL, "webpage"),
+            literal_triple(pub, ns + "turtleFile", "sha2(webpage, 256)", XSD + "string"),
         )
     ]
     for column, cls, predicate, is_digest in LINKED_VALUES:
         if column == "author_hash":
             predicate = author_predicate
-        value = F.col(column)
-        linked = F.array(triple(pub, ns + predicate, node(ns, value, quote=not is_digest), "iri"))
-        blank = blank_node(page, F.lit(predicate))
-        anonymous = F.array(
+        linked = iri_triple(pub, ns + predicate, node(ns, column, quote=not is_digest))
+        blank = blank_node("webpage", text(predicate))
+        anonymous = [
             type_triple(blank, ns + cls),
-            triple(blank, RDFS_LABEL, blank, "bnode"),
-            triple(pub, ns + predicate, blank, "bnode"),
-        )
-        facts.append(Fact(("webpage", column), F.when(value.isNull(), anonymous).otherwise(linked)))
-    for column, dated in date_triples(pub, ns, ARTICLE_DATES, page).items():
-        facts.append(fact(("webpage", column), dated))
+            triple(blank, text(RDFS_LABEL), blank, "'bnode'"),
+            triple(pub, text(ns + predicate), blank, "'bnode'"),
+        ]
+        choice = f"IF({column} IS NULL, array({', '.join(anonymous)}), array({linked}))"
+        facts.append(Fact(("webpage", column), choice))
+    facts += date_facts(pub, ns, "webpage", ARTICLE_DATES)
     return Graph(ns, tuple((column, cls) for column, cls, *_ in LINKED_VALUES), tuple(facts))
 
 
@@ -88,60 +89,43 @@ def article_triples(df: DataFrame, ns: str = DEFAULT_NS, author_predicate: str =
     return graph_to_triples(_article_values(df), article_graph(ns, author_predicate))
 
 
-def _custom_graph(ns: str, guess_datetime: bool) -> Graph:
-    page, key, value = F.col("webpage"), F.col("custom_key"), F.col("custom_value")
-    pub = node(ns, page, quote=False)
-    term = node(ns, F.concat(F.lit("cf_"), key))
-    known = text_or_null(value)
-    datatype = F.when(known.isNotNull(), xsd_type(guess_type(value, guess_datetime)))
-    missing = known.isNull()
-    valued = triple(
-        pub,
-        term,
-        F.when(missing, blank_node(page, key)).otherwise(value),
-        F.when(missing, "bnode").otherwise("literal"),
-        datatype,
-    )
+def _custom_graph(ns: str, entry: str = "") -> Graph:
+    """A class and a data property per key, and a typed literal per value; ``entry`` qualifies the field names."""
+    pub = node(ns, "webpage", quote=False)
+    term = node(ns, f"concat('cf_', {entry}custom_key)")
+    value = f"coalesce({entry}custom_value, {blank_node('webpage', f'{entry}custom_key')})"
+    kind = f"IF({entry}custom_value IS NULL, 'bnode', 'literal')"
+    valued = triple(pub, term, value, kind, f"{entry}custom_type")
     facts = (
         fact(("custom_key",), type_triple(term, OWL + "Class"), type_triple(term, OWL + "DataProperty")),
-        fact(("webpage", "custom_key"), triple(pub, ns + "has_extra_class", term, "iri")),
-        fact(("webpage",), triple(pub, ns + "has_extra_class", F.lit(ns + "extraClass"), "iri")),
-        fact(("webpage", "custom_key", "custom_value"), valued),
+        fact(("webpage", "custom_key"), iri_triple(pub, ns + "has_extra_class", term)),
+        fact(("webpage",), iri_triple(pub, ns + "has_extra_class", text(ns + "extraClass"))),
+        fact(("webpage", "custom_key", "custom_value", "custom_type"), valued),
     )
     return Graph(ns, (), facts)
 
 
+def _custom_entries(value: Column, guess_datetime: bool) -> tuple[Column, Column]:
+    """Value (NULL when missing) and XSD datatype of a custom field."""
+    known = text_or_null(value)
+    return known, F.when(known.isNotNull(), xsd_type(guess_type(value, guess_datetime)))
+
+
 def custom_triples(df: DataFrame, ns: str = DEFAULT_NS, guess_datetime: bool = False) -> DataFrame:
     """Triples of the custom columns: a class and a data property per key, a typed literal per value."""
     entries = df.select(
         webpage_id(F.col("article_id"), F.col("url_hash")).alias("webpage"),
-        F.explode(decode_json_map(F.col("custom_columns"))).alias("custom_key", "custom_value"),
+        F.explode(decode_json_map(F.col("custom_columns"))).alias("custom_key", "value"),
     )
-    return graph_to_triples(entries, _custom_graph(ns, guess_datetime))
-
-
-def _custom_statements(ns: str, entries: Column, guess_datetime: bool) -> Column:
-    """Triples of the custom columns of one row."""
-
-    def of_entry(entry: Column) -> Column:
-        page, key, value = F.col("webpage"), entry["key"], entry["value"]
-        pub, term = node(ns, page, quote=False), node(ns, F.concat(F.lit("cf_"), key))
-        missing = text_or_null(value).isNull()
-        return F.array(
-            type_triple(term, OWL + "Class"),
-            type_triple(term, OWL + "DataProperty"),
-            triple(pub, ns + "has_extra_class", term, "iri"),
-            triple(pub, ns + "has_extra_class", F.lit(ns + "extraClass"), "iri"),
-            triple(
-                pub,
-                term,
-                F.when(missing, blank_node(page, key)).otherwise(value),
-                F.when(missing, "bnode").otherwise("literal"),
-                F.when(~missing, xsd_type(guess_type(value, guess_datetime))),
-            ),
-        )
+    value, datatype = _custom_entries(F.col("value"), guess_datetime)
+    typed = entries.select("webpage", "custom_key", value.alias("custom_value"), datatype.alias("custom_type"))
+    return graph_to_triples(typed, _custom_graph(ns))
 
-    return F.flatten(F.transform(F.map_entries(entries), of_entry))
+
+def _custom_statements(ns: str, entries: str) -> Column:
+    """Triples of the custom fields of one row, from an array of (custom_key, custom_value, custom_type)."""
+    per_entry = ", ".join(f.triples for f in _custom_graph(ns, "e.").facts)
+    return F.expr(f"flatten(transform({entries}, e -> concat({per_entry})))")
 
 
 def article_documents(
@@ -151,10 +135,16 @@ def article_documents(
 
     All statements of a document come from one row, so this is a projection: no explode and no shuffle.
     """
-    rows = _article_values(df, decode_json_map(F.col("custom_columns")).alias("custom"))
+    def typed(entry: Column) -> Column:
+        value, datatype = _custom_entries(entry["value"], guess_datetime)
+        return F.struct(
+            entry["key"].alias("custom_key"), value.alias("custom_value"), datatype.alias("custom_type")
+        )
+
+    entries = F.transform(F.map_entries(decode_json_map(F.col("custom_columns"))), typed)
+    rows = _article_values(df, entries.alias("custom"))
     standard = graph_to_array(article_graph(ns, author_predicate))
-    custom = _custom_statements(ns, F.col("custom"), guess_datetime)
-    statements = F.array_distinct(F.concat(standard, custom))
+    statements = F.array_distinct(F.concat(standard, _custom_statements(ns, "custom")))
     return rows.select(sha256_hex(F.col("webpage")).alias("name"), document_text(statements).alias("document"))
 
 
@@ -169,24 +159,22 @@ def _entity_rows(df: DataFrame) -> DataFrame:
 
 
 def entity_graph(ns: str = DEFAULT_NS, with_sources: bool = True) -> Graph:
-    pub = node(ns, F.col("webpage"), quote=False)
-    entity = node(ns, F.col("entity"))
-    label = node(ns, F.col("entity_label"))
-    document = node(ns, F.concat(F.col("document_name"), F.lit(".ttl")))
+    pub = node(ns, "webpage", quote=False)
+    entity, label = node(ns, "entity"), node(ns, "entity_label")
+    document = node(ns, "concat(document_name, '.ttl')")
     facts = [
         fact(("webpage",), type_triple(pub, ns + "publication")),
-        fact(("webpage", "entity"), triple(pub, ns + "has_ner_entity", entity, "iri")),
-        fact(("entity", "entity_label"), triple(entity, ns + "has_ner_label", label, "iri")),
+        fact(("webpage", "entity"), iri_triple(pub, ns + "has_ner_entity", entity)),
+        fact(("entity", "entity_label"), iri_triple(entity, ns + "has_ner_label", label)),
         fact(
             ("webpage", "entity", "document_name"),
             type_triple(document, ns + "infoSource"),
-            triple(pub, ns + "is_sourced_from", document, "iri"),
-            triple(entity, ns + "is_sourced_from", document, "iri"),
+            iri_triple(pub, ns + "is_sourced_from", document),
+            iri_triple(entity, ns + "is_sourced_from", document),
         ),
     ]
     if with_sources:
-        source = triple(entity, ns + "ner_source", F.col("source_column"), "literal")
-        facts.append(fact(("entity", "source_column"), source))
+        facts.append(fact(("entity", "source_column"), literal_triple(entity, ns + "ner_source", "source_column")))
     return Graph(ns, (("entity", "ner_entity"), ("entity_label", "ner_label")), tuple(facts))
 
 
@@ -203,8 +191,8 @@ def entity_documents(entities: DataFrame, ns: str = DEFAULT_NS) -> DataFrame:
     keys = ["webpage", "entity", "entity_label", "document_name"]
     grouped = _entity_rows(entities).groupBy(*keys).agg(F.collect_set("source_column").alias("sources"))
     fixed = graph_to_array(entity_graph(ns, with_sources=False))
-    entity = node(ns, F.col("entity"))
-    sources = F.transform("sources", lambda c: triple(entity, ns + "ner_source", c, "literal"))
+    source = literal_triple(node(ns, "entity"), ns + "ner_source", "c")
+    sources = F.expr(f"transform(sources, c -> {source})")
     return grouped.select(
         F.col("document_name").alias("name"), document_text(F.concat(fixed, sources)).alias("document")
     )
@@ -222,53 +210,42 @@ def add_record_hashes(records: DataFrame) -> DataFrame:
     )
 
 
-def _link(s: Column, predicate: str, value: Column, target: Column, key: Column) -> Column:
-    """A link to the node of a value, or to a blank node when the value is missing."""
-    missing = value.isNull()
-    blank = blank_node(key, F.lit(predicate.rpartition("#")[2]))
-    return triple(s, predicate, F.when(missing, blank).otherwise(target), F.when(missing, "bnode").otherwise("iri"))
-
-
 def _hashed_url_graph(ns: str) -> Graph:
-    url = node(ns, F.col("url_hash"), quote=False)
+    url = node(ns, "url_hash", quote=False)
     links = [
         ("label", "newsLabel", "has_news_label", True),
         ("domain_hash", "domainHash", "has_domain_hash", False),
         ("title_hash", "titleHash", "has_title_hash", False),
         ("body_hash", "bodyHash", "has_body_hash", False),
     ]
-    facts = []
-    for column, _, predicate, quote in links:
-        linked = _link(url, ns + predicate, F.col(column), node(ns, F.col(column), quote), F.col("url_hash"))
-        facts.append(fact(("url_hash", column), linked))
-    for column, dated in date_triples(url, ns, RECORD_DATES, F.col("url_hash")).items():
-        facts.append(fact(("url_hash", column), dated))
+    facts = [
+        fact(("url_hash", column), link_triple(url, ns, predicate, column, node(ns, column, quote), "url_hash"))
+        for column, _, predicate, quote in links
+    ]
+    facts += date_facts(url, ns, "url_hash", RECORD_DATES)
     nodes = [("url_hash", "urlHash"), *[(column, cls) for column, cls, *_ in links]]
     return Graph(ns, tuple(nodes), tuple(facts))
 
 
 def _raw_url_graph(ns: str, typed: bool) -> Graph:
     """URLs and news ids as IRIs; the label is a literal object. ``typed=False`` is the older form without types."""
-    url_key, news_id, label, domain = (F.col(c) for c in ("url", "news_id", "label", "domain"))
-    title, title_hash, body_hash = F.col("title"), F.col("title_hash"), F.col("body_hash")
-    url, title_node = node(ns, url_key), node(ns, title_hash, quote=False)
+    url, title = node(ns, "url"), node(ns, "title_hash", quote=False)
     label_predicate = RDFS_LABEL if typed else ns + "label"
     facts = [
-        fact(("url",), triple(url, ns + "has_url", url_key, "literal")),
-        fact(("url", "news_id"), triple(url, ns + "has_id", node(ns, news_id), "iri")),
-        fact(("url", "label"), triple(url, ns + "has_news_label", label, "literal")),
-        fact(("url", "domain"), triple(url, ns + "has_domain", node(ns, domain), "iri")),
-        fact(("title_hash", "title"), triple(title_node, label_predicate, title, "literal"), required=("title",)),
-        fact(("url", "title_hash"), _link(url, ns + "has_title", title_hash, title_node, url_key)),
-        fact(("url", "body_hash"), triple(url, ns + "has_body_hash", body_hash, "literal")),
+        fact(("url",), literal_triple(url, ns + "has_url", "url")),
+        fact(("url", "news_id"), iri_triple(url, ns + "has_id", node(ns, "news_id"))),
+        fact(("url", "label"), literal_triple(url, ns + "has_news_label", "label")),
+        fact(("url", "domain"), iri_triple(url, ns + "has_domain", node(ns, "domain"))),
+        fact(("title_hash", "title"), literal_triple(title, label_predicate, "title"), required=("title",)),
+        fact(("url", "title_hash"), link_triple(url, ns, "has_title", "title_hash", title, "url")),
+        fact(("url", "body_hash"), literal_triple(url, ns + "has_body_hash", "body_hash")),
+        *date_facts(url, ns, "url", RECORD_DATES),
     ]
-    for column, dated in date_triples(url, ns, RECORD_DATES, url_key).items():
-        facts.append(fact(("url", column), dated))
     if typed:
-        body_node = node(ns, body_hash, quote=False)
+        body = node(ns, "body_hash", quote=False)
         facts.append(fact(("url",), type_triple(url, ns + "url")))
-        facts.append(fact(("title_hash",), type_triple(title_node, ns + "title"), required=("title_hash",)))
-        facts.append(fact(("body_hash",), type_triple(body_node, ns + "bodyHash")))
+        facts.append(fact(("title_hash",), type_triple(title, ns + "title"), required=("title_hash",)))
+        facts.append(fact(("body_hash",), type_triple(body, ns + "bodyHash")))
     nodes = (("news_id", "newsId"), ("label", "newsLabel"), ("domain", "domain"))
     nodes = tuple((column, cls if typed else None) for column, cls in nodes)
     return Graph(ns, nodes, tuple(facts), label_predicate)
@@ -287,19 +264,13 @@ def _content_rows(records: DataFrame) -> DataFrame:
 
 def _content_graph(ns: str) -> Graph:
     """News ids with their title and content; the whole texts are literals."""
-    news, digest, predicate = node(ns, F.col("news_id")), F.col("digest"), F.col("predicate")
-    entity = node(ns, digest, quote=False)
-    missing = digest.isNull()
-    linked = triple(
-        news,
-        F.concat(F.lit(ns), predicate),
-        F.when(missing, blank_node(F.col("news_id"), predicate)).otherwise(entity),
-        F.when(missing, "bnode").otherwise("iri"),
-    )
+    news, entity = node(ns, "news_id"), node(ns, "digest", quote=False)
+    target = f"IF(digest IS NULL, {blank_node('news_id', 'predicate')}, {entity})"
+    kind = "IF(digest IS NULL, 'bnode', 'iri')"
     facts = (
-        fact(("news_id",), triple(news, ns + "label", F.col("news_id"), "literal")),
-        fact(("digest", "text"), triple(entity, ns + "label", F.col("text"), "literal"), required=("digest",)),
-        fact(("news_id", "predicate", "digest"), linked),
+        fact(("news_id",), literal_triple(news, ns + "label", "news_id")),
+        fact(("digest", "text"), literal_triple(entity, ns + "label", "text"), required=("digest",)),
+        fact(("news_id", "predicate", "digest"), triple(news, f"concat({text(ns)}, predicate)", target, kind)),
     )
     return Graph(ns, (), facts)
 

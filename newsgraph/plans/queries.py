@@ -238,7 +238,7 @@ def json_sidecar_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def fn_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
-    return table(spark, sf_dir, "documents").select(
+    return tables.documents(spark, sf_dir).select(
         "doc_id",
         sha256_hex(text).alias("sha256"),
         F.md5(text).alias("md5"),
@@ -248,14 +248,14 @@ def fn_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def fn_iri_quote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    return tables.documents(spark, sf_dir).select(
         "doc_id", iri_quote(F.col("text")).alias("quoted"), iri_quote(F.col("source")).alias("quoted_source")
     )
 
 
 @query
 def fn_type_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "[ \n]+")).alias("token"))
+    tokens = tables.documents(spark, sf_dir).select(F.explode(F.split("text", "[ \n]+")).alias("token"))
     guess = F.coalesce(guess_type(F.col("token")), F.lit("none"))
     return tokens.groupBy(guess.alias("guess")).agg(
         F.count(F.lit(1)).alias("n_tokens"), F.count_distinct("token").alias("n_distinct")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from newsgraph.operators.ingest import map_articles
 from newsgraph.operators.triples import add_record_hashes
 from newsgraph.sources.config import MappingConfig
-from newsgraph.sources.readers import read_lines, read_parquet
+from newsgraph.sources.readers import read_lines, read_parquet, spread
 from newsgraph.operators.clean import assemble_records, parse_records
 from newsgraph.session import scratch_dir
 
@@ -38,6 +38,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_parquet(spark, f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts, spread over all cores: every query does expensive work per text."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def _label(quality: Column, toxic: Column) -> Column:
     return (
         F.when((quality == 1) & (toxic == 0), "reliable")
@@ -47,18 +52,18 @@ def _label(quality: Column, toxic: Column) -> Column:
     )
 
 
-def _labelled(spark: SparkSession, sf_dir: str, documents: DataFrame) -> DataFrame:
+def _labelled(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", _label(F.col("quality"), F.col("toxic")).alias("type"))
-    return documents.join(labels, "doc_id", "left")
+    return rows.join(labels, "doc_id", "left")
 
 
-def _with_pages(spark: SparkSession, sf_dir: str, documents: DataFrame) -> DataFrame:
+def _with_pages(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(F.col("page_id"), F.col("url").alias("site_url"))
-    return documents.join(pages, F.col("doc_id") == F.col("page_id"), "left")
+    return rows.join(pages, F.col("doc_id") == F.col("page_id"), "left")
 
 
-def _dataset(documents: DataFrame) -> DataFrame:
-    return documents.select(
+def _dataset(rows: DataFrame) -> DataFrame:
+    return rows.select(
         "doc_id",
         "text",
         F.substring_index("text", "\n", 1).alias("title"),
@@ -71,10 +76,10 @@ def _dataset(documents: DataFrame) -> DataFrame:
     )
 
 
-def raw_articles(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None) -> DataFrame:
+def raw_articles(spark: SparkSession, sf_dir: str, texts: DataFrame | None = None) -> DataFrame:
     """A source dataset as a scraper would deliver it; author, published, country and shares are absent."""
-    documents = table(spark, sf_dir, "documents") if documents is None else documents
-    return _dataset(_with_pages(spark, sf_dir, _labelled(spark, sf_dir, documents)))
+    texts = documents(spark, sf_dir) if texts is None else texts
+    return _dataset(_with_pages(spark, sf_dir, _labelled(spark, sf_dir, texts)))
 
 
 def articles(spark: SparkSession, sf_dir: str, run_ts: str = FIRST_LOAD) -> DataFrame:

@@ -14,6 +14,16 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan out evenly when it has fewer partitions than there are cores.
+
+    A file with a single row group cannot be split, and expensive steps would run on one core. A scan that already
+    has enough partitions is returned as it is, so large tables are never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """CSV with a header. Types are inferred (a second pass over the files) unless a schema is given."""
     reader = spark.read.options(header=True, multiLine=True, escape='"')
