@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from newsgraph.operators.ingest import map_articles  # noqa: E402
 from newsgraph.operators.sinks import write_documents  # noqa: E402
-from newsgraph.operators.snapshot import append_articles, latest_snapshot  # noqa: E402
+from newsgraph.operators.snapshot import append_articles, latest_snapshot, read_articles  # noqa: E402
 from newsgraph.operators.triples import article_documents, article_triples, custom_triples  # noqa: E402
 from newsgraph.plans import tables  # noqa: E402
 from newsgraph.plans.queries import QUERIES  # noqa: E402
@@ -68,17 +68,17 @@ def main() -> None:
     def stage_1() -> None:
         """Source rows -> standard articles with hashes, appended to the article table."""
         accepted, _ = map_articles(tables.raw_articles(spark, SF_DIR), tables.CONFIG, tables.FIRST_LOAD)
-        append_articles(accepted, f"{out}/articles")
+        append_articles(accepted, f"{out}/articles", "1")
 
     def stage_2_documents() -> None:
         """Article table -> latest snapshot -> one document per article, written."""
-        rows = spark.read.parquet(f"{out}/articles")
+        rows = read_articles(spark, f"{out}/articles")
         unique = latest_snapshot(rows, unique=True, tiebreak=("label", "custom_columns"))
         write_documents(article_documents(unique), f"{out}/documents")
 
     def stage_2_triples() -> None:
         """Article table -> latest snapshot -> triples table, written."""
-        rows = latest_snapshot(spark.read.parquet(f"{out}/articles"))
+        rows = latest_snapshot(read_articles(spark, f"{out}/articles"))
         article_triples(rows).unionByName(custom_triples(rows)).write.parquet(f"{out}/triples")
 
     times = {

@@ -103,10 +103,12 @@ def model_entities(
         extract = extractor_factory()
         for batch in batches:
             found = [list(dict.fromkeys(entities)) for entities in extract(batch["text"].tolist())]
-            batch = batch.drop(columns="text").assign(found=found).explode("found").dropna(subset=["found"])
-            batch["entity"] = [e for e, _ in batch["found"]]
-            batch["entity_label"] = [label for _, label in batch["found"]]
-            yield batch[ENTITY_COLUMNS]
+            source = batch.loc[batch.index.repeat([len(entities) for entities in found])]
+            pairs = [pair for entities in found for pair in entities]
+            columns = {c: source[c].tolist() for c in ENTITY_COLUMNS if c in source}
+            columns["entity"] = [entity for entity, _ in pairs]
+            columns["entity_label"] = [label for _, label in pairs]
+            yield pd.DataFrame({c: columns[c] for c in ENTITY_COLUMNS}, dtype="object")
 
     rows = input_fields(df, fields)
     if partitions is not None:

@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from newsgraph.schema import ARTICLE_COLUMNS, ARTICLE_SCHEMA
+
 SNAPSHOT_KEYS = ("article_id", "url")
 
 
-def append_articles(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+def append_articles(df: DataFrame, path: str, load_id: str) -> None:
+    """Add one load to the article table, which is partitioned by load. Repeating a load replaces it."""
+    df.write.mode("overwrite").parquet(f"{path}/load_id={load_id}")
+
+
+def replace_articles(df: DataFrame, path: str, load_id: str) -> None:
+    """Replace the whole table by one load."""
+    df.withColumn("load_id", F.lit(load_id)).write.mode("overwrite").partitionBy("load_id").parquet(path)
 
 
-def replace_articles(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+def read_articles(spark: SparkSession, path: str) -> DataFrame:
+    """The article table with its standard columns, all loads."""
+    return spark.read.schema(ARTICLE_SCHEMA).parquet(path).select(*ARTICLE_COLUMNS)
 
 
 def latest_snapshot(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-QUANTILE_ACCURACY = 10_000
+QUANTILE_ACCURACY = 100_000
 
 
 def melt(df: DataFrame, ids: list[str], values: list[str] | None = None) -> DataFrame:

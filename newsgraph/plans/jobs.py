@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from newsgraph.operators.clean import assemble_records, dedupe_last_wins, parse_records
@@ -9,7 +11,7 @@ from newsgraph.operators.entities import DEFAULT_RULES, rule_entities
 from newsgraph.operators.ingest import map_articles, map_mixed_articles, quarantine
 from newsgraph.operators.rdf import DEFAULT_NS, ontology
 from newsgraph.operators.sinks import sidecar_json, write_documents, write_json_batches, write_text
-from newsgraph.operators.snapshot import append_articles, latest_snapshot
+from newsgraph.operators.snapshot import append_articles, latest_snapshot, read_articles
 from newsgraph.operators.triples import (
     add_record_hashes,
     article_documents,
@@ -26,20 +28,24 @@ from newsgraph.sources.readers import read_lines, read_parquet
 def ingest_dataset(
     spark: SparkSession, source: str, config_dir: str, table: str, run_ts: str, dataset_col: str = "file_name"
 ) -> None:
-    """Parquet files and their YAML configs -> rows appended to the article table; rejects beside it."""
+    """Parquet files and their YAML configs -> one load of the article table; rejects beside it.
+
+    The load is named by its time stamp, so running it twice gives the same table as running it once.
+    """
     rows = read_parquet(spark, source)
+    load_id = re.sub(r"\D+", "-", run_ts)
     configs = load_configs(spark, config_dir)
     if len(configs) == 1:
         accepted, rejected = map_articles(rows, next(iter(configs.values())), run_ts)
     else:
         accepted, rejected = map_mixed_articles(rows, configs, run_ts, dataset_col)
-    append_articles(accepted, table)
-    quarantine(rejected).write.mode("append").parquet(f"{table}_rejected")
+    append_articles(accepted, table, load_id)
+    append_articles(quarantine(rejected), f"{table}_rejected", load_id)
 
 
 def snapshot_of(spark: SparkSession, table: str, unique: bool = False) -> DataFrame:
     tiebreak = ("label", "custom_columns") if unique else ()
-    return latest_snapshot(read_parquet(spark, table), unique=unique, tiebreak=tiebreak)
+    return latest_snapshot(read_articles(spark, table), unique=unique, tiebreak=tiebreak)
 
 
 def export_graph(spark: SparkSession, table: str, triples_path: str, ns: str = DEFAULT_NS) -> None:

@@ -122,12 +122,22 @@ def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
             glob="documents.parquet",
             prepare=lambda batch: tables.raw_articles(spark, sf_dir, batch),
         )
-    return _stamped(spark.read.parquet(f"{out}/articles"), ARTICLE_COLUMNS)
+    return _stamped(snapshot.read_articles(spark, f"{out}/articles"), ARTICLE_COLUMNS)
 
 
 @query
 def file_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readers.file_manifest(spark, sf_dir, r"/\w+\.parquet$").select("file_name")
+    """Batch files of the documents, listed by pattern and reconciled with the records read from them."""
+    path = scratch_dir(spark, "batches")
+    sinks.write_json_batches(tables.documents(spark, sf_dir), path, BATCH_SIZE)
+    listed = readers.file_manifest(spark, path, r"/part-[^/]+\.json$").select("file_name")
+    read = spark.read.text(path).select(F.col("_metadata.file_name").alias("file_name"))
+    found = profile.reconcile(listed, read, "file_name")
+    return found.agg(
+        F.sum("right_count").alias("n_records"),
+        F.count_if(F.col("left_count") != 1).alias("n_unlisted"),
+        F.count_if(F.col("right_count") > BATCH_SIZE).alias("n_too_large"),
+    )
 
 
 @query
@@ -152,11 +162,9 @@ def latest_snapshot_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SNAPSHOT_SQL = """
-WITH latest AS (
-  SELECT article_id, url, MAX(etl_timestamp) AS etl_timestamp FROM article_table GROUP BY article_id, url
-)
-SELECT a.* FROM latest AS l JOIN article_table AS a
-  ON a.article_id = l.article_id AND a.url = l.url AND a.etl_timestamp = l.etl_timestamp
+SELECT * FROM article_table LEFT SEMI JOIN (
+  SELECT article_id, url, max(etl_timestamp) AS etl_timestamp FROM article_table GROUP BY ALL
+) USING (article_id, url, etl_timestamp)
 """
 
 
@@ -164,8 +172,8 @@ SELECT a.* FROM latest AS l JOIN article_table AS a
 def append_then_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "article-table")
     first, second = tables.article_loads(spark, sf_dir)
-    snapshot.replace_articles(first, path)
-    snapshot.append_articles(second, path)
+    snapshot.replace_articles(first, path, "1")
+    snapshot.append_articles(second, path, "2")
     latest = readers.query_table(spark, path, "article_table", SNAPSHOT_SQL)
     return latest.groupBy(stamp("etl_timestamp"), "label").agg(F.count(F.lit(1)).alias("n_articles"))
 

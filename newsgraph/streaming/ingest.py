@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from newsgraph.operators.ingest import map_articles, quarantine
+from newsgraph.operators.snapshot import append_articles
 from newsgraph.sources.config import MappingConfig
 
 
@@ -36,8 +37,8 @@ def ingest_new_files(
     def load(batch: DataFrame, batch_id: int) -> None:
         rows = prepare(batch) if prepare else batch
         accepted, rejected = map_articles(rows, config, run_ts)
-        accepted.write.mode("overwrite").parquet(f"{table}/load_id={batch_id}")
-        quarantine(rejected).write.mode("overwrite").parquet(f"{table}_rejected/load_id={batch_id}")
+        append_articles(accepted, table, str(batch_id))
+        append_articles(quarantine(rejected), f"{table}_rejected", str(batch_id))
 
     query = (
         reader.parquet(source)

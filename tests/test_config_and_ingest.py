@@ -119,7 +119,7 @@ def test_ingest_job_with_config_folder(spark, config, source, tmp_path):
     assert mapping.load_configs(spark, str(tmp_path / "configs")) == {"a.parquet": config}
     source.write.parquet(str(tmp_path / "to_add"))
     table = str(tmp_path / "articles")
-    for run in (RUN, "2024-04-01 00:00:00"):
+    for run in (RUN, RUN, "2024-04-01 00:00:00"):  # a repeated load replaces itself
         jobs.ingest_dataset(spark, str(tmp_path / "to_add"), str(tmp_path / "configs"), table, run)
     assert spark.read.parquet(table).count() == 4
     latest = jobs.snapshot_of(spark, table)

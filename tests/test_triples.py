@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from newsgraph.operators import rdf, sinks
 from newsgraph.operators import triples as graph
 from newsgraph.operators.ingest import map_articles
+from newsgraph.operators.snapshot import append_articles
 from newsgraph.plans import jobs
 from newsgraph.schema import RECORD_COLUMNS, TRIPLE_COLUMNS
 from newsgraph.sources.config import MappingConfig
@@ -202,7 +203,7 @@ def test_every_used_term_is_declared(spark, articles):
 
 def test_graph_jobs(spark, articles, tmp_path):
     table = str(tmp_path / "articles")
-    articles.write.parquet(table)
+    append_articles(articles, table, "1")
     jobs.export_graph(spark, table, str(tmp_path / "graph"))
     stored = spark.read.parquet(str(tmp_path / "graph"))
     assert stored.where(F.col("o") == NS + "publication").count() == 2
