@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from newsgraph.operators.ingest import map_articles  # noqa: E402
 from newsgraph.operators.sinks import write_documents  # noqa: E402
 from newsgraph.operators.snapshot import append_articles, latest_snapshot, read_articles  # noqa: E402
-from newsgraph.operators.triples import article_documents, article_triples, custom_triples  # noqa: E402
+from newsgraph.operators.triples import article_documents, article_triples  # noqa: E402
 from newsgraph.plans import tables  # noqa: E402
 from newsgraph.plans.queries import QUERIES  # noqa: E402
 from newsgraph.session import build_session, scratch_dir  # noqa: E402
@@ -79,7 +79,7 @@ def main() -> None:
     def stage_2_triples() -> None:
         """Article table -> latest snapshot -> triples table, written."""
         rows = latest_snapshot(read_articles(spark, f"{out}/articles"))
-        article_triples(rows).unionByName(custom_triples(rows)).write.parquet(f"{out}/triples")
+        article_triples(rows, with_custom=True).write.parquet(f"{out}/triples")
 
     times = {
         "stage_1_ingest": timed(stage_1),

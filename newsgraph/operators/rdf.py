@@ -7,6 +7,7 @@ de-duplicated before they are expanded, so the shuffle carries the short fact ke
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -202,6 +203,15 @@ def fact(keys: tuple[str, ...], *triples: str, required: tuple[str, ...] = ()) -
     return Fact(keys, f"array({', '.join(triples)})", required)
 
 
+@dataclass(frozen=True)
+class Nested:
+    """Facts about every element of an array column of structs."""
+
+    column: str
+    fields: tuple[str, ...]
+    facts: Callable[[str], tuple[Fact, ...]]  # called with the prefix of the field names, '' or 'e.'
+
+
 @dataclass(frozen=True)
 class Graph:
     """What one row of input says: values that become labelled nodes of a class, and facts about them."""
@@ -210,6 +220,7 @@ class Graph:
     nodes: tuple[tuple[str, str | None], ...]  # (column, class or None); a NULL value has no node
     facts: tuple[Fact, ...]
     label_predicate: str = RDFS_LABEL
+    nested: Nested | None = None
 
 
 def _all_present(names: tuple[str, ...]) -> str:
@@ -223,20 +234,32 @@ def graph_to_triples(df: DataFrame, graph: Graph) -> DataFrame:
     most rows is not hot. A node is one entry whatever its classes are: they travel as bits and are combined with
     ``bit_or``, which keeps the label of a value that occurs under two classes single.
     """
-    columns = sorted({k for f in graph.facts for k in f.keys})
+    nested = graph.nested
+    nested_facts = nested.facts("") if nested else ()
+    facts = [*graph.facts, *nested_facts]
+    columns = sorted({k for f in facts for k in f.keys})
     classes = list(dict.fromkeys(cls for _, cls in graph.nodes if cls))
 
     def entry(number: int, value: str, bits: int, keys: tuple[str, ...], present: tuple[str, ...]) -> str:
+        def place(column: str) -> str:
+            return f"e.{column}" if nested and column in nested.fields else column
+
         fields = [f"'fact', {number}", f"'node_value', CAST({value} AS STRING)", f"'bits', {bits}L"]
-        fields += [f"'{c}', CAST({c if c in keys else 'NULL'} AS STRING)" for c in columns]
-        return f"IF({_all_present(present)}, named_struct({', '.join(fields)}), NULL)"
+        fields += [f"'{c}', CAST({place(c) if c in keys else 'NULL'} AS STRING)" for c in columns]
+        struct = f"named_struct({', '.join(fields)})"
+        return f"IF({_all_present(present)}, {struct}, NULL)" if present else struct
 
     entries = [
         entry(-1, column, 1 << classes.index(cls) if cls else 0, (), (column,)) for column, cls in graph.nodes
     ]
     entries += [entry(i, "NULL", 0, f.keys, f.required) for i, f in enumerate(graph.facts)]
+    listed = [f"array_compact(array({', '.join(entries)}))"] if entries else []
+    if nested:
+        start = len(graph.facts)
+        per_element = ", ".join(entry(start + i, "NULL", 0, f.keys, f.required) for i, f in enumerate(nested_facts))
+        listed.append(f"flatten(transform({nested.column}, e -> array({per_element})))")
     distinct = (
-        df.selectExpr(f"inline(array_compact(array({', '.join(entries)})))")
+        df.selectExpr(f"inline(concat({', '.join(listed)}))")
         .groupBy("fact", "node_value", *columns)
         .agg(F.bit_or("bits").alias("bits"))
     )
@@ -245,8 +268,8 @@ def graph_to_triples(df: DataFrame, graph: Graph) -> DataFrame:
     described += [
         f"IF(bits & {1 << i}L != 0, {type_triple(entity, graph.ns + cls)}, NULL)" for i, cls in enumerate(classes)
     ]
-    branches = [f"WHEN -1 THEN array_compact(array({', '.join(described)}))"]
-    branches += [f"WHEN {i} THEN {f.triples}" for i, f in enumerate(graph.facts)]
+    branches = [f"WHEN -1 THEN array_compact(array({', '.join(described)}))"] if graph.nodes else []
+    branches += [f"WHEN {i} THEN {f.triples}" for i, f in enumerate(facts)]
     return distinct.selectExpr(f"inline(CASE fact {' '.join(branches)} END)")
 
 
@@ -264,6 +287,9 @@ def graph_to_array(graph: Graph) -> Column:
         f"IF({_all_present(f.required)}, {f.triples}, {none})" if f.required else f.triples
         for f in [*parts, *graph.facts]
     ]
+    if graph.nested:
+        per_element = ", ".join(f.triples for f in graph.nested.facts("e."))
+        arrays.append(f"flatten(transform({graph.nested.column}, e -> concat({per_element})))")
     return F.expr(f"array_distinct(concat({', '.join(arrays)}))")
 
 

@@ -21,6 +21,7 @@ from newsgraph.operators.rdf import (
     RDFS_LABEL,
     Fact,
     Graph,
+    Nested,
     blank_node,
     date_facts,
     document_text,
@@ -51,14 +52,47 @@ ARTICLE_DATES = {"classification_date": "classifiedDate", "publication_date": "p
 RECORD_DATES = {"scraped_at": "scraped_at", "inserted_at": "inserted_at", "updated_at": "updated_at"}
 
 
-def _article_values(df: DataFrame, *extra: Column) -> DataFrame:
-    """The columns that article triples are made of, with the text 'null' as NULL."""
+def _article_values(df: DataFrame, guess_datetime: bool = False) -> DataFrame:
+    """The columns that article triples are made of, with the text 'null' as NULL, and the custom fields."""
+
+    def typed(entry: Column) -> Column:
+        value = text_or_null(entry["value"])
+        datatype = F.when(value.isNotNull(), xsd_type(guess_type(value, guess_datetime)))
+        return F.struct(
+            entry["key"].alias("custom_key"), value.alias("custom_value"), datatype.alias("custom_type")
+        )
+
     names = [c for c, *_ in LINKED_VALUES] + list(ARTICLE_DATES)
-    values = [text_or_null(F.col(c)).alias(c) for c in names]
-    return df.select(webpage_id(F.col("article_id"), F.col("url_hash")).alias("webpage"), *values, *extra)
+    return df.select(
+        webpage_id(F.col("article_id"), F.col("url_hash")).alias("webpage"),
+        *[text_or_null(F.col(c)).alias(c) for c in names],
+        F.transform(F.map_entries(decode_json_map(F.col("custom_columns"))), typed).alias("custom"),
+    )
+
+
+def _custom_facts(ns: str, entry: str = "") -> tuple[Fact, ...]:
+    """A class and a data property per key, and a typed literal per value; ``entry`` qualifies the field names."""
+    pub = node(ns, "webpage", quote=False)
+    term = node(ns, f"concat('cf_', {entry}custom_key)")
+    value = f"coalesce({entry}custom_value, {blank_node('webpage', f'{entry}custom_key')})"
+    kind = f"IF({entry}custom_value IS NULL, 'bnode', 'literal')"
+    valued = triple(pub, term, value, kind, f"{entry}custom_type")
+    return (
+        fact(("custom_key",), type_triple(term, OWL + "Class"), type_triple(term, OWL + "DataProperty")),
+        fact(("webpage", "custom_key"), iri_triple(pub, ns + "has_extra_class", term)),
+        fact(("webpage",), iri_triple(pub, ns + "has_extra_class", text(ns + "extraClass"))),
+        fact(("webpage", "custom_key", "custom_value", "custom_type"), valued),
+    )
+
 
+def _custom_fields(ns: str) -> Nested:
+    fields = ("custom_key", "custom_value", "custom_type")
+    return Nested("custom", fields, lambda entry: _custom_facts(ns, entry))
 
-def article_graph(ns: str = DEFAULT_NS, author_predicate: str = "authored_by") -> Graph:
+
+def article_graph(
+    ns: str = DEFAULT_NS, author_predicate: str = "authored_by", with_custom: bool = False
+) -> Graph:
     pub = node(ns, "webpage", quote=False)
     facts = [
         fact(
@@ -81,51 +115,28 @@ def article_graph(ns: str = DEFAULT_NS, author_predicate: str = "authored_by") -
         choice = f"IF({column} IS NULL, array({', '.join(anonymous)}), array({linked}))"
         facts.append(Fact(("webpage", column), choice))
     facts += date_facts(pub, ns, "webpage", ARTICLE_DATES)
-    return Graph(ns, tuple((column, cls) for column, cls, *_ in LINKED_VALUES), tuple(facts))
-
-
-def article_triples(df: DataFrame, ns: str = DEFAULT_NS, author_predicate: str = "authored_by") -> DataFrame:
-    """Triples of article rows: the publication, its eight linked values and its literals."""
-    return graph_to_triples(_article_values(df), article_graph(ns, author_predicate))
+    nodes = tuple((column, cls) for column, cls, *_ in LINKED_VALUES)
+    return Graph(ns, nodes, tuple(facts), nested=_custom_fields(ns) if with_custom else None)
 
 
-def _custom_graph(ns: str, entry: str = "") -> Graph:
-    """A class and a data property per key, and a typed literal per value; ``entry`` qualifies the field names."""
-    pub = node(ns, "webpage", quote=False)
-    term = node(ns, f"concat('cf_', {entry}custom_key)")
-    value = f"coalesce({entry}custom_value, {blank_node('webpage', f'{entry}custom_key')})"
-    kind = f"IF({entry}custom_value IS NULL, 'bnode', 'literal')"
-    valued = triple(pub, term, value, kind, f"{entry}custom_type")
-    facts = (
-        fact(("custom_key",), type_triple(term, OWL + "Class"), type_triple(term, OWL + "DataProperty")),
-        fact(("webpage", "custom_key"), iri_triple(pub, ns + "has_extra_class", term)),
-        fact(("webpage",), iri_triple(pub, ns + "has_extra_class", text(ns + "extraClass"))),
-        fact(("webpage", "custom_key", "custom_value", "custom_type"), valued),
-    )
-    return Graph(ns, (), facts)
-
+def article_triples(
+    df: DataFrame,
+    ns: str = DEFAULT_NS,
+    author_predicate: str = "authored_by",
+    with_custom: bool = False,
+    guess_datetime: bool = False,
+) -> DataFrame:
+    """Triples of article rows: the publication, its eight linked values and its literals.
 
-def _custom_entries(value: Column, guess_datetime: bool) -> tuple[Column, Column]:
-    """Value (NULL when missing) and XSD datatype of a custom field."""
-    known = text_or_null(value)
-    return known, F.when(known.isNotNull(), xsd_type(guess_type(value, guess_datetime)))
+    ``with_custom`` adds the triples of the custom fields in the same pass.
+    """
+    rows = _article_values(df, guess_datetime)
+    return graph_to_triples(rows, article_graph(ns, author_predicate, with_custom))
 
 
 def custom_triples(df: DataFrame, ns: str = DEFAULT_NS, guess_datetime: bool = False) -> DataFrame:
-    """Triples of the custom columns: a class and a data property per key, a typed literal per value."""
-    entries = df.select(
-        webpage_id(F.col("article_id"), F.col("url_hash")).alias("webpage"),
-        F.explode(decode_json_map(F.col("custom_columns"))).alias("custom_key", "value"),
-    )
-    value, datatype = _custom_entries(F.col("value"), guess_datetime)
-    typed = entries.select("webpage", "custom_key", value.alias("custom_value"), datatype.alias("custom_type"))
-    return graph_to_triples(typed, _custom_graph(ns))
-
-
-def _custom_statements(ns: str, entries: str) -> Column:
-    """Triples of the custom fields of one row, from an array of (custom_key, custom_value, custom_type)."""
-    per_entry = ", ".join(f.triples for f in _custom_graph(ns, "e.").facts)
-    return F.expr(f"flatten(transform({entries}, e -> concat({per_entry})))")
+    """Triples of the custom fields only."""
+    return graph_to_triples(_article_values(df, guess_datetime), Graph(ns, (), (), nested=_custom_fields(ns)))
 
 
 def article_documents(
@@ -135,16 +146,8 @@ def article_documents(
 
     All statements of a document come from one row, so this is a projection: no explode and no shuffle.
     """
-    def typed(entry: Column) -> Column:
-        value, datatype = _custom_entries(entry["value"], guess_datetime)
-        return F.struct(
-            entry["key"].alias("custom_key"), value.alias("custom_value"), datatype.alias("custom_type")
-        )
-
-    entries = F.transform(F.map_entries(decode_json_map(F.col("custom_columns"))), typed)
-    rows = _article_values(df, entries.alias("custom"))
-    standard = graph_to_array(article_graph(ns, author_predicate))
-    statements = F.array_distinct(F.concat(standard, _custom_statements(ns, "custom")))
+    rows = _article_values(df, guess_datetime)
+    statements = graph_to_array(article_graph(ns, author_predicate, with_custom=True))
     return rows.select(sha256_hex(F.col("webpage")).alias("name"), document_text(statements).alias("document"))
 
 

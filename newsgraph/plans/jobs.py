@@ -16,7 +16,6 @@ from newsgraph.operators.triples import (
     add_record_hashes,
     article_documents,
     article_triples,
-    custom_triples,
     entity_documents,
     entity_triples,
     url_triples,
@@ -50,8 +49,7 @@ def snapshot_of(spark: SparkSession, table: str, unique: bool = False) -> DataFr
 
 def export_graph(spark: SparkSession, table: str, triples_path: str, ns: str = DEFAULT_NS) -> None:
     """Latest snapshot -> triples table, with the ontology once."""
-    rows = snapshot_of(spark, table)
-    graph = article_triples(rows, ns).unionByName(custom_triples(rows, ns))
+    graph = article_triples(snapshot_of(spark, table), ns, with_custom=True)
     graph.unionByName(ontology(spark, "articles", ns)).write.mode("overwrite").parquet(triples_path)
 
 

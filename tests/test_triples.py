@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from newsgraph.operators import rdf, sinks
 from newsgraph.operators import triples as graph
 from newsgraph.operators.ingest import map_articles
-from newsgraph.operators.snapshot import append_articles
+from newsgraph.operators.snapshot import append_articles, read_articles
 from newsgraph.plans import jobs
 from newsgraph.schema import RECORD_COLUMNS, TRIPLE_COLUMNS
 from newsgraph.sources.config import MappingConfig
@@ -91,6 +91,11 @@ def test_custom_literals_are_typed(articles):
     ]
 
 
+def test_one_pass_gives_both_graphs(articles):
+    both = graph.article_triples(articles).unionByName(graph.custom_triples(articles))
+    assert rows(graph.article_triples(articles, with_custom=True)) == rows(both)
+
+
 def test_ntriples_lines_are_valid(spark, articles):
     everything = (
         graph.article_triples(articles)
@@ -113,8 +118,20 @@ def test_documents_hold_exactly_the_triples_of_their_article(articles):
 
 
 def test_documents_need_no_shuffle(articles):
-    plan = graph.article_documents(articles)._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan
+    assert "Exchange" not in executed_plan(graph.article_documents(articles))
+
+
+def executed_plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_graph_of_a_stored_table_reads_no_texts_and_shuffles_once(spark, articles, tmp_path):
+    append_articles(articles, str(tmp_path / "articles"), "1")
+    stored = read_articles(spark, str(tmp_path / "articles"))
+    plan = executed_plan(graph.article_triples(stored, with_custom=True))
+    assert plan.count("Exchange hashpartitioning") == 1
+    schemas = re.findall(r"ReadSchema: (struct<[^>]*>)", plan)
+    assert schemas and not any("body:string" in s or "title:string" in s for s in schemas)
 
 
 def test_documents_sink(spark, articles, tmp_path):
