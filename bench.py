@@ -10,6 +10,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from newsgraph.operators.ingest import map_articles  # noqa: E402
+from newsgraph.operators.rdf import write_triples  # noqa: E402
 from newsgraph.operators.sinks import write_documents  # noqa: E402
 from newsgraph.operators.snapshot import append_articles, latest_snapshot, read_articles  # noqa: E402
 from newsgraph.operators.triples import article_documents, article_triples  # noqa: E402
@@ -79,7 +80,7 @@ def main() -> None:
     def stage_2_triples() -> None:
         """Article table -> latest snapshot -> triples table, written."""
         rows = latest_snapshot(read_articles(spark, f"{out}/articles"))
-        article_triples(rows, with_custom=True).write.parquet(f"{out}/triples")
+        write_triples(article_triples(rows, with_custom=True), f"{out}/triples")
 
     times = {
         "stage_1_ingest": timed(stage_1),

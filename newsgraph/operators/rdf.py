@@ -332,7 +332,15 @@ def new_triples(existing: DataFrame, new: DataFrame) -> DataFrame:
     return fresh.join(held, same, "left_anti")
 
 
+def write_triples(triples: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Store a graph partitioned by predicate, so that a pattern reads only the triples of its predicate."""
+    triples.select(*TRIPLE_COLUMNS).write.mode(mode).partitionBy("p").parquet(path)
+
+
+def read_triples(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(TRIPLE_SCHEMA).parquet(path).select(*TRIPLE_COLUMNS)
+
+
 def append_triples(spark: SparkSession, path: str, new: DataFrame) -> None:
     """Import a graph into the stored triples; only what is new is written."""
-    existing = spark.read.schema(TRIPLE_SCHEMA).parquet(path)
-    new_triples(existing, new.select(*TRIPLE_COLUMNS)).write.mode("append").parquet(path)
+    write_triples(new_triples(read_triples(spark, path), new.select(*TRIPLE_COLUMNS)), path, "append")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from newsgraph.operators.clean import assemble_records, dedupe_last_wins, parse_records
 from newsgraph.operators.entities import DEFAULT_RULES, rule_entities
 from newsgraph.operators.ingest import map_articles, map_mixed_articles, quarantine
-from newsgraph.operators.rdf import DEFAULT_NS, ontology
+from newsgraph.operators.rdf import DEFAULT_NS, ontology, write_triples
 from newsgraph.operators.sinks import sidecar_json, write_documents, write_json_batches, write_text
 from newsgraph.operators.snapshot import append_articles, latest_snapshot, read_articles
 from newsgraph.operators.triples import (
@@ -50,7 +50,7 @@ def snapshot_of(spark: SparkSession, table: str, unique: bool = False) -> DataFr
 def export_graph(spark: SparkSession, table: str, triples_path: str, ns: str = DEFAULT_NS) -> None:
     """Latest snapshot -> triples table, with the ontology once."""
     graph = article_triples(snapshot_of(spark, table), ns, with_custom=True)
-    graph.unionByName(ontology(spark, "articles", ns)).write.mode("overwrite").parquet(triples_path)
+    write_triples(graph.unionByName(ontology(spark, "articles", ns)), triples_path)
 
 
 def export_documents(spark: SparkSession, table: str, path: str, ns: str = DEFAULT_NS) -> None:
@@ -68,8 +68,7 @@ def export_entities(
 ) -> None:
     """Latest snapshot -> entities -> triples, and documents if wanted."""
     entities = rule_entities(snapshot_of(spark, table), rules)
-    graph = entity_triples(entities, ns).unionByName(ontology(spark, "ner", ns))
-    graph.write.mode("overwrite").parquet(triples_path)
+    write_triples(entity_triples(entities, ns).unionByName(ontology(spark, "ner", ns)), triples_path)
     if documents_path:
         write_documents(entity_documents(entities, ns), documents_path)
 
@@ -83,6 +82,6 @@ def clean_lines(spark: SparkSession, source: str, json_path: str, rejected_path:
 
 def export_records(records: DataFrame, triples_path: str, sidecar_path: str, ns: str = DEFAULT_NS) -> None:
     """Cleaned records -> URL-centred triples and one side-car object per URL."""
-    url_triples(records, ns).write.mode("overwrite").parquet(triples_path)
+    write_triples(url_triples(records, ns), triples_path)
     last = dedupe_last_wins(add_record_hashes(records), "url_hash", ("updated_at", "idx", "news_id"))
     write_text(sidecar_json(last), sidecar_path)

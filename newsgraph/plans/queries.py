@@ -460,8 +460,8 @@ DOMAIN_URL_BODY_LABEL = [
 def _stored_url_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The URL-centred graph as a stored table, which each pattern scans on its own."""
     path = scratch_dir(spark, "triples")
-    triples_url_centric(spark, sf_dir).write.parquet(path)
-    return spark.read.parquet(path)
+    rdf.write_triples(triples_url_centric(spark, sf_dir), path)
+    return rdf.read_triples(spark, path)
 
 
 def _domain_label_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

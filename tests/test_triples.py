@@ -69,11 +69,13 @@ def test_merging_again_changes_nothing(spark, articles, tmp_path):
     found = graph.article_triples(articles)
     assert rdf.merge_triples(found, found).count() == found.count()
     path = str(tmp_path / "store")
-    first = graph.article_triples(articles.where("url = 'u1'"))
-    first.write.parquet(path)
+    rdf.write_triples(graph.article_triples(articles.where("url = 'u1'")), path)
     rdf.append_triples(spark, path, found)
     rdf.append_triples(spark, path, found)
-    assert rows(spark.read.parquet(path)) == rows(found)
+    stored = rdf.read_triples(spark, path)
+    assert rows(stored) == rows(found)
+    one = executed_plan(stored.where(F.col("p") == NS + "has_title_hash"))
+    assert "PartitionFilters: [isnotnull(p" in one
 
 
 def test_custom_literals_are_typed(articles):
@@ -130,8 +132,9 @@ def test_graph_of_a_stored_table_reads_no_texts_and_shuffles_once(spark, article
     stored = read_articles(spark, str(tmp_path / "articles"))
     plan = executed_plan(graph.article_triples(stored, with_custom=True))
     assert plan.count("Exchange hashpartitioning") == 1
-    schemas = re.findall(r"ReadSchema: (struct<[^>]*>)", plan)
-    assert schemas and not any("body:string" in s or "title:string" in s for s in schemas)
+    scanned = re.findall(r"FileScan parquet \[([^\]]*)\]", plan)
+    assert len(scanned) == 1 and "body_hash#" in scanned[0]
+    assert "body#" not in scanned[0] and "title#" not in scanned[0]
 
 
 def test_documents_sink(spark, articles, tmp_path):
@@ -222,7 +225,7 @@ def test_graph_jobs(spark, articles, tmp_path):
     table = str(tmp_path / "articles")
     append_articles(articles, table, "1")
     jobs.export_graph(spark, table, str(tmp_path / "graph"))
-    stored = spark.read.parquet(str(tmp_path / "graph"))
+    stored = rdf.read_triples(spark, str(tmp_path / "graph"))
     assert stored.where(F.col("o") == NS + "publication").count() == 2
     jobs.export_documents(spark, table, str(tmp_path / "docs"))
     names = [v for v in column(spark.read.text(str(tmp_path / "docs")), "value") if v.startswith("# ")]
