@@ -16,7 +16,7 @@ from newsgraph.operators.snapshot import append_articles, latest_snapshot, read_
 from newsgraph.operators.triples import article_documents, article_triples  # noqa: E402
 from newsgraph.plans import tables  # noqa: E402
 from newsgraph.plans.queries import QUERIES  # noqa: E402
-from newsgraph.session import build_session, scratch_dir  # noqa: E402
+from newsgraph.session import build_session, clean_scratch, scratch_dir  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -96,6 +96,7 @@ def main() -> None:
         "queries": times,
         "sf": SF_DIR.rstrip("/").rsplit("sf", 1)[-1],
     }
+    clean_scratch(spark)
     print(json.dumps(result))
 
 

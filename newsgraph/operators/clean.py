@@ -60,8 +60,11 @@ def assemble_records(lines: DataFrame, drop_last: bool = False) -> DataFrame:
     edges = pieces.where("ordinal = 0 OR ordinal = starts")
 
     # The record that is still open when a block begins: the last one started in an earlier block of the file.
-    # One row of three numbers per block, so even a file of 100 TB gives less than a million rows here.
-    blocks = edges.groupBy("path", "block").agg(F.max("starts").alias("starts"))
+    # Starts are counted per task in a second scan, which shuffles one small row per block and no text; even a file
+    # of 100 TB gives less than a million rows for its window. The count is over ``line_id``: while that column is
+    # in use, Spark keeps a later filter on the path out of the scan, and all scans of the plan cut the files alike.
+    starting = F.when(F.col("line").rlike(RECORD_START), F.col("line_id"))
+    blocks = lines.groupBy("path", "block").agg(F.count(starting).alias("starts"))
     earlier = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     opened = F.last(F.when(F.col("starts") > 0, F.struct("block", F.col("starts").alias("ordinal"))), True)
     open_records = blocks.select("path", "block", opened.over(earlier).alias("opened"))

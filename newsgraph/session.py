@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_shared: list[str] = []  # scratch folders of this process in the shared folder
 
 
 def build_session(app_name: str = "newsgraph", master: str | None = None, **conf: str) -> SparkSession:
@@ -40,9 +41,18 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """
     base = spark.conf.get(CHECKPOINT_CONF, None)
     if base:
-        return f"{base.rstrip('/')}/newsgraph/{name}-{uuid.uuid4().hex}"
+        path = f"{base.rstrip('/')}/newsgraph/{name}-{uuid.uuid4().hex}"
+        _shared.append(path)
+        return path
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that every executor can reach")
     path = tempfile.mkdtemp(prefix=f"newsgraph-{name}-")
     atexit.register(shutil.rmtree, path, ignore_errors=True)
     return f"{path}/data"
+
+
+def clean_scratch(spark: SparkSession) -> None:
+    """Delete the intermediate tables that this process has written to the shared folder."""
+    while _shared:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_shared.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

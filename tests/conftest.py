@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from newsgraph.session import build_session  # noqa: E402
+from newsgraph.session import build_session, clean_scratch  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -23,4 +23,5 @@ def spark(tmp_path_factory):
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clean_scratch(session)
     session.stop()
