@@ -363,8 +363,9 @@ def reconcile_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = webpage_id(F.col("article_id"), F.col("url_hash"))
     first, second = tables.article_loads(spark, sf_dir)
     stored = first.select(page.alias("webpage"))
-    publications = graph.article_triples(second).where((F.col("p") == rdf.RDF_TYPE) & (F.col("o") == NS + "publication"))
-    linked = publications.select(strip_namespace(F.col("s")).alias("webpage"))
+    types = [("?webpage", rdf.RDF_TYPE, NS + "publication")]
+    publications = patterns.match_pattern(graph.article_triples(second), types, ["?webpage"])
+    linked = publications.select(strip_namespace(F.col("webpage")).alias("webpage"))
     return profile.reconcile_summary(profile.reconcile(stored, linked, "webpage"))
 
 

@@ -497,7 +497,8 @@ SELECT doc_id, file_name,
   CASE WHEN file_name = 'src18' THEN 'missing mandatory column: label' ELSE 'no mapping config' END AS reject_reason
 FROM raw WHERE file_name NOT IN ({DATASETS}, {OTHER_DATASETS})""",
     "schema_contract": f"WITH {RAW} {CONTRACT}",
-    "file_manifest": "SELECT count(*) AS n_records, 0 AS n_unlisted, 0 AS n_too_large FROM documents",
+    "file_manifest": """
+SELECT count(*) AS n_records, 0::BIGINT AS n_unlisted, 0::BIGINT AS n_too_large FROM documents""",
     "drop_empty_text": f"""
 WITH {RAW}
 SELECT count(*) AS n_before, 'text' AS column_name, count(text) AS n_after FROM raw
@@ -557,7 +558,8 @@ SELECT * FROM counted WHERE url_count > 1""",
 WITH {WEB}
 SELECT news_id, url, domain, label, body_hash, body FROM webh
 WHERE body_hash = (SELECT body_hash FROM webh GROUP BY body_hash ORDER BY count(*) DESC, body_hash LIMIT 1)""",
-    "type_distribution": f"WITH {RAW} SELECT type, count(*) AS n_articles FROM raw WHERE type IS NOT NULL GROUP BY type",
+    "type_distribution": f"""
+WITH {RAW} SELECT type, count(*) AS n_articles FROM raw WHERE type IS NOT NULL GROUP BY type""",
     "domain_label_counts": f"WITH {WEB} SELECT domain_hash, label, count(*) AS n_articles FROM webh GROUP BY ALL",
     "domain_multi_label_flag": f"""
 WITH {WEB}, dl AS ({DOMAIN_LABELS})
