@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsgraph.functions import XSD, iri_quote_sql
-from newsgraph.schema import TRIPLE_COLUMNS, TRIPLE_SCHEMA, TRIPLE_TYPE
+from newsgraph.schema import TRIPLE_COLUMNS, TRIPLE_SCHEMA
 
 DEFAULT_NS = "https://newsgraph.example/ns#"
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
@@ -155,52 +155,95 @@ def blank_node(key: str, predicate: str) -> str:
     return f"concat('_:b', sha2(concat_ws('|', {key}, {predicate}), 256))"
 
 
-def triple(s: str, p: str, o: str, kind: str, datatype: str = "NULL") -> str:
-    """A triple struct; all parts are SQL text."""
-    values = dict(zip(TRIPLE_COLUMNS, (s, p, o, kind, f"CAST({datatype} AS STRING)")))
-    return "named_struct(" + ", ".join(f"'{name}', {value}" for name, value in values.items()) + ")"
+@dataclass(frozen=True)
+class Triple:
+    """One triple; all parts are SQL text. ``kind`` is 'iri', 'literal' or 'bnode'."""
 
+    s: str
+    p: str
+    o: str
+    kind: str
+    datatype: str | None = None
+    blank_subject: bool = False
 
-def iri_triple(s: str, predicate: str, o: str) -> str:
-    return triple(s, text(predicate), o, "'iri'")
+    def struct(self) -> str:
+        values = (self.s, self.p, self.o, text(self.kind), f"CAST({self.datatype or 'NULL'} AS STRING)")
+        fields = [f"'{name}', {value}" for name, value in zip(TRIPLE_COLUMNS, values)]
+        return f"named_struct({', '.join(fields)})"
 
+    def line(self) -> str:
+        """The triple as an N-Triples statement (N-Triples is a subset of Turtle)."""
+        subject = self.s if self.blank_subject else f"'<', {self.s}, '>'"
+        target = {
+            "iri": f"'<', {self.o}, '>'",
+            "bnode": self.o,
+            "literal": _literal(self.o, self.datatype),
+        }[self.kind]
+        return f"concat({subject}, ' <', {self.p}, '> ', {target}, ' .')"
 
-def literal_triple(s: str, predicate: str, o: str, datatype: str | None = None) -> str:
-    return triple(s, text(predicate), o, "'literal'", text(datatype) if datatype else "NULL")
 
+def _literal(value: str, datatype: str | None) -> str:
+    """A quoted literal with its datatype, if any."""
+    escaped = f"replace({value}, chr(92), repeat(chr(92), 2))"
+    for found, wanted in (("chr(34)", "chr(34)"), ("chr(10)", "'n'"), ("chr(13)", "'r'")):
+        escaped = f"replace({escaped}, {found}, concat(chr(92), {wanted}))"
+    typed = f"coalesce(concat('^^<', {datatype}, '>'), '')" if datatype else "''"
+    return f"""concat('"', {escaped}, '"', {typed})"""
 
-def type_triple(s: str, cls: str) -> str:
-    return iri_triple(s, RDF_TYPE, text(cls))
 
+def iri_triple(s: str, predicate: str, o: str) -> Triple:
+    return Triple(s, text(predicate), o, "iri")
 
-def link_triple(s: str, ns: str, predicate: str, value: str, target: str, key: str) -> str:
-    """A link to the node of a value, or to a blank node when the value is missing."""
-    target = f"IF({value} IS NULL, {blank_node(key, text(predicate))}, {target})"
-    return triple(s, text(ns + predicate), target, f"IF({value} IS NULL, 'bnode', 'iri')")
 
+def literal_triple(s: str, predicate: str, o: str, datatype: str | None = None) -> Triple:
+    return Triple(s, text(predicate), o, "literal", text(datatype) if datatype else None)
 
-def date_facts(s: str, ns: str, key: str, columns: dict[str, str]) -> list[Fact]:
-    """xsd:dateTime literals by input column; missing values become blank nodes."""
-    facts = []
-    for column, predicate in columns.items():
-        value = f"coalesce({column}, {blank_node(key, text(predicate))})"
-        kind = f"IF({column} IS NULL, 'bnode', 'literal')"
-        datatype = f"IF({column} IS NULL, NULL, {text(XSD + 'dateTime')})"
-        facts.append(fact((key, column), triple(s, text(ns + predicate), value, kind, datatype)))
-    return facts
+
+def bnode_triple(s: str, predicate: str, o: str) -> Triple:
+    return Triple(s, text(predicate), o, "bnode")
+
+
+def type_triple(s: str, cls: str) -> Triple:
+    return iri_triple(s, RDF_TYPE, text(cls))
 
 
 @dataclass(frozen=True)
 class Fact:
-    """Triples (SQL text of an array) that depend only on the text columns ``keys``."""
+    """Triples that depend only on the text columns ``keys``."""
 
     keys: tuple[str, ...]
-    triples: str
+    triples: tuple[Triple, ...]
     required: tuple[str, ...] = ()  # the fact is skipped where one of these is NULL
+    missing: tuple[str, tuple[Triple, ...]] | None = None  # other triples where this column is NULL
+
+    def array(self, render: Callable[[Triple], str]) -> str:
+        usual = f"array({', '.join(map(render, self.triples))})"
+        if not self.missing:
+            return usual
+        column, others = self.missing
+        return f"IF({column} IS NULL, array({', '.join(map(render, others))}), {usual})"
+
+
+def fact(keys: tuple[str, ...], *triples: Triple, required: tuple[str, ...] = ()) -> Fact:
+    return Fact(keys, triples, required)
 
 
-def fact(keys: tuple[str, ...], *triples: str, required: tuple[str, ...] = ()) -> Fact:
-    return Fact(keys, f"array({', '.join(triples)})", required)
+def link_fact(key: str, column: str, s: str, ns: str, predicate: str, target: str) -> Fact:
+    """A link to the node of a value, or to a blank node when the value is missing."""
+    blank = bnode_triple(s, ns + predicate, blank_node(key, text(predicate)))
+    return Fact((key, column), (iri_triple(s, ns + predicate, target),), missing=(column, (blank,)))
+
+
+def date_facts(s: str, ns: str, key: str, columns: dict[str, str]) -> list[Fact]:
+    """xsd:dateTime literals by input column; missing values become blank nodes."""
+    return [
+        Fact(
+            (key, column),
+            (literal_triple(s, ns + predicate, column, XSD + "dateTime"),),
+            missing=(column, (bnode_triple(s, ns + predicate, blank_node(key, text(predicate))),)),
+        )
+        for column, predicate in columns.items()
+    ]
 
 
 @dataclass(frozen=True)
@@ -264,59 +307,46 @@ def graph_to_triples(df: DataFrame, graph: Graph) -> DataFrame:
         .agg(F.bit_or("bits").alias("bits"))
     )
     entity = node(graph.ns, "node_value")
-    described = [literal_triple(entity, graph.label_predicate, "node_value")]
+    described = [literal_triple(entity, graph.label_predicate, "node_value").struct()]
     described += [
-        f"IF(bits & {1 << i}L != 0, {type_triple(entity, graph.ns + cls)}, NULL)" for i, cls in enumerate(classes)
+        f"IF(bits & {1 << i}L != 0, {type_triple(entity, graph.ns + cls).struct()}, NULL)"
+        for i, cls in enumerate(classes)
     ]
     branches = [f"WHEN -1 THEN array_compact(array({', '.join(described)}))"] if graph.nodes else []
-    branches += [f"WHEN {i} THEN {f.triples}" for i, f in enumerate(facts)]
+    branches += [f"WHEN {i} THEN {f.array(Triple.struct)}" for i, f in enumerate(facts)]
     return distinct.selectExpr(f"inline(CASE fact {' '.join(branches)} END)")
 
 
-def graph_to_array(graph: Graph) -> Column:
-    """The triples of one row as an array, without a shuffle."""
-    parts = []
+def graph_lines(graph: Graph) -> Column:
+    """The distinct statements of one row as an array of text, without a shuffle."""
+    described = []
     for column, cls in graph.nodes:
         entity = node(graph.ns, column)
-        described = [literal_triple(entity, graph.label_predicate, column)]
+        triples = [literal_triple(entity, graph.label_predicate, column)]
         if cls:
-            described.append(type_triple(entity, graph.ns + cls))
-        parts.append(fact((column,), *described, required=(column,)))
-    none = f"CAST(array() AS array<{TRIPLE_TYPE}>)"
-    arrays = [
-        f"IF({_all_present(f.required)}, {f.triples}, {none})" if f.required else f.triples
-        for f in [*parts, *graph.facts]
-    ]
+            triples.append(type_triple(entity, graph.ns + cls))
+        described.append(fact((column,), *triples, required=(column,)))
+    none = "CAST(array() AS array<string>)"
+    arrays = []
+    for f in [*described, *graph.facts]:
+        lines = f.array(Triple.line)
+        arrays.append(f"IF({_all_present(f.required)}, {lines}, {none})" if f.required else lines)
     if graph.nested:
-        per_element = ", ".join(f.triples for f in graph.nested.facts("e."))
+        per_element = ", ".join(f.array(Triple.line) for f in graph.nested.facts("e."))
         arrays.append(f"flatten(transform({graph.nested.column}, e -> concat({per_element})))")
     return F.expr(f"array_distinct(concat({', '.join(arrays)}))")
 
 
-def ntriples_line(s: Column, p: Column, o: Column, kind: Column, datatype: Column) -> Column:
-    """One N-Triples statement (N-Triples is a subset of Turtle)."""
-    escaped = o
-    for found, wanted in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r")):
-        escaped = F.replace(escaped, F.lit(found), F.lit(wanted))
-    subject = F.when(s.startswith("_:"), s).otherwise(F.concat(F.lit("<"), s, F.lit(">")))
-    typed = F.when(datatype.isNull(), F.lit("")).otherwise(F.concat(F.lit("^^<"), datatype, F.lit(">")))
-    target = (
-        F.when(kind == "iri", F.concat(F.lit("<"), o, F.lit(">")))
-        .when(kind == "bnode", o)
-        .otherwise(F.concat(F.lit('"'), escaped, F.lit('"'), typed))
-    )
-    return F.concat(subject, F.lit(" <"), p, F.lit("> "), target, F.lit(" ."))
+def document_text(lines: Column) -> Column:
+    """Sorted statements joined by newlines."""
+    return F.array_join(F.sort_array(lines), "\n")
 
 
 def ntriples(triples: DataFrame) -> DataFrame:
     """One statement per triple in the column ``line``."""
-    return triples.select(ntriples_line(*[F.col(c) for c in TRIPLE_COLUMNS]).alias("line"))
-
-
-def document_text(triples: Column) -> Column:
-    """Statements of a triple array, sorted and joined by newlines."""
-    lines = F.transform(triples, lambda t: ntriples_line(t.s, t.p, t.o, t.o_kind, t.o_datatype))
-    return F.array_join(F.sort_array(lines), "\n")
+    subject = "IF(startswith(s, '_:'), s, concat('<', s, '>'))"
+    target = f"CASE o_kind WHEN 'iri' THEN concat('<', o, '>') WHEN 'bnode' THEN o ELSE {_literal('o', 'o_datatype')} END"
+    return triples.selectExpr(f"concat({subject}, ' <', p, '> ', {target}, ' .') AS line")
 
 
 def merge_triples(existing: DataFrame, new: DataFrame) -> DataFrame:

@@ -18,22 +18,24 @@ from newsgraph.functions import (
 from newsgraph.operators.rdf import (
     DEFAULT_NS,
     OWL,
+    RDF_TYPE,
     RDFS_LABEL,
     Fact,
     Graph,
     Nested,
+    Triple,
     blank_node,
+    bnode_triple,
     date_facts,
     document_text,
     fact,
-    graph_to_array,
+    graph_lines,
     graph_to_triples,
     iri_triple,
-    link_triple,
+    link_fact,
     literal_triple,
     node,
     text,
-    triple,
     type_triple,
 )
 
@@ -74,14 +76,17 @@ def _custom_facts(ns: str, entry: str = "") -> tuple[Fact, ...]:
     """A class and a data property per key, and a typed literal per value; ``entry`` qualifies the field names."""
     pub = node(ns, "webpage", quote=False)
     term = node(ns, f"concat('cf_', {entry}custom_key)")
-    value = f"coalesce({entry}custom_value, {blank_node('webpage', f'{entry}custom_key')})"
-    kind = f"IF({entry}custom_value IS NULL, 'bnode', 'literal')"
-    valued = triple(pub, term, value, kind, f"{entry}custom_type")
+    blank = Triple(pub, term, blank_node("webpage", f"{entry}custom_key"), "bnode")
+    valued = Triple(pub, term, f"{entry}custom_value", "literal", f"{entry}custom_type")
     return (
         fact(("custom_key",), type_triple(term, OWL + "Class"), type_triple(term, OWL + "DataProperty")),
         fact(("webpage", "custom_key"), iri_triple(pub, ns + "has_extra_class", term)),
         fact(("webpage",), iri_triple(pub, ns + "has_extra_class", text(ns + "extraClass"))),
-        fact(("webpage", "custom_key", "custom_value", "custom_type"), valued),
+        Fact(
+            ("webpage", "custom_key", "custom_value", "custom_type"),
+            (valued,),
+            missing=(f"{entry}custom_value", (blank,)),
+        ),
     )
 
 
@@ -105,15 +110,14 @@ def article_graph(
     for column, cls, predicate, is_digest in LINKED_VALUES:
         if column == "author_hash":
             predicate = author_predicate
-        linked = iri_triple(pub, ns + predicate, node(ns, column, quote=not is_digest))
         blank = blank_node("webpage", text(predicate))
-        anonymous = [
-            type_triple(blank, ns + cls),
-            triple(blank, text(RDFS_LABEL), blank, "'bnode'"),
-            triple(pub, text(ns + predicate), blank, "'bnode'"),
-        ]
-        choice = f"IF({column} IS NULL, array({', '.join(anonymous)}), array({linked}))"
-        facts.append(Fact(("webpage", column), choice))
+        anonymous = (
+            Triple(blank, text(RDF_TYPE), text(ns + cls), "iri", blank_subject=True),
+            Triple(blank, text(RDFS_LABEL), blank, "bnode", blank_subject=True),
+            bnode_triple(pub, ns + predicate, blank),
+        )
+        linked = iri_triple(pub, ns + predicate, node(ns, column, quote=not is_digest))
+        facts.append(Fact(("webpage", column), (linked,), missing=(column, anonymous)))
     facts += date_facts(pub, ns, "webpage", ARTICLE_DATES)
     nodes = tuple((column, cls) for column, cls, *_ in LINKED_VALUES)
     return Graph(ns, nodes, tuple(facts), nested=_custom_fields(ns) if with_custom else None)
@@ -147,8 +151,8 @@ def article_documents(
     All statements of a document come from one row, so this is a projection: no explode and no shuffle.
     """
     rows = _article_values(df, guess_datetime)
-    statements = graph_to_array(article_graph(ns, author_predicate, with_custom=True))
-    return rows.select(sha256_hex(F.col("webpage")).alias("name"), document_text(statements).alias("document"))
+    lines = graph_lines(article_graph(ns, author_predicate, with_custom=True))
+    return rows.select(sha256_hex(F.col("webpage")).alias("name"), document_text(lines).alias("document"))
 
 
 def _entity_rows(df: DataFrame) -> DataFrame:
@@ -193,12 +197,10 @@ def entity_documents(entities: DataFrame, ns: str = DEFAULT_NS) -> DataFrame:
     """
     keys = ["webpage", "entity", "entity_label", "document_name"]
     grouped = _entity_rows(entities).groupBy(*keys).agg(F.collect_set("source_column").alias("sources"))
-    fixed = graph_to_array(entity_graph(ns, with_sources=False))
-    source = literal_triple(node(ns, "entity"), ns + "ner_source", "c")
-    sources = F.expr(f"transform(sources, c -> {source})")
-    return grouped.select(
-        F.col("document_name").alias("name"), document_text(F.concat(fixed, sources)).alias("document")
-    )
+    fixed = graph_lines(entity_graph(ns, with_sources=False))
+    source = literal_triple(node(ns, "entity"), ns + "ner_source", "c").line()
+    lines = F.concat(fixed, F.expr(f"transform(sources, c -> {source})"))
+    return grouped.select(F.col("document_name").alias("name"), document_text(lines).alias("document"))
 
 
 def add_record_hashes(records: DataFrame) -> DataFrame:
@@ -222,7 +224,7 @@ def _hashed_url_graph(ns: str) -> Graph:
         ("body_hash", "bodyHash", "has_body_hash", False),
     ]
     facts = [
-        fact(("url_hash", column), link_triple(url, ns, predicate, column, node(ns, column, quote), "url_hash"))
+        link_fact("url_hash", column, url, ns, predicate, node(ns, column, quote))
         for column, _, predicate, quote in links
     ]
     facts += date_facts(url, ns, "url_hash", RECORD_DATES)
@@ -240,7 +242,7 @@ def _raw_url_graph(ns: str, typed: bool) -> Graph:
         fact(("url", "label"), literal_triple(url, ns + "has_news_label", "label")),
         fact(("url", "domain"), iri_triple(url, ns + "has_domain", node(ns, "domain"))),
         fact(("title_hash", "title"), literal_triple(title, label_predicate, "title"), required=("title",)),
-        fact(("url", "title_hash"), link_triple(url, ns, "has_title", "title_hash", title, "url")),
+        link_fact("url", "title_hash", url, ns, "has_title", title),
         fact(("url", "body_hash"), literal_triple(url, ns + "has_body_hash", "body_hash")),
         *date_facts(url, ns, "url", RECORD_DATES),
     ]
@@ -268,12 +270,13 @@ def _content_rows(records: DataFrame) -> DataFrame:
 def _content_graph(ns: str) -> Graph:
     """News ids with their title and content; the whole texts are literals."""
     news, entity = node(ns, "news_id"), node(ns, "digest", quote=False)
-    target = f"IF(digest IS NULL, {blank_node('news_id', 'predicate')}, {entity})"
-    kind = "IF(digest IS NULL, 'bnode', 'iri')"
+    link = f"concat({text(ns)}, predicate)"
+    blank = Triple(news, link, blank_node("news_id", "predicate"), "bnode")
+    linked = Triple(news, link, entity, "iri")
     facts = (
         fact(("news_id",), literal_triple(news, ns + "label", "news_id")),
         fact(("digest", "text"), literal_triple(entity, ns + "label", "text"), required=("digest",)),
-        fact(("news_id", "predicate", "digest"), triple(news, f"concat({text(ns)}, predicate)", target, kind)),
+        Fact(("news_id", "predicate", "digest"), (linked,), missing=("digest", (blank,))),
     )
     return Graph(ns, (), facts)
 

@@ -54,6 +54,5 @@ SIDECAR_SCHEMA = _strings(SIDECAR_COLUMNS)
 
 TRIPLE_COLUMNS = ["s", "p", "o", "o_kind", "o_datatype"]
 TRIPLE_SCHEMA = _strings(TRIPLE_COLUMNS)
-TRIPLE_TYPE = "struct<" + ",".join(f"{c}:string" for c in TRIPLE_COLUMNS) + ">"
 
 ENTITY_COLUMNS = ["article_id", "url_hash", "source_column", "entity", "entity_label", "publication_date"]
