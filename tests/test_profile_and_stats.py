@@ -77,8 +77,8 @@ def test_describe_agrees_with_pandas(spark):
     found = {r["column"]: r for r in profile.describe_columns(df).collect()}
     want = frame.describe(include="all")
     for name in ("number", "count"):
-        pairs = zip(("mean", "std", "min", "q25", "q50", "q75", "max"), ("mean", "std", "min", "25%", "50%", "75%", "max"))
-        for ours, theirs in pairs:
+        ours_names = ("mean", "std", "min", "q25", "q50", "q75", "max")
+        for ours, theirs in zip(ours_names, ("mean", "std", "min", "25%", "50%", "75%", "max")):
             assert found[name][ours] == pytest.approx(want[name][theirs])
         assert found[name]["count"] == want[name]["count"]
     assert found["text"]["count"] == want["text"]["count"]
@@ -127,6 +127,14 @@ def test_melt_summary_and_line(spark, tmp_path):
     assert found["1c"]["std_dev"] == pytest.approx(np.std([324, 352, 356], ddof=1))
 
 
+def test_csv_with_byte_order_mark_quotes_and_line_breaks(spark, tmp_path):
+    content = '\ufeffSize,Stage,note\n1250,Stage 1,"two\nlines, ""quoted"""\n2500,Stage 1,\n'
+    (tmp_path / "bom.csv").write_text(content, encoding="utf-8")
+    read = read_csv(spark, str(tmp_path / "bom.csv"))
+    assert read.dtypes == [("Size", "int"), ("Stage", "string"), ("note", "string")]
+    assert rows(read) == [(1250, "Stage 1", 'two\nlines, "quoted"'), (2500, "Stage 1", None)]
+
+
 def test_ols_agrees_with_numpy(spark):
     rng = random.Random(2)
     points = [(c, x, 3 * x + 7 + rng.gauss(0, 1)) for c in "ab" for x in range(20)]
