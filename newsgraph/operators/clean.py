@@ -123,15 +123,28 @@ def parse_columns(record: Column) -> dict[str, Column]:
     return fields
 
 
-def parse_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted records with their place, rejected records with ``reject_reason`` and the whole text)."""
-    parsed = records.withColumns(parse_columns(F.col("record")))
+def parse_all(records: DataFrame) -> DataFrame:
+    """All records with ``reject_reason``: the fields of the accepted ones, the whole text of the rejected ones."""
     place = [c for c in POSITION if c in records.columns]
+    parsed = records.withColumns(parse_columns(F.col("record")))
+    is_accepted = F.col("reject_reason").isNull()
+    fields = [F.when(is_accepted, F.col(c)).alias(c) for c in RECORD_COLUMNS]
+    return parsed.select(*place, *fields, F.when(~is_accepted, F.col("record")).alias("record"), "reject_reason")
+
+
+def split_parsed(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(accepted records with their place, rejected records with ``reject_reason`` and the whole text)."""
+    place = [c for c in POSITION if c in parsed.columns]
     accepted = parsed.where("reject_reason IS NULL").select(*place, *RECORD_COLUMNS)
     rejected = parsed.where("reject_reason IS NOT NULL").select(*place, "record", "reject_reason")
     return accepted, rejected
 
 
+def parse_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``parse_all`` and ``split_parsed`` in one step."""
+    return split_parsed(parse_all(records))
+
+
 def reject_counts(records: DataFrame) -> DataFrame:
     """Number of records per outcome; 'accepted' counts the parsed ones."""
     reason = F.coalesce(parse_columns(F.col("record"))["reject_reason"], F.lit("accepted"))

@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsgraph.operators.clean import assemble_records, dedupe_last_wins, parse_records
+from newsgraph.operators.clean import assemble_records, dedupe_last_wins, parse_all, split_parsed
 from newsgraph.operators.entities import DEFAULT_RULES, rule_entities
 from newsgraph.operators.ingest import map_articles, map_mixed_articles, quarantine
 from newsgraph.operators.rdf import DEFAULT_NS, ontology, write_triples
@@ -20,6 +20,7 @@ from newsgraph.operators.triples import (
     entity_triples,
     url_triples,
 )
+from newsgraph.session import stored
 from newsgraph.sources.config import load_configs
 from newsgraph.sources.readers import read_lines, read_parquet
 
@@ -67,7 +68,7 @@ def export_entities(
     ns: str = DEFAULT_NS,
 ) -> None:
     """Latest snapshot -> entities -> triples, and documents if wanted."""
-    entities = rule_entities(snapshot_of(spark, table), rules)
+    entities = stored(rule_entities(snapshot_of(spark, table), rules), "entities")
     write_triples(entity_triples(entities, ns).unionByName(ontology(spark, "ner", ns)), triples_path)
     if documents_path:
         write_documents(entity_documents(entities, ns), documents_path)
@@ -75,7 +76,8 @@ def export_entities(
 
 def clean_lines(spark: SparkSession, source: str, json_path: str, rejected_path: str, batch_size: int = 500) -> None:
     """Broken CSV -> JSON batches of accepted records, last one per news id; rejects with their reason."""
-    accepted, rejected = parse_records(assemble_records(read_lines(spark, source)))
+    parsed = stored(parse_all(assemble_records(read_lines(spark, source))), "parsed")
+    accepted, rejected = split_parsed(parsed)
     write_json_batches(dedupe_last_wins(accepted), json_path, batch_size)
     rejected.write.mode("overwrite").parquet(rejected_path)
 

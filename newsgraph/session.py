@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 _shared: list[str] = []  # scratch folders of this process in the shared folder
@@ -51,6 +51,13 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{path}/data"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame that several outputs need to the scratch folder once, and read it from there."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def clean_scratch(spark: SparkSession) -> None:
     """Delete the intermediate tables that this process has written to the shared folder."""
     while _shared:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsgraph.operators import clean, sinks
+from newsgraph.plans import jobs
 from newsgraph.schema import RECORD_COLUMNS
 from newsgraph.sources.readers import read_json_batches, read_lines
 from tests.helpers import column, rows
@@ -159,3 +160,13 @@ def test_required_fields(spark):
         "url string, domain string, label string, body string",
     )
     assert clean.drop_missing_keys(df).count() == 2  # an empty label is a label
+
+
+def test_cleaning_job(spark, tmp_path):
+    lines = [record(head=f"{i},{i % 5},site.com,fake,u{i}", title="short" if i == 3 else TITLE) for i in range(20)]
+    (tmp_path / "raw.csv").write_text("\n".join(lines) + "\n")
+    jobs.clean_lines(spark, str(tmp_path / "raw.csv"), str(tmp_path / "json"), str(tmp_path / "rejected"), 2)
+    kept = spark.read.json(str(tmp_path / "json"))
+    assert sorted(int(i) for i in column(kept, "idx")) == [15, 16, 17, 18, 19]
+    rejected = spark.read.parquet(str(tmp_path / "rejected")).first()
+    assert (rejected["record"], rejected["reject_reason"]) == (lines[3], "R7")

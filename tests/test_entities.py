@@ -3,7 +3,11 @@ import re
 import pytest
 
 from newsgraph.operators import entities, rdf
+from newsgraph.operators.ingest import map_articles
+from newsgraph.operators.snapshot import append_articles
 from newsgraph.operators.triples import entity_documents, entity_triples
+from newsgraph.plans import jobs
+from newsgraph.plans.tables import CONFIG
 from newsgraph.schema import ENTITY_COLUMNS
 from tests.helpers import column, rows
 
@@ -105,3 +109,14 @@ def test_entity_documents(articles):
 def test_distinct_entities(articles):
     found = entities.rule_entities(articles)
     assert entities.distinct_entities(found.union(found)).count() == found.count()
+
+
+def test_entity_job(spark, tmp_path):
+    columns = "text string, title string, site_url string, type string, file_name string"
+    source = spark.createDataFrame([("Anna Smith met Bob Jones", "title", "u", "fake", "f")], columns)
+    append_articles(map_articles(source, CONFIG, "2024-01-01 00:00:00")[0], str(tmp_path / "articles"), "1")
+    jobs.export_entities(spark, str(tmp_path / "articles"), str(tmp_path / "graph"), str(tmp_path / "documents"))
+    stored = rdf.read_triples(spark, str(tmp_path / "graph"))
+    assert stored.where("p LIKE '%#has_ner_entity'").count() == 2
+    names = [v for v in column(spark.read.text(str(tmp_path / "documents")), "value") if v.startswith("# NER_")]
+    assert len(names) == 2
