@@ -89,44 +89,47 @@ def _join_in_order(order: str, text: str) -> Column:
     return F.array_join(F.transform(ordered, lambda x: x[text]), "\n")
 
 
-def parse_columns(record: Column) -> dict[str, Column]:
-    """The ten text fields of a record and ``reject_reason`` (R1..R9, NULL when accepted)."""
-    parts = F.split(record, '"')
-    head = F.split(F.get(parts, F.lit(0)), ",")
-    has_stamp = F.transform(parts, lambda part: part.rlike(STAMP_PART))
-    at = F.array_position(has_stamp, True).cast("int") - 1  # index of the first stamp part, -1 when there is none
-    stamps = F.filter(F.split(F.get(parts, at), ","), lambda piece: piece.rlike(STAMP))
-    title = F.get(parts, at + 1)
+def with_parsed_fields(records: DataFrame) -> DataFrame:
+    """Add the ten text fields of ``record`` and ``reject_reason`` (R1..R9, NULL when accepted).
 
+    The parts of the record are columns of their own on the way, so that each is computed once per record.
+    """
+    has_stamp = F.transform("_parts", lambda part: part.rlike(STAMP_PART))
+    at = F.array_position(has_stamp, True).cast("int") - 1  # index of the first stamp part, -1 when there is none
+    stamps = F.filter(F.split(F.get("_parts", "_at"), ","), lambda piece: piece.rlike(STAMP))
+    parts = (
+        records.withColumn("_parts", F.split("record", '"'))
+        .withColumns({"_head": F.split(F.get("_parts", F.lit(0)), ","), "_at": at})
+        .withColumns({"_stamps": stamps, "title": F.get("_parts", F.col("_at") + 1)})
+    )
+    title = F.col("title")
     digits = F.length(F.regexp_replace(title, r"\P{Nd}", ""))
     blanks = F.length(title) - F.length(F.replace(title, F.lit(" "), F.lit("")))
     commas = F.length(title) - F.length(F.replace(title, F.lit(","), F.lit("")))
     words_per_phrase = blanks / (commas + 1) + 1  # every phrase has one word more than it has blanks
 
     reason = (
-        F.when(F.size(parts) < 3, "R1")
-        .when(F.size(head) != 6, "R2")
-        .when(at < 1, "R3")
-        .when(F.size(stamps) != 3, "R4")
+        F.when(F.size("_parts") < 3, "R1")
+        .when(F.size("_head") != 6, "R2")
+        .when(F.col("_at") < 1, "R3")
+        .when(F.size("_stamps") != 3, "R4")
         .when(title.isNull(), "R5")
         .when(title.rlike(r"^\[") & title.rlike(r"]$"), "R6")
         .when(F.length(title) <= MIN_TITLE_LENGTH, "R7")
         .when(digits / F.length(title) > MAX_DIGIT_SHARE, "R8")
         .when(words_per_phrase <= MIN_WORDS_PER_PHRASE, "R9")
     )
-    fields = {name: F.get(head, F.lit(i)) for i, name in enumerate(RECORD_COLUMNS[:5])}
-    fields["body"] = F.when(at >= 1, F.array_join(F.slice(parts, F.lit(2), F.greatest(at - 1, F.lit(0))), ""))
-    for i, name in enumerate(["scraped_at", "inserted_at", "updated_at"]):
-        fields[name] = F.get(stamps, F.lit(i))
-    fields["title"] = title
-    fields["reject_reason"] = reason
-    return fields
+    body = F.array_join(F.slice("_parts", F.lit(2), F.greatest(F.col("_at") - 1, F.lit(0))), "")
+    fields = {name: F.get("_head", F.lit(i)) for i, name in enumerate(RECORD_COLUMNS[:5])}
+    fields["body"] = F.when(F.col("_at") >= 1, body)
+    fields.update({name: F.get("_stamps", F.lit(i)) for i, name in enumerate(RECORD_COLUMNS[6:9])})
+    return parts.withColumns({**fields, "reject_reason": reason}).drop("_parts", "_head", "_at", "_stamps")
 
 
 def parse_all(records: DataFrame) -> DataFrame:
     """All records with ``reject_reason``: the fields of the accepted ones, the whole text of the rejected ones."""
     place = [c for c in POSITION if c in records.columns]
-    parsed = records.withColumns(parse_columns(F.col("record")))
+    parsed = with_parsed_fields(records)
     is_accepted = F.col("reject_reason").isNull()
     fields = [F.when(is_accepted, F.col(c)).alias(c) for c in RECORD_COLUMNS]
     return parsed.select(*place, *fields, F.when(~is_accepted, F.col("record")).alias("record"), "reject_reason")
@@ -147,8 +150,8 @@ def parse_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def reject_counts(records: DataFrame) -> DataFrame:
     """Number of records per outcome; 'accepted' counts the parsed ones."""
-    reason = F.coalesce(parse_columns(F.col("record"))["reject_reason"], F.lit("accepted"))
-    return records.groupBy(reason.alias("outcome")).agg(F.count(F.lit(1)).alias("n_records"))
+    outcome = F.coalesce("reject_reason", F.lit("accepted")).alias("outcome")
+    return with_parsed_fields(records).groupBy(outcome).agg(F.count(F.lit(1)).alias("n_records"))
 
 
 def dedupe_last_wins(df: DataFrame, key: str = "news_id", order: tuple[str, ...] = tuple(POSITION)) -> DataFrame:

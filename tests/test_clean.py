@@ -44,7 +44,7 @@ ODD_RECORDS = [
 def odd(spark):
     data = [(i, text, want) for i, (text, want) in enumerate(ODD_RECORDS)]
     df = spark.createDataFrame(data, "n int, record string, want string")
-    return df.withColumns(clean.parse_columns(F.col("record"))).orderBy("n").collect()
+    return clean.with_parsed_fields(df).orderBy("n").collect()
 
 
 def test_reject_reasons(odd):
