@@ -2,10 +2,10 @@
 
 1. Minimisers that occur more than once anywhere are found from their hashes alone (4 bytes each) and kept in a bit
    table of fixed size. A window whose minimiser is unique is unique itself, so its text never travels.
-2. The other super-k-mers travel to the bucket of their minimiser as packed strings. Equal strings of one chunk of
-   documents are combined before the shuffle: a passage that every document repeats is one string per chunk.
-3. Minimisers found in a large part of all chunks (their number is bounded by the chunk size) are hot. Their windows
-   are sent one by one to the bucket of the window's own hash, so the contexts of a common line spread evenly.
+2. The other super-k-mers travel to the bucket of their minimiser as packed strings. Of equal strings in one chunk
+   of documents only the earliest travels: the later ones are covered whatever other chunks hold, and are settled
+   at once. A passage that every document repeats reaches its bucket as one string per chunk.
+3. Minimisers that are frequent in most chunks (their number is bounded by the chunk size) are hot. Their windows are sent one by one to the bucket of the window's own hash, so the contexts of a common line spread evenly.
 4. A bucket finds the earliest document of every window; each operator does this by its own method.
 5. The covered spans return to their documents. Only texts that may have spans are shuffled for that.
 """
@@ -29,7 +29,8 @@ from newsgraph.session import stored
 
 TABLE_BITS = 28  # bit table of repeated minimisers: 32 MB whatever the input
 _SLICES = 256  # parts of the table, each made by one reducer at a time
-HOT_SHARE = 16  # a minimiser in more than 1 / HOT_SHARE of all chunks is hot
+_SHORT = 30  # bits of a minimiser's hash that are counted, beside the 8 that name its slice
+HOT_TIMES = 16  # a minimiser with so many super-k-mers in a chunk, in more than half of all chunks, is hot
 BUCKET_BYTES = 4 << 20  # input text per bucket
 ID_BITS = 1 << 26
 
@@ -86,8 +87,8 @@ def _minimisers(kind: Windows):
             sequence = kind.cut(data, offsets)
             least = runs(sequence.hashes.sliding(kind.gram), sequence.ranges, kind.width, kind.gram)[3]
             keys, times = np.unique(mix(least), return_counts=True)
-            short = ((keys >> np.uint64(25)) & np.uint64(0x7FFFFFFF)).astype(np.uint32) << np.uint32(1)
-            short |= (times > 1).astype(np.uint32)
+            short = ((keys >> np.uint64(64 - 8 - _SHORT)) & np.uint64((1 << _SHORT) - 1)).astype(np.uint32)
+            short = (short << np.uint32(2)) | (times > 1) | ((times >= HOT_TIMES).astype(np.uint32) << np.uint32(1))
             cuts = np.searchsorted(keys >> np.uint64(56), np.arange(_SLICES + 1))
             parts = [short[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             yield pa.record_batch([pa.array(range(_SLICES), pa.int32()), pa.array(parts, pa.binary())], ["slice", "keys"])
@@ -99,18 +100,19 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by slice, one per chunk. The counts of a slice are merged as they come, so memory is bounded
     by the number of different short keys."""
 
-    def merge(keys: np.ndarray, counts: np.ndarray, again: np.ndarray, parts: list[np.ndarray]):
+    def merge(keys: np.ndarray, times: np.ndarray, many: np.ndarray, parts: list[np.ndarray]):
         new = np.concatenate(parts)
-        key = np.concatenate([keys, new >> np.uint32(1)])
-        count = np.concatenate([counts, np.ones(len(new), np.int64)])
-        more = np.concatenate([again, (new & np.uint32(1)) == 1])
+        key = np.concatenate([keys, new >> np.uint32(2)])
+        # Once or more in this chunk; in how many chunks it is frequent.
+        count = np.concatenate([times, 1 + (new & np.uint32(1)).astype(np.int64)])
+        often = np.concatenate([many, ((new >> np.uint32(1)) & np.uint32(1)).astype(np.int64)])
         out, at = np.unique(key, return_inverse=True)
-        return out, np.bincount(at, count).astype(np.int64), np.bincount(at, more) > 0
+        return out, np.bincount(at, count).astype(np.int64), np.bincount(at, often).astype(np.int64)
 
-    def result(at: int, keys: np.ndarray, counts: np.ndarray, again: np.ndarray, chunks: int) -> pa.RecordBatch:
+    def result(at: int, keys: np.ndarray, times: np.ndarray, many: np.ndarray, chunks: int) -> pa.RecordBatch:
         bits = np.zeros(1 << (TABLE_BITS - 8), bool)
-        bits[(keys >> np.uint32(31 - TABLE_BITS + 8))[(counts > 1) | again]] = True
-        hot = keys[(counts > 16) & (counts * HOT_SHARE > chunks)].astype(np.int64) | (at << 31)
+        bits[(keys >> np.uint32(_SHORT - TABLE_BITS + 8))[times > 1]] = True
+        hot = keys[2 * many > chunks].astype(np.int64) | (at << _SHORT)
         return pa.record_batch(
             [
                 pa.array([at], pa.int32()),
@@ -120,7 +122,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["slice", "bits", "hot"],
         )
 
-    none = (np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, bool))
+    none = (np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64))
     at, state, parts, held, chunks = None, none, [], 0, 0
     for batch in batches:
         for slice_no, keys in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -137,12 +139,12 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield result(at, *(merge(*state, parts) if parts else state), chunks)
 
 
-def _pack(pieces: list[bytes], piece: list[int], ids: np.ndarray, tags: np.ndarray, starts: np.ndarray) -> bytes:
+def _pack(pieces: list[bytes], piece: np.ndarray, ids: np.ndarray, tags: np.ndarray, starts: np.ndarray) -> bytes:
     return b"".join(
         [
             np.array([len(pieces), len(ids)], np.int64).tobytes(),
             np.array([len(p) for p in pieces], np.int64).tobytes(),
-            np.array(piece, np.int64).tobytes(),
+            piece.tobytes(),
             ids.tobytes(),
             tags.tobytes(),
             starts.astype(np.int64).tobytes(),
@@ -161,6 +163,20 @@ def _unpack(blob: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarra
     return pieces, *arrays
 
 
+def _direct(
+    text: np.ndarray, first: np.ndarray, units: np.ndarray, sequence: Sequence, rows: pa.RecordBatch
+) -> np.ndarray:
+    """Merged spans of a chunk as rows of (document, tag, packed span)."""
+    order = np.argsort(first, kind="stable")
+    text, first, end = text[order], first[order], np.maximum.accumulate((first + units)[order])
+    new = np.ones(len(first), bool)
+    new[1:] = (first[1:] > end[:-1]) | (text[1:] != text[:-1])
+    begin = np.flatnonzero(new)
+    text, first, end = text[begin], first[begin], end[np.append(begin[1:] - 1, len(first) - 1)]
+    columns = [rows.column(i).to_numpy(zero_copy_only=False)[text].astype(np.int64) for i in (0, 1)]
+    return np.stack([*columns, ((first - sequence.ranges[text]) << 32) | (end - first)], 1)
+
+
 def _super_k_mers(kind: Windows, table, hot, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
@@ -177,8 +193,8 @@ def _super_k_mers(kind: Windows, table, hot, buckets: int):
             if not len(key):
                 continue
             if len(hot.value):
-                place = np.minimum(np.searchsorted(hot.value, key >> np.uint64(25)), len(hot.value) - 1)
-                single = hot.value[place] == key >> np.uint64(25)
+                place = np.minimum(np.searchsorted(hot.value, key >> np.uint64(56 - _SHORT)), len(hot.value) - 1)
+                single = hot.value[place] == key >> np.uint64(56 - _SHORT)
                 if single.any():
                     n = sizes[single]
                     window = np.repeat(first[single], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -193,14 +209,26 @@ def _super_k_mers(kind: Windows, table, hot, buckets: int):
             ids = rows.column(0).to_numpy(zero_copy_only=False)[text].astype(np.int64)
             tags = rows.column(1).to_numpy(zero_copy_only=False)[text].astype(np.int64)
             begin = first - sequence.ranges[text]
-            found = list(sequence.pieces(first, first + sizes + kind.width - 1))
-            cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+            slots: dict[bytes, int] = {}
+            found = sequence.pieces(first, first + sizes + kind.width - 1)
+            piece = np.fromiter((slots.setdefault(p, len(slots)) for p in found), np.int64, len(first))
+            earliest = np.full(len(slots), np.iinfo(np.int64).max)
+            np.minimum.at(earliest, piece, ids)
+            # What an earlier document of this chunk has as well is settled here; only first occurrences travel.
+            later = ids > earliest[piece]
             numbers, blobs = [], []
+            if later.any():
+                direct = _direct(text[later], first[later], sizes[later] + kind.width - 1, sequence, rows)
+                numbers.append(int(bucket[0]))
+                blobs.append(b"S" + squeeze.compress(direct.tobytes()))
+            piece, ids, tags, begin, bucket = (x[~later] for x in (piece, ids, tags, begin, bucket))
+            strings = list(slots)
+            cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                slots: dict[bytes, int] = {}
-                piece = [slots.setdefault(p, len(slots)) for p in found[a:b]]
+                own, place = np.unique(piece[a:b], return_inverse=True)
+                blob = _pack([strings[i] for i in own], place, ids[a:b], tags[a:b], begin[a:b])
                 numbers.append(int(bucket[a]))
-                blobs.append(squeeze.compress(_pack(list(slots), piece, ids[a:b], tags[a:b], begin[a:b])))
+                blobs.append(b"P" + squeeze.compress(blob))
             yield pa.record_batch([pa.array(numbers, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     return run
@@ -234,7 +262,7 @@ def _bucket_spans(kind: Windows):
         span = np.repeat(cuts[piece] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         hit = ids[row] > document[span]
         row, span = row[hit], span[hit]
-        packed = ((starts[row] + first[span]) << 24) | np.minimum(units[span], (1 << 24) - 1)
+        packed = ((starts[row] + first[span]) << 32) | units[span]
         if len(row):  # one span row per document, tag and place at most
             unique = np.unique(np.stack([ids[row], tags[row], packed]), axis=1)
             return pa.record_batch([pa.array(unique[i]) for i in range(3)], ["doc_id", "tag", "span"])
@@ -248,7 +276,11 @@ def _bucket_spans(kind: Windows):
                     yield spans(blobs)
                     blobs = []
                 at = bucket
-                blobs.append(blob)
+                if blob[:1] == b"S":
+                    made = np.frombuffer(zstandard.decompress(blob[1:]), np.int64).reshape(-1, 3)
+                    yield pa.record_batch([pa.array(made[:, i]) for i in range(3)], ["doc_id", "tag", "span"])
+                else:
+                    blobs.append(blob[1:])
         if blobs:
             yield spans(blobs)
 
@@ -258,7 +290,7 @@ def _bucket_spans(kind: Windows):
 def covered(docs: DataFrame, kind: Windows) -> DataFrame:
     """``doc_id, tag, spans`` for documents with a window that also starts in a document with a smaller id.
 
-    ``docs`` has ``doc_id, tag, text``; ``tag`` tells rows with one id apart. A span is first unit << 24 | units.
+    ``docs`` has ``doc_id, tag, text``; ``tag`` tells rows with one id apart. A span is first unit << 32 | units.
     """
     spark = docs.sparkSession
     named = docs.where("doc_id IS NOT NULL")  # a row without id is neither earlier nor later than another
@@ -283,7 +315,7 @@ def covered(docs: DataFrame, kind: Windows) -> DataFrame:
 
 def merged(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First units and ends of the maximal covered ranges."""
-    first, end = spans >> 24, (spans >> 24) + (spans & ((1 << 24) - 1))
+    first, end = spans >> 32, (spans >> 32) + (spans & 0xFFFFFFFF)
     order = np.argsort(first, kind="stable")
     first, reach = first[order], np.maximum.accumulate(end[order])
     new = np.ones(len(first), bool)

@@ -18,15 +18,15 @@ GRAM = 16
 DEPTH = 72  # bytes that the suffix order looks at
 
 
-def _suffixes(pieces: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Padded bytes of all pieces and, for each suffix that may repeat: piece, place, remaining bytes.
+def _suffixes(pieces: list[bytes], width: int) -> tuple[np.ndarray, ...]:
+    """Of each suffix that may repeat: piece, place, remaining bytes, the byte before it, and its first DEPTH bytes
+    as big-endian numbers (zeros after the end of the piece).
 
     A suffix whose first ``width`` bytes occur once lies in no interval of that depth and is left out.
     """
-    gap = bytes(DEPTH)
-    data = np.frombuffer(gap.join(pieces) + gap, np.uint8)
+    data = np.frombuffer(b"".join(pieces) + bytes(DEPTH), np.uint8)
     sizes = np.array([len(p) for p in pieces])
-    base = np.cumsum(sizes + DEPTH) - sizes - DEPTH
+    base = np.cumsum(sizes) - sizes
     lengths = sizes - width + 1
     piece = np.repeat(np.arange(len(pieces)), lengths)
     inside = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
@@ -38,23 +38,23 @@ def _suffixes(pieces: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray,
     several[order[1:][equal]] = True
     several[order[:-1][equal]] = True
     piece, inside, at = piece[several], inside[several], at[several]
-    return data, piece, at, sizes[piece] - inside
+    rest = sizes[piece] - inside
+    heads = np.lib.stride_tricks.sliding_window_view(data, DEPTH)[at]
+    heads[np.arange(DEPTH) >= rest[:, None]] = 0
+    return piece, inside, rest, data[at - 1], heads.view(">u8").astype(np.uint64)
 
 
-def _enhanced(data: np.ndarray, at: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _enhanced(heads: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffix order to DEPTH bytes and the common prefix of each suffix with the one before it."""
-    eight = data.astype(np.uint64)
-    for step in (1, 2, 4):
-        shifted = np.concatenate([eight[step:], np.zeros(step, np.uint64)])
-        eight = (eight << np.uint64(8 * step)) | shifted
-    keys = [eight[at + k] for k in range(0, DEPTH, 8)]
+    n = len(rest)
+    keys = list(heads.T)
     order = np.lexsort(keys[::-1])
-    common = np.zeros(len(at), np.int64)
-    open_ = np.ones(len(at), bool)
+    common = np.zeros(n, np.int64)
+    open_ = np.ones(n, bool)
     open_[:1] = False
     for key in keys:
         key = key[order]
-        differs = np.zeros(len(at), np.uint64)
+        differs = np.zeros(n, np.uint64)
         differs[1:] = key[1:] ^ key[:-1]
         same = open_ & (differs == 0)
         part = open_ & (differs != 0)
@@ -77,13 +77,12 @@ def maximal_repeats(pieces: list[bytes], width: int = WINDOW) -> Iterator[tuple[
     maximal repeat if its occurrences have different left neighbours; the start of a piece counts as different from
     everything. Repeats of DEPTH bytes may be longer and are reported without that test.
     """
-    data, piece, at, rest = _suffixes(pieces, width)
-    if not len(at):
+    piece, place, rest, before, heads = _suffixes(pieces, width)
+    if not len(piece):
         return
-    order, common = _enhanced(data, at, rest)
-    piece, at, rest = piece[order], at[order], rest[order]
-    place = np.array([len(p) for p in pieces])[piece] - rest
-    left = np.where(place > 0, data[at - 1].astype(np.int64), -1 - np.arange(len(at)))
+    order, common = _enhanced(heads, rest)
+    piece, place = piece[order], place[order]
+    left = np.where(place > 0, before[order].astype(np.int64), -1 - np.arange(len(place)))
     changes = np.concatenate([[0], np.cumsum(left[1:] != left[:-1])])  # equal neighbours all along: not diverse
 
     def diverse(first: int, last: int, length: int) -> bool:
