@@ -43,4 +43,32 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
-LLM_ORACLE: dict[str, str] = {"op2_exact_dedup": OP2, "op10_mixing": OP10}
+OP5 = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn)) AS loss_sha256,
+       CAST(sum(20 + length(role) + length(text)
+           + len(regexp_extract_all(role, '[<\[]\\*(s>|INST\]|/INST\]|/s>)'))
+           + len(regexp_extract_all(text, '[<\[]\\*(s>|INST\]|/INST\]|/s>)'))) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+OP7 = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+g AS (SELECT html, min(page_id) AS first_id FROM p GROUP BY html)
+SELECT p.page_id, strlen(p.html) AS payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + ((CAST('0x' || substr(p.hex, 1 + 5 * (k // 4), 5) AS BIGINT) >> (15 - 5 * (k % 4))) & 31), 1)
+           FOR k IN range(32)], '') AS payload_digest,
+       CASE WHEN p.page_id IS NOT DISTINCT FROM g.first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN p.page_id IS DISTINCT FROM g.first_id THEN g.first_id END AS refers_to
+FROM p JOIN g ON p.html = g.html
+"""
+
+LLM_ORACLE: dict[str, str] = {"op2_exact_dedup": OP2, "op5_chat_format": OP5, "op7_warc_zip": OP7, "op10_mixing": OP10}

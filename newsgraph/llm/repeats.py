@@ -31,7 +31,7 @@ TABLE_BITS = 28  # bit table of repeated minimisers: 32 MB whatever the input
 _SLICES = 256  # parts of the table, each made by one reducer at a time
 _SHORT = 30  # bits of a minimiser's hash that are counted, beside the 8 that name its slice
 HOT_TIMES = 16  # a minimiser with so many super-k-mers in a chunk, in more than half of all chunks, is hot
-BUCKET_BYTES = 4 << 20  # input text per bucket
+BUCKET_BYTES = 1 << 20  # input text per bucket
 ID_BITS = 1 << 26
 
 
