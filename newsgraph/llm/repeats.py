@@ -30,8 +30,9 @@ from newsgraph.session import stored
 TABLE_BITS = 28  # bit table of repeated minimisers: 32 MB whatever the input
 _SLICES = 256  # parts of the table, each made by one reducer at a time
 _SHORT = 30  # bits of a minimiser's hash that are counted, beside the 8 that name its slice
-HOT_TIMES = 16  # a minimiser with so many super-k-mers in a chunk, in more than half of all chunks, is hot
-BUCKET_BYTES = 1 << 20  # input text per bucket
+HOT_TIMES = 8  # a minimiser with so many super-k-mers in a chunk, in more than half of all chunks, is hot
+CHUNK_BYTES = 1 << 20  # text that a task works on at a time
+BUCKET_BYTES = 2 << 20  # input text per bucket
 ID_BITS = 1 << 26
 
 
@@ -83,7 +84,7 @@ class Windows:
 
 def _minimisers(kind: Windows):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data, offsets in text_chunks(batches, "text"):
+        for _, data, offsets in text_chunks(batches, "text", CHUNK_BYTES):
             sequence = kind.cut(data, offsets)
             least = runs(sequence.hashes.sliding(kind.gram), sequence.ranges, kind.width, kind.gram)[3]
             keys, times = np.unique(mix(least), return_counts=True)
@@ -180,7 +181,7 @@ def _direct(
 def _super_k_mers(kind: Windows, table, hot, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
-        for rows, data, offsets in text_chunks(batches, "text"):
+        for rows, data, offsets in text_chunks(batches, "text", CHUNK_BYTES):
             sequence = kind.cut(data, offsets)
             text, first, sizes, least = runs(
                 sequence.hashes.sliding(kind.gram), sequence.ranges, kind.width, kind.gram
@@ -340,7 +341,7 @@ def apply_spans(docs: DataFrame, kind: Windows, remove: Callable, plain: Callabl
     types = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[x.split()[1]] for x in results.split(", ")]
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in text_chunks(batches, "text"):
+        for rows, data, offsets in text_chunks(batches, "text", CHUNK_BYTES):
             ids = rows.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             hit = table.perhaps(ids.view(np.uint64))
             texts = [data[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]

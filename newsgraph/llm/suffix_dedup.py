@@ -70,8 +70,10 @@ def _enhanced(heads: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return order, common
 
 
-def maximal_repeats(pieces: list[bytes], width: int = WINDOW) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Maximal repeats of at least ``width`` bytes: length, and piece and place of every occurrence.
+def repeat_tree(
+    pieces: list[bytes], width: int = WINDOW
+) -> tuple[np.ndarray, np.ndarray, Iterator[tuple[int, int, int]]]:
+    """Piece and place of the suffixes in order, and the maximal repeats as (length, first suffix, end).
 
     One scan over the common prefixes with a stack visits the intervals of the tree bottom-up. An interval is a
     maximal repeat if its occurrences have different left neighbours; the start of a piece counts as different from
@@ -79,36 +81,54 @@ def maximal_repeats(pieces: list[bytes], width: int = WINDOW) -> Iterator[tuple[
     """
     piece, place, rest, before, heads = _suffixes(pieces, width)
     if not len(piece):
-        return
+        return piece, place, iter(())
     order, common = _enhanced(heads, rest)
     piece, place = piece[order], place[order]
     left = np.where(place > 0, before[order].astype(np.int64), -1 - np.arange(len(place)))
-    changes = np.concatenate([[0], np.cumsum(left[1:] != left[:-1])])  # equal neighbours all along: not diverse
+    changes = np.concatenate([[0], np.cumsum(left[1:] != left[:-1])]).tolist()  # equal all along: not diverse
+    values = common.tolist() + [0]
 
-    def diverse(first: int, last: int, length: int) -> bool:
-        return length >= DEPTH or changes[last] != changes[first]
+    def scan() -> Iterator[tuple[int, int, int]]:
+        stack: list[tuple[int, int]] = []  # (common prefix, first suffix)
+        for i in range(1, len(values)):
+            first = i - 1
+            while stack and stack[-1][0] > values[i]:
+                length, first = stack.pop()
+                if length >= DEPTH or changes[i - 1] != changes[first]:
+                    yield length, first, i
+            if values[i] >= width and (not stack or stack[-1][0] < values[i]):
+                stack.append((values[i], first))
 
-    stack: list[tuple[int, int]] = []  # (common prefix, first suffix)
-    values = common.tolist() + [0]
-    for i in range(1, len(values)):
-        first = i - 1
-        while stack and stack[-1][0] > values[i]:
-            length, first = stack.pop()
-            if diverse(first, i - 1, length):
-                yield length, piece[first:i], place[first:i]
-        if values[i] >= width and (not stack or stack[-1][0] < values[i]):
-            stack.append((values[i], first))
+    return piece, place, scan()
+
+
+def maximal_repeats(pieces: list[bytes], width: int = WINDOW) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Maximal repeats of at least ``width`` bytes: length, and piece and place of every occurrence."""
+    piece, place, found = repeat_tree(pieces, width)
+    for length, first, end in found:
+        yield length, piece[first:end], place[first:end]
 
 
 def _spans(pieces: list[bytes], earliest: np.ndarray):
-    parts = []
-    for length, piece, place in maximal_repeats(pieces):
-        first = earliest[piece].min()
-        parts.append((piece, place, np.full(len(piece), length), np.full(len(piece), first)))
-    if not parts:
-        none = np.zeros(0, np.int64)
-        return none, none, none, none
-    return tuple(np.concatenate([p[i] for p in parts]) for i in range(4))
+    """A wider interval gives a shorter span, so it adds to an occurrence only if its earliest document is earlier
+    than that of every interval inside it; what adds nothing is not kept."""
+    piece, place, found = repeat_tree(pieces)
+    document = earliest[piece]  # of the intervals so far; at first the document of the occurrence itself
+    which, lengths, documents = [], [], []
+    for length, first, end in found:
+        inside = document[first:end]
+        least = inside.min()
+        adds = np.flatnonzero(inside > least) + first
+        if len(adds):
+            document[adds] = least
+            which.append(adds.astype(np.int32))
+            lengths.append(length)
+            documents.append(least)
+    sizes = [len(w) for w in which]
+    at = np.concatenate(which) if which else np.zeros(0, np.int32)
+    return piece[at], place[at], np.repeat(np.array(lengths, np.int64), sizes), np.repeat(
+        np.array(documents, np.int64), sizes
+    )
 
 
 KIND = Windows(as_bytes, WINDOW, GRAM, _spans, len)
