@@ -99,4 +99,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         lambda text: _kept(text, _NONE, _NONE),
         "n_words long, n_removed long, kept_text binary",
     )
-    return out.withColumn("kept_text", F.decode("kept_text", F.lit("UTF-8")))
+    return out.withColumn("kept_text", F.decode("kept_text", "UTF-8"))

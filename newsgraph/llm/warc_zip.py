@@ -90,7 +90,8 @@ def members(file) -> dict[str, tuple[int, int]]:
     tail_at = max(0, size - 65557)
     tail = file.read_at(size - tail_at, tail_at)
     end = tail.rfind(b"PK\5\6")
-    while end >= 0 and end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail):
+    # The signature may also occur in the comment; the comment's length must fit the end of the file.
+    while end >= 0 and (end + 22 > len(tail) or end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail)):
         end = tail.rfind(b"PK\5\6", 0, end)
     if end < 0:
         raise ValueError("no end of a central directory: not a ZIP package")
