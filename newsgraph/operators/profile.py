@@ -86,14 +86,16 @@ def reconcile_summary(reconciled: DataFrame) -> DataFrame:
 
 
 def describe_columns(df: DataFrame) -> DataFrame:
-    """Profile of every column: count, unique, top, freq for texts; mean, std, min, quartiles, max for numbers.
+    """Profile of every column: count, unique, top, freq for texts and all other types as text; mean, std, min, quartiles, max for numbers.
 
     Values are counted by their sha256, not by their text, so long texts are not shuffled; the most frequent text
     is fetched afterwards by its hash. ``top`` is the smallest hash among equally frequent values. Quartiles are
     exact and computed without gathering a column in one task.
     """
-    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     numbers = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
+    texts = [f.name for f in df.schema.fields if f.name not in numbers]
+    binary = [f.name for f in df.schema.fields if isinstance(f.dataType, T.BinaryType)]
+    df = df.withColumns({c: F.base64(c) if c in binary else F.col(f"`{c}`").cast("string") for c in texts})
     parts = []
     if texts:
         parts.append(_describe_texts(df, texts))

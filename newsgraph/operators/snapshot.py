@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +13,11 @@ from newsgraph.schema import ARTICLE_COLUMNS, ARTICLE_SCHEMA
 SNAPSHOT_KEYS = ("article_id", "url")
 
 
+def load_name(origin: str, run: str) -> str:
+    """Name of a load: what makes it, and which of its runs. Two sources with one stamp are two loads."""
+    return f"{run}-{sha256(origin.encode()).hexdigest()[:16]}"
+
+
 def append_articles(df: DataFrame, path: str, load_id: str) -> None:
     """Add one load to the article table, which is partitioned by load. Repeating a load replaces it."""
     df.write.mode("overwrite").parquet(f"{path}/load_id={load_id}")

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsgraph.operators.clean import assemble_records, dedupe_last_wins, parse_all, split_parsed
+from newsgraph.operators.clean import assemble_records, dedupe_last_wins, drop_missing_keys, parse_all, split_parsed
 from newsgraph.operators.entities import DEFAULT_RULES, rule_entities
-from newsgraph.operators.ingest import map_articles, map_mixed_articles, quarantine
+from newsgraph.operators.ingest import map_mixed_articles, quarantine
 from newsgraph.operators.rdf import DEFAULT_NS, ontology, write_triples
 from newsgraph.operators.sinks import sidecar_json, write_documents, write_json_batches, write_text
-from newsgraph.operators.snapshot import append_articles, latest_snapshot, read_articles
+from newsgraph.operators.snapshot import append_articles, latest_snapshot, load_name, read_articles
 from newsgraph.operators.triples import (
     add_record_hashes,
     article_documents,
@@ -22,7 +23,7 @@ from newsgraph.operators.triples import (
 )
 from newsgraph.session import stored
 from newsgraph.sources.config import load_configs
-from newsgraph.sources.readers import read_lines, read_parquet
+from newsgraph.sources.readers import dataset_files, read_lines, read_parquet, with_dataset_name
 
 
 def ingest_dataset(
@@ -30,17 +31,21 @@ def ingest_dataset(
 ) -> None:
     """Parquet files and their YAML configs -> one load of the article table; rejects beside it.
 
-    The load is named by its time stamp, so running it twice gives the same table as running it once.
+    Every dataset of the folder is read with its own columns, and its config is chosen by its name, however many
+    configs there are: the dataset column of its rows if it has one, else the name of its file or folder. A dataset
+    without config is rejected with its whole rows. The load is named by source and time stamp: running it again
+    replaces it and nothing else.
     """
-    rows = read_parquet(spark, source)
-    load_id = re.sub(r"\D+", "-", run_ts)
     configs = load_configs(spark, config_dir)
-    if len(configs) == 1:
-        accepted, rejected = map_articles(rows, next(iter(configs.values())), run_ts)
-    else:
-        accepted, rejected = map_mixed_articles(rows, configs, run_ts, dataset_col)
-    append_articles(accepted, table, load_id)
-    append_articles(quarantine(rejected), f"{table}_rejected", load_id)
+    accepted, rejected = [], []
+    for name, files in dataset_files(spark, source).items():
+        rows = with_dataset_name(read_parquet(spark, *files), name, dataset_col)
+        good, bad = map_mixed_articles(rows, configs, run_ts, dataset_col)
+        accepted.append(good)
+        rejected.append(quarantine(bad))
+    load = load_name(source, re.sub(r"\D+", "-", run_ts))
+    append_articles(reduce(DataFrame.unionByName, accepted), table, load)
+    append_articles(reduce(DataFrame.unionByName, rejected), f"{table}_rejected", load)
 
 
 def snapshot_of(spark: SparkSession, table: str, unique: bool = False) -> DataFrame:
@@ -84,6 +89,7 @@ def clean_lines(spark: SparkSession, source: str, json_path: str, rejected_path:
 
 def export_records(records: DataFrame, triples_path: str, sidecar_path: str, ns: str = DEFAULT_NS) -> None:
     """Cleaned records -> URL-centred triples and one side-car object per URL."""
+    records = drop_missing_keys(records)  # a record without its key parts has no node and no side-car key
     write_triples(url_triples(records, ns), triples_path)
     last = dedupe_last_wins(add_record_hashes(records), "url_hash", ("updated_at", "idx", "news_id"))
     write_text(sidecar_json(last), sidecar_path)

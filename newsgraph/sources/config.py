@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from newsgraph.schema import MANDATORY_COLUMNS, SUPPLEMENTARY_COLUMNS
 
 CONFIG_KEYS = {"source", "mandatory_columns", "supplementary_columns", "custom_columns"}
-MAX_CONFIGS = 10_000
 
 
 @dataclass(frozen=True)
@@ -64,19 +63,16 @@ class MappingConfig:
 def load_configs(spark: SparkSession, path: str) -> dict[str, MappingConfig]:
     """All configs of a folder, keyed by dataset file name: ``a.parquet.yml`` belongs to ``a.parquet``.
 
-    Configs are small and few (one per dataset); the number is checked before they reach the driver.
+    A config is a small text and there is one per dataset, not per file or row.
     """
     found = (
         spark.read.option("pathGlobFilter", "*.yml")
         .text(path, wholetext=True)
         .select("value", F.col("_metadata.file_name").alias("name"))
-        .limit(MAX_CONFIGS + 1)
         .collect()
     )
     if not found:
         raise FileNotFoundError(f"no mapping config under {path}")
-    if len(found) > MAX_CONFIGS:
-        raise ValueError(f"more than {MAX_CONFIGS} mapping configs under {path}")
     return {os.path.splitext(row["name"])[0]: MappingConfig.from_text(row["value"]) for row in found}
 
 

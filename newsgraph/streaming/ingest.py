@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from newsgraph.operators.ingest import map_articles, quarantine
-from newsgraph.operators.snapshot import append_articles
+from newsgraph.operators.snapshot import append_articles, load_name
 from newsgraph.sources.config import MappingConfig
 
 
@@ -27,7 +27,8 @@ def ingest_new_files(
     """Load every file of ``source`` that no earlier run has loaded, then stop.
 
     The checkpoint assigns each file to one batch. A batch may be repeated after a failure, so it replaces the
-    partition ``load_id=<batch>`` of the table instead of appending to it; rejected rows go beside the table in
+    partition of the table that is named by checkpoint and batch instead of appending to it, so several streams fill
+    one table; rejected rows go beside the table in
     ``<table>_rejected``. ``prepare`` turns a batch of raw rows into the frame that the config describes.
     """
     reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
@@ -37,8 +38,9 @@ def ingest_new_files(
     def load(batch: DataFrame, batch_id: int) -> None:
         rows = prepare(batch) if prepare else batch
         accepted, rejected = map_articles(rows, config, run_ts)
-        append_articles(accepted, table, str(batch_id))
-        append_articles(quarantine(rejected), f"{table}_rejected", str(batch_id))
+        load_id = load_name(checkpoint, f"batch-{batch_id}")
+        append_articles(accepted, table, load_id)
+        append_articles(quarantine(rejected), f"{table}_rejected", load_id)
 
     query = (
         reader.parquet(source)

@@ -128,6 +128,33 @@ def test_ingest_job_with_config_folder(spark, config, source, tmp_path):
         mapping.load_configs(spark, str(tmp_path / "to_add"))
 
 
+def test_ingest_job_keeps_every_dataset_and_source(spark, tmp_path):
+    configs, folder, other, table = (str(tmp_path / n) for n in ("configs", "in", "other", "articles"))
+    (tmp_path / "configs").mkdir()
+    text = "source: x\nmandatory_columns:\n" + "".join(
+        f"  {c}: {{{{column_name: {{{c}}}}}}}\n" for c in ("body", "url", "label", "title")
+    ) + "  file_name: {{column_name: file_name}}\nsupplementary_columns: {{}}\ncustom_columns: []\n"
+    a = text.format(body="text", url="u", label="l", title="title")
+    b = text.format(body="content", url="u", label="l", title="headline")
+    (tmp_path / "configs" / "a.parquet.yml").write_text(a)
+    spark.createDataFrame([("b1", "t1", "u1", "x")], "text string, title string, u string, l string").write.parquet(
+        f"{folder}/a.parquet"
+    )
+    spark.createDataFrame([("b2", "t2", "u2", "x")], "content string, headline string, u string, l string").write.parquet(
+        f"{folder}/b.parquet"
+    )
+    jobs.ingest_dataset(spark, f"{folder}/*", configs, table, RUN)  # one config: the other dataset is foreign
+    assert column(spark.read.parquet(table), "body") == ["b1"]
+    rejected = spark.read.parquet(f"{table}_rejected").collect()
+    assert len(rejected) == 1 and '"content":"b2","headline":"t2"' in rejected[0]["row"]
+    (tmp_path / "configs" / "b.parquet.yml").write_text(b)
+    jobs.ingest_dataset(spark, f"{folder}/*", configs, table, RUN)
+    assert sorted(column(spark.read.parquet(table), "title")) == ["t1", "t2"]
+    spark.read.parquet(f"{folder}/a.parquet").write.parquet(f"{other}/a.parquet")
+    jobs.ingest_dataset(spark, f"{other}/*", configs, table, RUN)  # another source with the same stamp
+    assert sorted(column(spark.read.parquet(table), "title")) == ["t1", "t1", "t2"]
+
+
 def test_schema_contract(config, source):
     df = source.drop("site_url").withColumn("type", F.lit(1))
     contract = {r["standard_column"]: r for r in mapping.schema_contract(df, config).collect()}

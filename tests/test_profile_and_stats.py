@@ -147,3 +147,10 @@ def test_ols_agrees_with_numpy(spark):
         assert found[c]["intercept"] == pytest.approx(intercept)
         assert found[c]["r2"] == pytest.approx(np.corrcoef(xs, ys)[0, 1] ** 2)
         assert found[c]["n"] == 20
+
+
+def test_every_column_type_is_described(spark):
+    df = spark.sql("SELECT 1 AS id, true AS flag, timestamp'2024-01-01 00:00:00' AS ts, array(1, 2) AS xs, X'ff' AS raw")
+    found = {r["column"]: r for r in profile.describe_columns(df).collect()}
+    assert set(found) == {"id", "flag", "ts", "xs", "raw"}
+    assert found["flag"]["top"] == "true" and found["ts"]["top"] == "2024-01-01 00:00:00"

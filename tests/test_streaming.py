@@ -32,6 +32,17 @@ def test_each_file_loads_once(spark, tmp_path):
     assert loaded.select("load_id").distinct().count() == 3
 
 
+def test_two_streams_fill_one_table(spark, tmp_path):
+    table = str(tmp_path / "articles")
+    schema = spark.createDataFrame([], SCHEMA).schema
+    for name, texts in (("first", ["a", "b"]), ("second", ["c"])):
+        drop_file(spark, str(tmp_path / name), "one", texts)
+        ingest_new_files(
+            spark, str(tmp_path / name), schema, CONFIG, table, str(tmp_path / f"c-{name}"), "2024-01-01 00:00:00"
+        )
+    assert sorted(r["body"] for r in spark.read.parquet(table).collect()) == ["a", "b", "c"]
+
+
 def test_rejected_rows_are_kept(spark, tmp_path):
     source, table = str(tmp_path / "to_add"), str(tmp_path / "articles")
     drop_file(spark, source, "one", ["a", "b"])
