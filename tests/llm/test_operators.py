@@ -258,7 +258,7 @@ def test_language_id(spark, none):
     assert language_id.keep_accepted(none).count() == 0
     noise = "".join(RANDOM.choice(list("zqxjkvwy"), 400))
     strange = spark.createDataFrame([(1, noise)], "doc_id long, text string")
-    larger = language_id.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))  # enough to calibrate on
+    larger = language_id.fit(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))  # enough to calibrate on
     assert not language_id.identify(strange, larger).first().accepted
 
 
