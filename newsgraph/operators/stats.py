@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-QUANTILE_ACCURACY = 100_000
+from newsgraph.session import stored
+
+_OCTAVE_BINS = 16  # bins per power of two in the first histogram
+_FINE_BINS = 1 << 16  # bins of the second histogram, between the smallest and largest value of a first bin
 
 
 def melt(df: DataFrame, ids: list[str], values: list[str] | None = None) -> DataFrame:
@@ -14,61 +17,93 @@ def melt(df: DataFrame, ids: list[str], values: list[str] | None = None) -> Data
     return df.unpivot(ids, values, "variable", "value")
 
 
-def exact_quantiles(
-    df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float], accuracy: int = QUANTILE_ACCURACY
-) -> DataFrame:
+def _coarse_bin(value: Column) -> Column:
+    """Bin number of a double. Bins follow the order of the values; infinities and NaN have their own."""
+    size = F.abs(value)
+    step = F.when(size == float("inf"), 1_000_000).otherwise(F.floor(F.log2(size) * _OCTAVE_BINS) + 20_000)
+    number = F.when(F.isnan(value), 2_000_000).when(value == 0, 0).otherwise(F.signum(value) * step)
+    return number.cast("long")
+
+
+def _same(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Equi-join in which NULL keys meet; the columns of ``on`` are kept once."""
+    renamed = right.withColumnsRenamed({c: f"_right{c}" for c in on})
+    condition = [F.col(c).eqNullSafe(F.col(f"_right{c}")) for c in on]
+    return left.join(renamed, condition).drop(*[f"_right{c}" for c in on])
+
+
+def _ranked(counts: DataFrame, groups: list[str], order: str) -> DataFrame:
+    """Add ``upto``, the number of values of the group up to and with this row."""
+    rows = W.partitionBy(*groups).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    return counts.withColumn("upto", F.sum("n").over(rows))
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
     """Exact quantiles (linear interpolation) per key, one column per requested quantile.
 
-    A mergeable sketch first gives a lower and an upper value around each quantile, with a rank error of at most
-    rows / accuracy. A second pass counts the rows below that range and the distinct values inside it, so only
-    about 1 / accuracy of a group is ever ordered, however many rows the group has.
+    Two histograms, each combined per task before its shuffle, narrow every wanted rank to one bin: first by powers
+    of two (about 70,000 bins at most), then by 65,536 equal steps inside the bin that holds the rank. Only the
+    distinct values of that last bin are ordered. Each step counts every value, so the result does not depend on
+    how the values are spread. NULLs are left out, NaN is the largest value, a key without values has no row.
     """
-    names = list(quantiles)
-    margin = 2.0 / accuracy
-    probabilities = [
-        p for name in names
-        for p in (max(quantiles[name] - margin, 0.0), min(quantiles[name] + margin, 1.0))
-    ]
-    known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("value"))
-    sketch = known.groupBy(*keys).agg(
-        F.percentile_approx("value", probabilities, accuracy).alias("marks"),
-        F.count(F.lit(1)).alias("total"),
+    names = [f"_key{i}" for i in range(len(keys))]
+    known = (
+        df.where(F.col(value).isNotNull())
+        .select(*[F.col(c).alias(n) for c, n in zip(keys, names, strict=True)], F.col(value).cast("double").alias("value"))
+        .withColumn("coarse", _coarse_bin(F.col("value")))
     )
-    ranges = F.array(
+    extent = (F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    target = ["quantile", "side", "part"]
+    hit = "place < upto AND place >= upto - n"
+    inner_place = F.expr("place - (upto - n)").alias("place")
+
+    rank = {name: F.lit(float(q)) * (F.col("total") - 1) for name, q in quantiles.items()}
+    wanted = F.array(
         *[
             F.struct(
                 F.lit(name).alias("quantile"),
-                (F.lit(quantiles[name]) * (F.col("total") - 1)).alias("rank"),
-                F.col("marks")[2 * i].alias("low"),
-                F.col("marks")[2 * i + 1].alias("high"),
+                F.lit(side).alias("side"),
+                (r - F.floor(r)).alias("part"),
+                (F.floor(r) if side == "floor" else F.ceil(r)).alias("place"),
             )
-            for i, name in enumerate(names)
+            for name, r in rank.items()
+            for side in ("floor", "ceil")
         ]
     )
-    bounded = sketch.select(*[F.col(k).alias(f"_{k}") for k in keys], ranges.alias("ranges"))
-    same_key = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    # Below a range only the count and the largest value matter, above it only the smallest value.
-    zone = F.when(F.col("value") < F.col("low"), -1).when(F.col("value") > F.col("high"), 1).otherwise(0)
-    end = F.when(F.col("zone") < 0, F.max("value")).otherwise(F.min("value"))
-    placed = (
-        known.groupBy(*keys, "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .join(bounded, same_key)
-        .select(*keys, "value", "n", F.inline("ranges"))
-        .withColumn("zone", zone)
-        .groupBy(*keys, "quantile", "rank", "zone", F.when(F.col("zone") == 0, F.col("value")).alias("inside"))
-        .agg(F.sum("n").alias("n"), end.alias("value"))
+    coarse = _ranked(known.groupBy(*names, "coarse").agg(*extent), names, "coarse")
+    coarse = coarse.withColumn("total", F.sum("n").over(W.partitionBy(*names)))
+    at_coarse = stored(
+        coarse.select(*names, "coarse", "n", "upto", "low", "high", F.inline(wanted))
+        .where(hit)
+        .select(*names, "coarse", "low", "high", *target, inner_place),
+        "coarse-bins",
+    )
+
+    # The stored targets have two rows per key and quantile, so Spark sees their size and the values stay in place.
+    share = (F.col("value") - F.col("low")) / (F.col("high") - F.col("low"))
+    fine = F.when(F.col("high") > F.col("low"), F.floor(share * _FINE_BINS)).otherwise(0)
+    near = _same(known, at_coarse.select(*names, "coarse", "low", "high").distinct(), [*names, "coarse"])
+    fine_counts = near.withColumn("fine", fine).groupBy(*names, "coarse", "fine").agg(*extent)
+    at_fine = stored(
+        _same(at_coarse.drop("low", "high"), _ranked(fine_counts, [*names, "coarse"], "fine"), [*names, "coarse"])
+        .where(hit)
+        .select(*names, "coarse", "fine", "low", "high", *target, inner_place),
+        "fine-bins",
     )
-    upto = F.sum("n").over(
-        W.partitionBy(*keys, "quantile").orderBy("zone", "value").rowsBetween(W.unboundedPreceding, 0)
+
+    bin_keys = [*names, "coarse", "fine"]
+    left = _same(known, at_fine.select(*bin_keys, "low", "high").distinct(), [*names, "coarse"])
+    values = left.where("value >= low AND value <= high").groupBy(*bin_keys, "value").agg(F.count(F.lit(1)).alias("n"))
+    found = _same(at_fine.drop("low", "high"), _ranked(values, bin_keys, "value"), bin_keys).where(hit)
+
+    at_floor = F.max(F.when(F.col("side") == "floor", F.col("value")))
+    at_ceiling = F.max(F.when(F.col("side") == "ceil", F.col("value")))
+    between = at_floor + (at_ceiling - at_floor) * F.max("part")
+    picked = found.groupBy(*names, "quantile").agg(
+        F.when(at_floor == at_ceiling, at_floor).otherwise(between).alias("result")
     )
-    placed = placed.withColumn("upto", upto)
-    at_floor = F.min(F.when(F.col("upto") > F.floor("rank"), F.col("value")))
-    at_ceiling = F.min(F.when(F.col("upto") > F.ceil("rank"), F.col("value")))
-    part = F.first(F.col("rank") - F.floor("rank"))
-    picked = placed.groupBy(*keys, "quantile").agg((at_floor + (at_ceiling - at_floor) * part).alias("result"))
-    return picked.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("quantile") == name, F.col("result"))).alias(name) for name in names]
+    return picked.groupBy(*[F.col(n).alias(c) for c, n in zip(keys, names, strict=True)]).agg(
+        *[F.max(F.when(F.col("quantile") == name, F.col("result"))).alias(name) for name in quantiles]
     )
 
 

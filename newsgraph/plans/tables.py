@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from newsgraph.operators.ingest import map_articles
 from newsgraph.operators.triples import add_record_hashes
 from newsgraph.sources.config import MappingConfig
-from newsgraph.sources.readers import read_lines, read_parquet, spread
+from newsgraph.sources.readers import read_lines, read_parquet
 from newsgraph.operators.clean import assemble_records, parse_records
 from newsgraph.session import scratch_dir
 
@@ -39,8 +39,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The texts, spread over all cores: every query does expensive work per text."""
-    return spread(table(spark, sf_dir, "documents"))
+    return table(spark, sf_dir, "documents")
 
 
 def _label(quality: Column, toxic: Column) -> Column:

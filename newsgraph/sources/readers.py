@@ -30,19 +30,14 @@ def with_dataset_name(df: DataFrame, name: str, dataset_col: str = "file_name")
     return df if dataset_col in df.columns else df.withColumn(dataset_col, F.lit(name))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a scan out evenly when it has fewer partitions than there are cores.
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = False
+) -> DataFrame:
+    """CSV with a header. Types are inferred (a second pass over the files) unless a schema is given.
 
-    A file with a single row group cannot be split, and expensive steps would run on one core. A scan that already
-    has enough partitions is returned as it is, so large tables are never shuffled for this.
+    ``multi_line`` allows line breaks inside quoted values; every file is then read by one task.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """CSV with a header. Types are inferred (a second pass over the files) unless a schema is given."""
-    reader = spark.read.options(header=True, multiLine=True, escape='"')
+    reader = spark.read.options(header=True, multiLine=multi_line, escape='"')
     return reader.csv(path, schema=schema) if schema is not None else reader.csv(path, inferSchema=True)
 
 
