@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from newsgraph.operators.patterns import match_pattern
+from newsgraph.operators.patterns import Literal, match_pattern
 from newsgraph.operators.rdf import RDF_TYPE
 from newsgraph.schema import TRIPLE_SCHEMA
 from newsgraph.sources.readers import bindings_to_table
@@ -90,3 +90,29 @@ def test_saved_response_with_an_unbound_variable(spark):
     )
     df = spark.createDataFrame([(response,), ('{"results":{"bindings":[]}}',)], "response string")
     assert rows(bindings_to_table(df, "response", ["a", "b"])) == [("x#1", "2"), ("x#3", None)]
+
+
+def test_literals_and_kinds_are_told_apart(spark):
+    data = [
+        ("u1", "label", "fake", "literal", None),
+        ("u2", "label", "fake", "iri", None),
+        ("u3", "label", "fake", "literal", "string"),
+        ("u4", "label", "_:b1", "bnode", None),
+        ("u1", "note", "fake", "literal", None),
+        ("u2", "note", "fake", "literal", None),
+        ("u4", "note", "_:b1", "bnode", None),
+    ]
+    df = spark.createDataFrame(data, TRIPLE_SCHEMA)
+    assert rows(match_pattern(df, [("?u", "label", Literal("fake"))], ["?u"])) == [("u1",)]
+    assert rows(match_pattern(df, [("?u", "label", Literal("fake", "string"))], ["?u"])) == [("u3",)]
+    assert rows(match_pattern(df, [("?u", "label", "fake")], ["?u"])) == [("u2",)]
+    same = match_pattern(df, [("?u", "label", "?x"), ("?u", "note", "?x")], ["?u", "?x"])
+    assert rows(same) == [("u1", "fake"), ("u4", "_:b1")]
+
+
+def test_patterns_that_have_no_answer_here_are_refused(spark, data):
+    df = spark.createDataFrame(data, TRIPLE_SCHEMA)
+    with pytest.raises(ValueError, match="predicate"):
+        match_pattern(df, [("?u", "?p", "?x")], ["?u"])
+    with pytest.raises(ValueError, match="twice"):
+        match_pattern(df, [("?u", "label", "?u")], ["?u"])
