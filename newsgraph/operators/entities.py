@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from newsgraph.functions import NULL_TEXT
 from newsgraph.schema import ENTITY_COLUMNS
+from newsgraph.session import stored
 
 DEFAULT_FIELDS = ("title", "body")
 
@@ -19,6 +20,7 @@ DEFAULT_RULES = {
     "EMAIL": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
 }
 WORD = r"[\p{L}\p{Nd}]+"
+ANCHOR_WORDS = 4  # leading words by which a gazetteer term meets a text; longer terms are then looked up whole
 
 # texts -> one list of (entity, label) per text
 Extractor = Callable[[Sequence[str]], Sequence[Sequence[tuple[str, str]]]]
@@ -68,23 +70,38 @@ def _phrases(n: int) -> Column:
     return F.filter(pairs, lambda phrase: phrase.isNotNull())
 
 
-def gazetteer_entities(
-    df: DataFrame, gazetteer: DataFrame, max_words: int = 1, fields: Sequence[str] | None = None
-) -> DataFrame:
+def _cut_words(column: str) -> Column:
+    return F.regexp_extract_all(F.lower(column), F.lit(WORD), F.lit(0))
+
+
+def gazetteer_entities(df: DataFrame, gazetteer: DataFrame, fields: Sequence[str] | None = None) -> DataFrame:
     """Distinct gazetteer terms (``entity, entity_label``) found as whole words, case ignored.
 
-    Every field gives its distinct word sequences of up to ``max_words`` words, which are equi-joined with the
-    terms. There is no broadcast hint: Spark broadcasts the terms when their measured size is under its threshold
-    and otherwise joins by shuffle, where the adaptive skew join splits very common words.
+    Terms and texts are cut into words alike, so "U.S. Senate" is found as the words u, s, senate; terms may have any
+    number of words, terms without words are never found. Every text gives its distinct sequences of one to four
+    words, which meet the leading words of the terms with nothing but a row number beside them; terms with more words are
+    then looked up in the whole text. There is no broadcast hint: Spark broadcasts the terms when their measured size
+    is under its threshold and otherwise joins by shuffle, where the adaptive skew join splits very common words.
     """
-    words = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
-    phrases = [_phrases(n) for n in range(1, max_words + 1)]
-    rows = input_fields(df, fields).withColumn("words", words).where(F.size("words") > 0)
-    candidates = F.array_distinct(F.concat(*phrases))
-    place = ["article_id", "url_hash", "source_column", "publication_date"]
-    tokens = rows.select(*place, F.explode(candidates).alias("_term"))
-    terms = gazetteer.select(F.lower("entity").alias("_term"), "entity", "entity_label").distinct()
-    return tokens.join(terms, "_term").select(*ENTITY_COLUMNS)
+    texts = input_fields(df, fields).withColumns({"words": _cut_words("text"), "row": F.monotonically_increasing_id()})
+    rows = stored(texts.where(F.size("words") > 0).drop("text"), "gazetteer-texts")  # fixes the row numbers
+    words = F.col("term_words")
+    terms = (
+        gazetteer.select("entity", "entity_label", _cut_words("entity").alias("term_words"))
+        .where(F.size(words) > 0)
+        .distinct()
+        .select(
+            "entity",
+            "entity_label",
+            F.array_join(F.slice(words, 1, ANCHOR_WORDS), " ").alias("anchor"),
+            F.when(F.size(words) > ANCHOR_WORDS, F.array_join(words, " ")).alias("whole"),
+        )
+    )
+    anchors = F.array_distinct(F.concat(*[_phrases(n) for n in range(1, ANCHOR_WORDS + 1)]))
+    met = rows.select("row", F.explode(anchors).alias("anchor")).join(terms, "anchor").drop("anchor")
+    text = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
+    holds = text.contains(F.concat(F.lit(" "), F.col("whole"), F.lit(" ")))
+    return met.join(rows, "row").where(F.col("whole").isNull() | holds).select(*ENTITY_COLUMNS)
 
 
 def model_entities(

@@ -55,11 +55,11 @@ def test_gazetteer_agrees_with_brute_force(spark, articles):
             if text and text != "null":
                 words = " " + " ".join(re.findall(r"\w+", text.lower())) + " "
                 expected += [(article, name, t, label) for t, label in terms if f" {t.lower()} " in words]
-    found = entities.gazetteer_entities(articles, gazetteer, max_words=3)
+    found = entities.gazetteer_entities(articles, gazetteer)
     assert rows(found.select("article_id", "source_column", "entity", "entity_label")) == sorted(expected)
     for broadcast_limit in ("-1", "10485760"):  # the same rows with a shuffle join and with a broadcast join
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast_limit)
-        assert entities.gazetteer_entities(articles, gazetteer, max_words=3).count() == len(expected)
+        assert entities.gazetteer_entities(articles, gazetteer).count() == len(expected)
 
 
 def test_model_is_built_once_per_partition(spark, articles, tmp_path):
@@ -120,3 +120,14 @@ def test_entity_job(spark, tmp_path):
     assert stored.where("p LIKE '%#has_ner_entity'").count() == 2
     names = [v for v in column(spark.read.text(str(tmp_path / "documents")), "value") if v.startswith("# NER_")]
     assert len(names) == 2
+
+
+def test_gazetteer_terms_of_any_length_are_cut_like_texts(spark, articles):
+    body = "The U.S. Senate met O'Neil: one two three four five six seven. One two three four six"
+    text = articles.limit(1).selectExpr("article_id", "url_hash", "publication_date", f'"{body}" AS body')
+    terms = ["U.S. Senate", "O'Neil", "one two three four five six", "one two three four seven", "two", "--", "SIX one"]
+    gazetteer = spark.createDataFrame([(t, "MISC") for t in [*terms, "two"]], "entity string, entity_label string")
+    found = entities.gazetteer_entities(text, gazetteer)
+    assert sorted(r["entity"] for r in found.collect()) == sorted([*terms[:3], "two"])
+    assert entities.gazetteer_entities(text, gazetteer.limit(0)).count() == 0
+    assert entities.gazetteer_entities(text.limit(0), gazetteer).count() == 0

@@ -72,7 +72,7 @@ def test_entities_of_copies(spark, articles):
     assert found.count() == N // 3
     assert entities.distinct_entities(found).count() == 1
     terms = spark.createDataFrame([("hot text", "MISC"), ("text", "MISC")], "entity string, entity_label string")
-    counts = Counter(column(entities.gazetteer_entities(articles, terms, max_words=2), "entity"))
+    counts = Counter(column(entities.gazetteer_entities(articles, terms), "entity"))
     assert counts == {"hot text": N // 3, "text": N}
     documents = graph.entity_documents(found)
     assert documents.count() == 1
