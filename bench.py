@@ -80,7 +80,7 @@ def main() -> None:
     def stage_2_documents() -> None:
         """Article table -> latest snapshot -> one document per article, written."""
         rows = read_articles(spark, f"{out}/articles")
-        unique = latest_snapshot(rows, unique=True, tiebreak=("label", "custom_columns"))
+        unique = latest_snapshot(rows, unique=True)
         write_documents(article_documents(unique), f"{out}/documents")
 
     def stage_2_triples() -> None:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsgraph.schema import RECORD_COLUMNS
+from newsgraph.session import stored
 
 # Fixed patterns of the raw format: a record starts with index, id and a word; a stamp is a date and a time.
 RECORD_START = r"^\p{Nd}+,\p{Nd}{1,},[\p{L}\p{N}_]{1,}"
@@ -56,15 +57,14 @@ def assemble_records(lines: DataFrame, drop_last: bool = False) -> DataFrame:
     pieces = numbered.groupBy("path", "block", "starts", "ordinal").agg(
         _join_in_order("line_id", "line").alias("record")
     )
+    # Stored once: inside pieces, edges and the counts per block all come from one cut of the files.
+    pieces = stored(pieces, "record-pieces")
     inside = pieces.where("ordinal > 0 AND ordinal < starts").select(*POSITION, "record")
     edges = pieces.where("ordinal = 0 OR ordinal = starts")
 
     # The record that is still open when a block begins: the last one started in an earlier block of the file.
-    # Starts are counted per task in a second scan, which shuffles one small row per block and no text; even a file
-    # of 100 TB gives less than a million rows for its window. The count is over ``line_id``: while that column is
-    # in use, Spark keeps a later filter on the path out of the scan, and all scans of the plan cut the files alike.
-    starting = F.when(F.col("line").rlike(RECORD_START), F.col("line_id"))
-    blocks = lines.groupBy("path", "block").agg(F.count(starting).alias("starts"))
+    # One small row per block and no text; even a file of 100 TB gives less than a million rows for its window.
+    blocks = pieces.select("path", "block", "starts").distinct()
     earlier = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     opened = F.last(F.when(F.col("starts") > 0, F.struct("block", F.col("starts").alias("ordinal"))), True)
     open_records = blocks.select("path", "block", opened.over(earlier).alias("opened"))

@@ -355,11 +355,16 @@ def merge_triples(existing: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def new_triples(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """The distinct triples of ``new`` that the store does not hold yet."""
-    fresh = new.distinct()
-    held = existing.select(*[F.col(c).alias(f"_{c}") for c in TRIPLE_COLUMNS])
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in TRIPLE_COLUMNS])
-    return fresh.join(held, same, "left_anti")
+    """The distinct triples of ``new`` that the store does not hold yet.
+
+    Of the store only the predicates of ``new`` are read, and it is compared by the digest of a triple, so its long
+    literals do not travel.
+    """
+    parts = F.to_json(F.struct(*TRIPLE_COLUMNS))  # absent parts are left out, so NULL is not an empty text
+    fresh = new.distinct().withColumn("_digest", F.unhex(F.sha2(parts, 256)))
+    held = existing.join(new.select("p").distinct(), "p", "left_semi")
+    held = held.select("p", F.unhex(F.sha2(parts, 256)).alias("_digest"))
+    return fresh.join(held, ["p", "_digest"], "left_anti").select(*TRIPLE_COLUMNS)
 
 
 def write_triples(triples: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -13,17 +13,25 @@ def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """Exactly ``n`` rows (all rows when there are fewer), without replacement, repeatable for a seed.
 
     The sample is the ``n`` smallest md5 values of seed and key. A first pass over the key column counts rows per
-    hash prefix and finds the prefix that holds the n-th row; only rows up to that prefix reach the top-n step, so
-    a task does not send ``n`` full rows to it.
+    hash prefix and finds the prefix that holds the n-th row; a second pass orders only hashes and keys up to that
+    prefix and finds the last pair of the sample. Full rows are only filtered against it and do not move. Rows that
+    share the last key are told apart by their number, so repeated keys do not change the size.
     """
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    pair = F.struct(digest.alias("digest"), F.col(key).alias("key"))
     prefix = F.left(digest, F.lit(_BUCKET_CHARS))
     counts = df.groupBy(prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("rows"))
     before = F.sum("rows").over(W.orderBy("prefix").rowsBetween(W.unboundedPreceding, -1))
-    cut = (
+    last_prefix = (
         counts.select("prefix", F.coalesce(before, F.lit(0)).alias("before"))
         .where(F.col("before") < n)
-        .agg(F.max("prefix").alias("cut"))
+        .agg(F.max("prefix").alias("prefix"))
+    )
+    pairs = df.where(prefix <= last_prefix.select("prefix").scalar()).select(pair.alias("pair")).orderBy("pair").limit(n)
+    last = pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("pair")).limit(1)
+    last_pair = last.select("pair").scalar()
+    place = F.row_number().over(W.orderBy(F.lit(0)))
+    at_last = df.where(pair == last_pair).withColumn("_place", place)
+    return df.where(pair < last_pair).unionByName(
+        at_last.where(F.col("_place") <= last.select("rows").scalar()).drop("_place")
     )
-    chosen = df.where(prefix <= cut.select("cut").scalar())
-    return chosen.orderBy(digest, F.col(key)).limit(n)

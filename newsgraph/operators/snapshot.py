@@ -46,11 +46,13 @@ def latest_snapshot(
     its shuffle and has one row per key, so a key that holds a large share of the rows is hot on one join side
     only, which the adaptive skew join splits.
 
-    ``unique=True`` keeps one row per key, ties broken by ``tiebreak``: row number 1, which Spark limits per group
-    before the shuffle, so a hot key sends at most one row per task.
+    ``unique=True`` keeps one row per key, ties broken by ``tiebreak`` (all other columns unless given, so only equal
+    rows are left): row number 1, which Spark limits per group before the shuffle, so a hot key sends at most one
+    row per task.
     """
     if unique:
-        order = [F.col(ts).desc(), *[F.col(c).asc_nulls_last() for c in tiebreak]]
+        others = tiebreak or [c for c in df.columns if c not in (*keys, ts)]
+        order = [F.col(ts).desc(), *[F.col(c).asc_nulls_last() for c in others]]
         rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
         known = df.dropna(subset=[*keys, ts])
         return known.withColumn("_rank", rank).where("_rank = 1").drop("_rank")

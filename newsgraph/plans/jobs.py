@@ -21,7 +21,7 @@ from newsgraph.operators.triples import (
     entity_triples,
     url_triples,
 )
-from newsgraph.session import stored
+from newsgraph.session import scratch, stored
 from newsgraph.sources.config import load_configs
 from newsgraph.sources.readers import dataset_files, read_lines, read_parquet, with_dataset_name
 
@@ -49,8 +49,7 @@ def ingest_dataset(
 
 
 def snapshot_of(spark: SparkSession, table: str, unique: bool = False) -> DataFrame:
-    tiebreak = ("label", "custom_columns") if unique else ()
-    return latest_snapshot(read_articles(spark, table), unique=unique, tiebreak=tiebreak)
+    return latest_snapshot(read_articles(spark, table), unique=unique)
 
 
 def export_graph(spark: SparkSession, table: str, triples_path: str, ns: str = DEFAULT_NS) -> None:
@@ -73,18 +72,20 @@ def export_entities(
     ns: str = DEFAULT_NS,
 ) -> None:
     """Latest snapshot -> entities -> triples, and documents if wanted."""
-    entities = stored(rule_entities(snapshot_of(spark, table), rules), "entities")
-    write_triples(entity_triples(entities, ns).unionByName(ontology(spark, "ner", ns)), triples_path)
-    if documents_path:
-        write_documents(entity_documents(entities, ns), documents_path)
+    with scratch(spark):
+        entities = stored(rule_entities(snapshot_of(spark, table), rules), "entities")
+        write_triples(entity_triples(entities, ns).unionByName(ontology(spark, "ner", ns)), triples_path)
+        if documents_path:
+            write_documents(entity_documents(entities, ns), documents_path)
 
 
 def clean_lines(spark: SparkSession, source: str, json_path: str, rejected_path: str, batch_size: int = 500) -> None:
     """Broken CSV -> JSON batches of accepted records, last one per news id; rejects with their reason."""
-    parsed = stored(parse_all(assemble_records(read_lines(spark, source))), "parsed")
-    accepted, rejected = split_parsed(parsed)
-    write_json_batches(dedupe_last_wins(accepted), json_path, batch_size)
-    rejected.write.mode("overwrite").parquet(rejected_path)
+    with scratch(spark):
+        parsed = stored(parse_all(assemble_records(read_lines(spark, source))), "parsed")
+        accepted, rejected = split_parsed(parsed)
+        write_json_batches(dedupe_last_wins(accepted), json_path, batch_size)
+        rejected.write.mode("overwrite").parquet(rejected_path)
 
 
 def export_records(records: DataFrame, triples_path: str, sidecar_path: str, ns: str = DEFAULT_NS) -> None:

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,8 +60,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clean_scratch(spark: SparkSession) -> None:
-    """Delete the intermediate tables that this process has written to the shared folder."""
-    while _shared:
+def write_small_file(spark: SparkSession, path: str, text: str) -> None:
+    """One small file, such as a config, written by the driver to any store that Spark can reach."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        stream.write(bytearray(text.encode("utf-8")))
+    finally:
+        stream.close()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the intermediate tables written inside the block when it ends, also after a failure."""
+    before = len(_shared)
+    try:
+        yield
+    finally:
+        clean_scratch(spark, before)
+
+
+def clean_scratch(spark: SparkSession, keep: int = 0) -> None:
+    """Delete the intermediate tables that this process has written to the shared folder, but for the first ``keep``."""
+    while len(_shared) > keep:
         path = spark._jvm.org.apache.hadoop.fs.Path(_shared.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -56,6 +56,16 @@ class MappingConfig:
             return cls.from_dict(json.loads(text))
         return cls.from_dict(yaml.safe_load(text))
 
+    def to_text(self) -> str:
+        """The config in the layout that ``from_text`` reads."""
+        raw = {
+            "source": self.source,
+            "mandatory_columns": {k: {"column_name": v} for k, v in self.mandatory.items()},
+            "supplementary_columns": {k: {"column_name": v} for k, v in self.supplementary.items()},
+            "custom_columns": list(self.custom),
+        }
+        return json.dumps(raw, indent=2)  # JSON is YAML
+
     def column_for(self, standard: str) -> str:
         return self.mandatory.get(standard) or self.supplementary.get(standard) or ""
 
