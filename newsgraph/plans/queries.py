@@ -20,10 +20,10 @@ from newsgraph.functions import (
 )
 from newsgraph.operators import clean, entities, ingest, patterns, profile, rdf, sampling, sinks, snapshot, stats
 from newsgraph.operators import triples as graph
-from newsgraph.plans import tables
+from newsgraph.plans import jobs, tables
 from newsgraph.plans.tables import CONFIG, FIRST_LOAD, table
 from newsgraph.schema import ARTICLE_COLUMNS, ENTITY_COLUMNS, RECORD_COLUMNS, SIDECAR_COLUMNS
-from newsgraph.session import scratch_dir
+from newsgraph.session import scratch_dir, write_small_file
 from newsgraph.sources import config as mapping
 from newsgraph.sources import readers
 from newsgraph.streaming.ingest import ingest_new_files
@@ -125,6 +125,56 @@ def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stamped(snapshot.read_articles(spark, f"{out}/articles"), ARTICLE_COLUMNS)
 
 
+PAGES_CONFIG = mapping.MappingConfig(
+    {"body": "html", "url": "url", "label": "site", "title": "url", "file_name": "file_name"}, source="pages"
+)
+DOCUMENTS_CONFIG = mapping.MappingConfig(CONFIG.mandatory, {"language": "language"}, ("n_chars",), "documents")
+
+
+def _page_dataset(pages: DataFrame) -> DataFrame:
+    return pages.select("url", "html", F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("site"))
+
+
+@query
+def ingest_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of three datasets with different columns; two have a config, the third is kept as whole rejected rows."""
+    out = scratch_dir(spark, "folder")
+    tables.raw_articles(spark, sf_dir).drop("file_name", "doc_id").write.parquet(f"{out}/in/documents.parquet")
+    _page_dataset(table(spark, sf_dir, "pages")).write.parquet(f"{out}/in/pages.parquet")
+    table(spark, sf_dir, "benchmark").write.parquet(f"{out}/in/benchmark.parquet")
+    for name, config in (("documents", DOCUMENTS_CONFIG), ("pages", PAGES_CONFIG)):
+        write_small_file(spark, f"{out}/configs/{name}.parquet.yml", config.to_text())
+    jobs.ingest_dataset(spark, f"{out}/in/*", f"{out}/configs", f"{out}/articles", FIRST_LOAD)
+    columns = ["file_name", "url", "label", "title", "language", "body_hash", "custom_columns"]
+    accepted = snapshot.read_articles(spark, f"{out}/articles").select(*columns)
+    rejected = spark.read.parquet(f"{out}/articles_rejected").select("reject_reason", "row")
+    return accepted.unionByName(rejected, allowMissingColumns=True)
+
+
+@query
+def ingest_two_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two streams of different datasets, each with its own checkpoint, that fill one article table."""
+    out = scratch_dir(spark, "two-streams")
+    streams = {
+        "documents": (CONFIG, lambda batch: tables.raw_articles(spark, sf_dir, batch)),
+        "pages": (PAGES_CONFIG, lambda batch: _page_dataset(batch).withColumn("file_name", F.lit("pages"))),
+    }
+    for name, (config, prepare) in streams.items():
+        ingest_new_files(
+            spark,
+            source=sf_dir,
+            schema=table(spark, sf_dir, name).schema,
+            config=config,
+            table=f"{out}/articles",
+            checkpoint=f"{out}/checkpoint-{name}",
+            run_ts=FIRST_LOAD,
+            glob=f"{name}.parquet",
+            prepare=prepare,
+        )
+    rows = snapshot.read_articles(spark, f"{out}/articles")
+    return rows.select("file_name", "url", "label", "title", "language", "body_hash")
+
+
 @query
 def file_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batch files of the documents, listed by pattern and reconciled with the records read from them."""
@@ -354,7 +404,7 @@ def reused_bodies_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cross_domain_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.cross_domain_bodies(tables.web_articles(spark, sf_dir)).where("label_count > 1")
+    return profile.cross_domain_bodies(tables.web_articles(spark, sf_dir))
 
 
 @query
@@ -371,8 +421,7 @@ def reconcile_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tables.raw_articles(spark, sf_dir).drop("doc_id")
-    described = profile.describe_columns(rows)
+    described = profile.describe_columns(tables.raw_articles(spark, sf_dir))
     numbers = ["mean", "std", "min", "q25", "q50", "q75", "max"]
     return described.withColumns({c: F.round(c, 4) for c in numbers})
 
@@ -422,6 +471,35 @@ def triples_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.groupBy("p", "o_kind").agg(F.count(F.lit(1)).alias("n_triples"))
 
 
+@query
+def triples_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored graph into which an overlapping graph is imported twice: the second time nothing is new."""
+    path = scratch_dir(spark, "import")
+    first, second = tables.article_loads(spark, sf_dir)
+    rdf.write_triples(graph.article_triples(first), path)
+    for _ in range(2):
+        rdf.append_triples(spark, path, graph.article_triples(second))
+    return rdf.read_triples(spark, path)
+
+
+@query
+def records_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored record batches, some without page or label -> complete records -> URL-centred triples."""
+    path = scratch_dir(spark, "record-batches")
+    given = tables.raw_articles(spark, sf_dir).select(
+        F.col("doc_id").cast("string").alias("idx"), F.col("site_url").alias("url"), F.col("type").alias("label")
+    )
+    number = F.col("idx").cast("bigint")
+    place = {
+        "path": F.lit("documents"),
+        "block": F.floor(number / BATCH_SIZE),
+        "ordinal": F.pmod(number, F.lit(BATCH_SIZE)) + 1,
+    }
+    records = tables.news_records(spark, sf_dir).drop("url", "label").join(given, "idx")
+    sinks.write_batch_objects(records.withColumns(place), path, BATCH_SIZE)
+    return graph.url_triples(clean.drop_missing_keys(readers.read_json_batches(spark, path)))
+
+
 @query
 def ontology_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rdf.ontology_usage(rdf.ontology(spark, "articles"), triples_article(spark, sf_dir))
@@ -484,6 +562,17 @@ def bgp_domain_url_body_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*[strip_namespace(F.col(c)).alias(c) for c in found.columns])
 
 
+@query
+def bgp_literal_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with one label in the form of the graph whose labels are literals, with their domain."""
+    wanted = [
+        ("?url", rdf.RDF_TYPE, NS + "url"),
+        ("?url", NS + "has_news_label", patterns.Literal("reliable")),
+        ("?url", NS + "has_domain", "?domain"),
+    ]
+    return patterns.match_pattern(triples_url_raw(spark, sf_dir), wanted, ["?url", "?domain"])
+
+
 @query
 def bindings_to_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Solutions as saved JSON responses, read back to a table, prefixes stripped and counts as numbers."""
@@ -538,19 +627,15 @@ def ner_rule_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ner_gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words and word pairs of the benchmark passages' first sentences, looked up in all articles."""
-    sentence = F.lower(F.substring_index("text", ".", 1))
-    words = F.regexp_extract_all(sentence, F.lit(entities.WORD), F.lit(0))
-    pairs = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.array_join(F.slice("words", i, 2), " "))
-    terms = (
-        table(spark, sf_dir, "benchmark")
-        .select(words.alias("words"))
-        .where(F.size("words") > 1)
-        .select(F.explode(pairs).alias("entity"))
-        .distinct()
-        .withColumn("entity_label", F.lit("MISC"))
-    )
-    return entities.gazetteer_entities(tables.articles(spark, sf_dir), terms, max_words=2)
+    """Sequences of one to four words of the benchmark passages, and the whole passages, looked up in all articles."""
+    passages = table(spark, sf_dir, "benchmark").select("text")
+    words = F.regexp_extract_all(F.lower("text"), F.lit(entities.WORD), F.lit(0))
+    cut = passages.select(words.alias("words"), F.explode(F.array(*map(F.lit, range(1, 5)))).alias("n"))
+    cut = cut.where(F.size("words") >= F.col("n"))
+    starts = F.sequence(F.lit(1), F.size("words") - F.col("n") + 1)
+    phrases = F.transform(starts, lambda i: F.array_join(F.slice("words", i, F.col("n")), " "))
+    terms = cut.select(F.explode(phrases).alias("entity")).union(passages).distinct()
+    return entities.gazetteer_entities(tables.articles(spark, sf_dir), terms.withColumn("entity_label", F.lit("MISC")))
 
 
 @query
@@ -598,7 +683,8 @@ def _measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bench_melt(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "measurements")
     sinks.write_csv(_measurements(spark, sf_dir), path)
-    return stats.melt(readers.read_csv(spark, path), ["event_id", "event_type"])
+    schema = "event_id bigint, event_type string, value_1a double, value_1b double, value_1c double"
+    return stats.melt(readers.read_csv(spark, path, schema), ["event_id", "event_type"])
 
 
 @query

@@ -82,6 +82,10 @@ webh AS (
 )"""
 )
 
+COMPLETE_WEB = WEB.replace(
+    "  FROM raw\n", "  FROM raw WHERE site_url IS NOT NULL AND type IS NOT NULL AND text IS NOT NULL\n"
+)
+
 RECORD = (
     """idx || ',' || news_id || ',' || domain || ',' || label || ',' || url || ',"' || body || '",' || scraped_at"""
     """ || ',' || inserted_at || ',' || updated_at || ',"' || title || '","Unknown","",""'"""
@@ -497,6 +501,25 @@ SELECT doc_id, file_name,
   CASE WHEN file_name = 'src18' THEN 'missing mandatory column: label' ELSE 'no mapping config' END AS reject_reason
 FROM raw WHERE file_name NOT IN ({DATASETS}, {OTHER_DATASETS})""",
     "schema_contract": f"WITH {RAW} {CONTRACT}",
+    "ingest_folder": f"""
+WITH {RAW}, site AS (SELECT *, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS site FROM pages)
+SELECT 'documents.parquet' AS file_name, {_null("site_url")} AS url, {_null("type")} AS label, {_null("title")} AS title,
+  {_null("language")} AS language, sha256({_null("text")}) AS body_hash,
+  CAST(json_object('n_chars', n_chars) AS VARCHAR) AS custom_columns, NULL::VARCHAR AS reject_reason,
+  NULL::VARCHAR AS "row"
+FROM raw
+UNION ALL
+SELECT 'pages.parquet', {_null("url")}, {_null("site")}, {_null("url")}, 'null', sha256({_null("html")}), '{{}}', NULL, NULL
+FROM site
+UNION ALL
+SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'no mapping config',
+  CAST(json_object('item_id', item_id, 'text', text, 'file_name', 'benchmark.parquet') AS VARCHAR)
+FROM benchmark""",
+    "ingest_two_streams": f"""
+WITH {ART}, site AS (SELECT *, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS site FROM pages)
+SELECT file_name, url, label, title, language, body_hash FROM art
+UNION ALL
+SELECT 'pages', {_null("url")}, {_null("site")}, {_null("url")}, 'null', sha256({_null("html")}) FROM site""",
     "file_manifest": """
 SELECT count(*) AS n_records, 0::BIGINT AS n_unlisted, 0::BIGINT AS n_too_large FROM documents""",
     "drop_empty_text": f"""
@@ -584,10 +607,9 @@ WITH {WEB}
 SELECT body_hash, label, count(*) AS url_count FROM webh GROUP BY ALL
 ORDER BY url_count DESC, body_hash, label LIMIT 50""",
     "cross_domain_bodies": f"""
-WITH {WEB}, top AS (
-  SELECT body_hash, domain_hash, count(DISTINCT label) AS label_count FROM webh GROUP BY ALL
-  ORDER BY label_count DESC, body_hash, domain_hash LIMIT 50)
-SELECT * FROM top WHERE label_count > 1""",
+WITH {WEB}
+SELECT body_hash, domain_hash, count(DISTINCT label) AS label_count FROM webh GROUP BY ALL
+ORDER BY label_count DESC, body_hash, domain_hash LIMIT 50""",
     "reconcile_stores": f"""
 WITH {ART},
 l AS (SELECT webpage, count(*) AS n FROM art GROUP BY webpage),
@@ -598,7 +620,7 @@ FROM l FULL JOIN r USING (webpage) GROUP BY 1""",
     "profile_columns": f"WITH {RAW} "
     + "\nUNION ALL\n".join(
         [_text_profile(c, c) for c in ("text", "title", "site_url", "type", "file_name", "language")]
-        + [_number_profile(c) for c in ("n_chars", "page_id")]
+        + [_number_profile(c) for c in ("doc_id", "n_chars", "page_id")]
     ),
     # graphs
     "triples_article": f"WITH {ART} {article_graph('art')}",
@@ -611,6 +633,8 @@ FROM l FULL JOIN r USING (webpage) GROUP BY 1""",
     "triples_merge": f"""
 WITH {LOADS}, g AS ({article_graph("loads")})
 SELECT p, o_kind, count(*) AS n_triples FROM g GROUP BY ALL""",
+    "triples_import": f"WITH {LOADS} {article_graph('loads')}",
+    "records_graph": f"WITH {COMPLETE_WEB} {hashed_url_graph()}",
     "ontology_articles": _usage(ART, article_graph("art"), ARTICLE_TERMS),
     "ontology_ner": _usage(ENTITIES, entity_graph(), NER_TERMS),
     "ontology_url_centric": _usage(WEB, hashed_url_graph(), URL_TERMS),
@@ -620,6 +644,10 @@ WITH {WEB}
 SELECT '{NS}' || domain_hash AS domain_hash, '{NS}' || label AS label, count(DISTINCT url_hash) AS url_count
 FROM webh GROUP BY 1, 2""",
     "bgp_domain_url_body_label": f"WITH {WEB} SELECT DISTINCT domain_hash, url_hash, body_hash, label FROM webh",
+    "bgp_literal_label": f"""
+WITH {WEB}
+SELECT DISTINCT '{NS}' || {quote("url")} AS url, '{NS}' || {quote("domain")} AS domain
+FROM webh WHERE label = 'reliable'""",
     "bindings_to_table": f"""
 WITH {WEB} SELECT domain_hash, label, count(DISTINCT url_hash) AS url_count FROM webh GROUP BY 1, 2""",
     "turtle_documents": _documents(
@@ -638,19 +666,27 @@ WITH {WEB} SELECT domain_hash, label, count(DISTINCT url_hash) AS url_count FROM
     "ner_model_plugin": f"WITH {ENTITIES} SELECT * FROM ents WHERE entity_label = 'EMAIL'",
     "ner_gazetteer": f"""
 WITH {FIELDS},
-words AS (SELECT regexp_extract_all(lower(split_part(text, '.', 1)), '[\\p{{L}}\\p{{Nd}}]+') AS w FROM benchmark),
+words AS (SELECT text, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{Nd}}]+') AS w FROM benchmark),
 terms AS (
-  SELECT DISTINCT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS entity FROM words),
+  SELECT array_to_string(w[i:i + n - 1], ' ') AS entity, array_to_string(w[i:i + n - 1], ' ') AS term, n
+  FROM (SELECT w, n, unnest(range(1, len(w) - n + 2)) AS i FROM words, range(1, 5) lengths(n))
+  UNION SELECT text, array_to_string(w, ' '), len(w) FROM words WHERE len(w) > 0),
 tokens AS (
   SELECT article_id, url_hash, source_column, publication_date,
     regexp_extract_all(lower(text), '[\\p{{L}}\\p{{Nd}}]+') AS w
   FROM fields WHERE text <> 'null'),
-pairs AS (
-  SELECT article_id, url_hash, source_column, publication_date,
-    unnest(list_distinct(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))) AS term
-  FROM tokens)
-SELECT article_id, url_hash, source_column, entity, 'MISC' AS entity_label, publication_date
-FROM pairs JOIN terms ON pairs.term = terms.entity""",
+grams AS (
+  SELECT article_id, url_hash, source_column, publication_date, unnest(list_distinct(list_concat(w,
+    list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' ')),
+    list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')),
+    list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))))) AS term
+  FROM tokens),
+found AS (
+  SELECT grams.* EXCLUDE (term), entity FROM grams JOIN terms ON grams.term = terms.term AND n <= 4
+  UNION ALL
+  SELECT tokens.* EXCLUDE (w), entity FROM tokens JOIN terms
+  ON n > 4 AND contains(' ' || array_to_string(w, ' ') || ' ', ' ' || term || ' '))
+SELECT article_id, url_hash, source_column, entity, 'MISC' AS entity_label, publication_date FROM found""",
     # statistics and samples
     "bench_melt": f"WITH {MELTED} SELECT event_id, event_type, variable, value FROM melted",
     "bench_summary": f"""
