@@ -515,6 +515,21 @@ def ontology_url_centric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rdf.ontology_usage(rdf.ontology(spark, "url_centric"), triples_url_centric(spark, sf_dir))
 
 
+@query
+def ontology_url_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rdf.ontology_usage(rdf.ontology(spark, "url_raw"), triples_url_raw(spark, sf_dir))
+
+
+@query
+def ontology_url_untyped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rdf.ontology_usage(rdf.ontology(spark, "url_untyped"), triples_url_untyped(spark, sf_dir))
+
+
+@query
+def ontology_news_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rdf.ontology_usage(rdf.ontology(spark, "news_content"), triples_news_content(spark, sf_dir))
+
+
 @query
 def bgp_count_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     urls = [("?url_hash", rdf.RDF_TYPE, NS + "urlHash")]

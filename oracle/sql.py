@@ -331,25 +331,145 @@ SELECT d.s, '{TYPE}' AS p, d.o,
 FROM declared d"""
 
 
+# The declared terms of each graph form.
 ARTICLE_TERMS = {
-    "Class": "bodyHash urlHash author title country language classification publication infoSource extraClass".split(),
-    "ObjectProperty": (
-        "has_body_hash classified_by has_url_hash authored_by has_title_hash is_from_country is_in_language "
-        "has_classification is_published_by is_sourced_from published_on classified_on has_extra_class is_extra_class"
-    ).split(),
-    "DataProperty": "publishedDate classifiedDate turtleFile".split(),
+    "Class": [
+        "bodyHash",
+        "urlHash",
+        "author",
+        "title",
+        "country",
+        "language",
+        "classification",
+        "publication",
+        "infoSource",
+        "extraClass",
+    ],
+    "ObjectProperty": [
+        "has_body_hash",
+        "classified_by",
+        "has_url_hash",
+        "authored_by",
+        "has_title_hash",
+        "is_from_country",
+        "is_in_language",
+        "has_classification",
+        "is_published_by",
+        "is_sourced_from",
+        "published_on",
+        "classified_on",
+        "has_extra_class",
+        "is_extra_class",
+    ],
+    "DataProperty": [
+        "publishedDate",
+        "classifiedDate",
+        "turtleFile",
+    ],
 }
 NER_TERMS = {
-    "Class": "publication ner_entity ner_label ner_source".split(),
-    "ObjectProperty": "has_ner_entity has_ner_label has_url_hash is_in_language".split(),
-    "DataProperty": ["ner_source"],
+    "Class": [
+        "publication",
+        "ner_entity",
+        "ner_label",
+        "ner_source",
+    ],
+    "ObjectProperty": [
+        "has_ner_entity",
+        "has_ner_label",
+        "has_url_hash",
+        "is_in_language",
+    ],
+    "DataProperty": [
+        "ner_source",
+    ],
 }
 URL_TERMS = {
-    "Class": "titleHash domainHash urlHash newsLabel bodyHash".split(),
-    "ObjectProperty": (
-        "has_url_hash has_title_hash has_body_hash has_news_label scraped_at inserted_at updated_at has_domain_hash"
-    ).split(),
-    "DataProperty": "scrapedDate insertedDate updatedDate".split(),
+    "Class": [
+        "titleHash",
+        "domainHash",
+        "urlHash",
+        "newsLabel",
+        "bodyHash",
+    ],
+    "ObjectProperty": [
+        "has_url_hash",
+        "has_title_hash",
+        "has_body_hash",
+        "has_news_label",
+        "scraped_at",
+        "inserted_at",
+        "updated_at",
+        "has_domain_hash",
+    ],
+    "DataProperty": [
+        "scrapedDate",
+        "insertedDate",
+        "updatedDate",
+    ],
+}
+URL_RAW_TERMS = {
+    "Class": [
+        "newsId",
+        "title",
+        "domain",
+        "url",
+        "newsLabel",
+        "bodyHash",
+    ],
+    "ObjectProperty": [
+        "has_id",
+        "has_url",
+        "has_title",
+        "has_body_hash",
+        "has_news_label",
+        "scraped_at",
+        "inserted_at",
+        "updated_at",
+    ],
+    "DataProperty": [
+        "scrapedDate",
+        "insertedDate",
+        "updatedDate",
+    ],
+}
+URL_UNTYPED_TERMS = {
+    "Class": [
+        "newsId",
+        "title",
+        "domain",
+        "url",
+        "newsLabel",
+        "bodyHash",
+        "scrapedDate",
+        "insertedDate",
+        "updatedDate",
+    ],
+    "ObjectProperty": [
+        "has_id",
+        "has_url",
+        "has_title",
+        "has_body_hash",
+        "has_news_label",
+        "scraped_at",
+        "inserted_at",
+        "updated_at",
+    ],
+    "DataProperty": [],
+}
+CONTENT_TERMS = {
+    "Class": [
+        "newsId",
+        "title",
+        "content",
+        "contentHash",
+    ],
+    "ObjectProperty": [
+        "has_title",
+        "has_content",
+        "has_content_hash",
+    ],
+    "DataProperty": [],
 }
 
 # One statement per triple, literals escaped.
@@ -638,6 +758,9 @@ SELECT p, o_kind, count(*) AS n_triples FROM g GROUP BY ALL""",
     "ontology_articles": _usage(ART, article_graph("art"), ARTICLE_TERMS),
     "ontology_ner": _usage(ENTITIES, entity_graph(), NER_TERMS),
     "ontology_url_centric": _usage(WEB, hashed_url_graph(), URL_TERMS),
+    "ontology_url_raw": _usage(WEB, raw_url_graph(True), URL_RAW_TERMS),
+    "ontology_url_untyped": _usage(WEB, raw_url_graph(False), URL_UNTYPED_TERMS),
+    "ontology_news_content": _usage(WEB, content_graph(), CONTENT_TERMS),
     "bgp_count_urls": f"WITH {WEB} SELECT count(DISTINCT url_hash) AS url_count FROM webh",
     "bgp_domain_label": f"""
 WITH {WEB}
