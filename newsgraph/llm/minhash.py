@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from hashlib import blake2b
 
 import numpy as np
@@ -139,7 +140,7 @@ def links_of(ids: np.ndarray, sets: list[np.ndarray], percent: int = LINK_PERCEN
     return out
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by cell. Whole cells are gathered up to CELL shingles and compared together; what small
     cells of one task find across each other are true links as well."""
     ids: list[int] = []
@@ -148,7 +149,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def done() -> pa.RecordBatch:
         order = np.unique(np.array(ids, np.int64), return_index=True)[1]
-        found = links_of(np.array(ids, np.int64)[order], [sets[i] for i in order])
+        found = links_of(np.array(ids, np.int64)[order], [sets[i] for i in order], percent)
         return pa.record_batch(
             [pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"]
         )
@@ -186,12 +187,15 @@ def _families(members: DataFrame, sizes: DataFrame) -> DataFrame:
     return pairs.select("node", cell.alias("cell"))
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = LINK_PERCENT
+) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id, kept``.
 
     Documents with equal sets form a class and only its smallest id is compared, so copies cost nothing however
     many there are. Classes that share a band of their min-max signature are candidates; all candidates of a family
-    are compared exactly (``links_of``) in cells of bounded size.
+    are compared exactly (``links_of``) in cells of bounded size. Documents link when 100 * intersection >=
+    ``percent`` * union; at 80 a pair shares no band with probability 2e-4.
 
     Defined results: a text without words (NULL, empty) has no shingles and links with nothing. Rows that repeat an
     id are one document: they link alike, also with each other. A row with a NULL id is only a group of its own
@@ -215,7 +219,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     sets = map_arrow(texts, _candidate_sets(table), "node long, shingles binary")
     compared = cells.join(sets, "node").select("cell", "node", "shingles")
     compared = compared.repartition("cell").sortWithinPartitions("cell")
-    links = map_arrow(compared, _compare, "a long, b long")
+    links = map_arrow(compared, partial(_compare, percent=percent), "a long, b long")
     same = filled.join(classes, "set_key").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     named = components(links.unionByName(same))
     out = signed.join(named, signed["doc_id"] == named["node"], "left")
@@ -225,8 +229,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = LINK_PERCENT
+) -> DataFrame:
     """The rows of ``docs`` that stay, all columns kept: one document of each group of linked ones."""
-    found = near_groups(docs, id_col, text_col)
+    found = near_groups(docs, id_col, text_col, percent)
     dropped = stored(found.where("NOT kept").select(F.col("doc_id").alias("_dropped")).distinct(), "near_dropped")
     return docs.join(dropped, docs[id_col] == dropped["_dropped"], "left_anti")

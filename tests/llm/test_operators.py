@@ -179,7 +179,7 @@ def test_exact_dedup(docs, none):
     assert exact_dedup.drop_copies(none).count() == 0
 
 
-def brute_links(texts):
+def brute_links(texts, percent=85):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = {}
     for i, t in texts:
@@ -192,7 +192,7 @@ def brute_links(texts):
 
     for a in sets:
         for b in sets:
-            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), find(i)) for i in sets}
@@ -216,6 +216,17 @@ def test_min_max_hashing(spark, none):
     assert minhash.near_groups(none).count() == 0
 
 
+def test_links_at_the_similarity_of_the_pipeline(spark):
+    data = []
+    for k in range(60):  # one changed word in texts of different length: similarities from 0.72 to 0.89
+        words = prose(35 + k).split()
+        data += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:15], "changed", *words[16:]]))]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    for percent in (80, 85):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_groups(df, percent=percent).collect()}
+        assert got == brute_links(data, percent)
+
+
 def test_large_family_is_cut_into_cells(spark, monkeypatch):
     monkeypatch.setattr(minhash, "CELL", 2000)
     base = prose(120).split()
