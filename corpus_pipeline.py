@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from newsgraph.llm import exact_dedup, language_id, minhash, mixing, packing
 from newsgraph.session import stored
 
+NEAR_PERCENT = 80  # near copies share at least this percent of their five-word shingles
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language_id.keep_accepted(docs)
@@ -21,7 +22,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.drop_near_copies(docs)
+    return minhash.drop_near_copies(docs, percent=NEAR_PERCENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
