@@ -18,6 +18,7 @@ from newsgraph.llm.common import map_arrow, text_chunks
 from newsgraph.session import stored
 
 PER_LANGUAGE = 2000  # bound of the labelled sample, documents of one language (expected number)
+FOLDS = 5  # parts of the sample; each is explained by models of the others to calibrate the rejection
 ORDER = 4
 UNKNOWN = "und"
 _SPACE = 0x20
@@ -170,13 +171,41 @@ def _labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
         F.col(lang_col).alias("lang"),
         F.col(text_col).alias("text"),
         (F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)).alias("_u"),
+        # Another hash than the one that picks the sample, so the folds do not depend on the rate.
+        F.pmod(F.xxhash64(F.lit("fold"), F.col(id_col)), F.lit(FOLDS)).cast("int").alias("fold"),
     )
     rates = stored(
         labelled.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("_rate")), "language_rates"
     )
     sample = labelled.join(rates, "lang").where(F.col("_u") < F.col("_rate"))
-    # A fifth of the sample calibrates the rejection.
-    return sample.select("lang", "text", (F.col("_u") >= F.col("_rate") * 0.8).alias("calibrates"))
+    return sample.select("lang", "text", "fold")
+
+
+def _model(languages: list[str], language: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> Model:
+    """The model of counts in which an n-gram of a language may stand several times, once per fold."""
+    order = np.lexsort([keys, language])
+    language, keys = language[order], keys[order]
+    first = np.flatnonzero(np.r_[True, (language[1:] != language[:-1]) | (keys[1:] != keys[:-1])])
+    return Model(languages, language[first], keys[first], np.add.reduceat(counts[order], first))
+
+
+def _limits(
+    n: int, blind: float, language: np.ndarray, entropy: np.ndarray, size: np.ndarray
+) -> tuple[np.ndarray, float, float]:
+    """The centre of each language, and what may be above it: a part that stays and one that shrinks with the length.
+
+    A language that has texts in one fold only is explained by no other fold: its centre is a blind guess among the
+    symbols. The two other parts are those of all languages together, so they are defined for few texts.
+    """
+    centres = np.full(n, blind)
+    for own in np.unique(language):
+        centres[own] = np.median(entropy[language == own])
+    stays, shrinks = 0.05, 2.0
+    if len(entropy):
+        excess = np.maximum(entropy - centres[language], 0)
+        stays += float(np.quantile(excess[size >= np.median(size)], 0.999))
+        shrinks += float(np.max(np.maximum(excess - stays, 0) * np.sqrt(size)))
+    return centres, 2 * stays, 2 * shrinks
 
 
 def fit(
@@ -186,50 +215,66 @@ def fit(
     lang_col: str = "lang",
     per_language: int = PER_LANGUAGE,
 ) -> dict | None:
-    """The models and the rejection limits, or None if there is no labelled text with a letter."""
+    """The models and the rejection limits, or None if there is no labelled text with a letter.
+
+    The models are fit on the whole sample. The limits come from the same texts at any size of the table: each fold of
+    the sample is explained by models of the other folds.
+    """
     sample = stored(_labelled_sample(docs, id_col, text_col, lang_col, per_language), "language_sample")
     languages = [r[0] for r in sample.select("lang").distinct().orderBy("lang").collect()]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_chunks(batches, "text"):
-            names = rows.column(0).to_pylist()
+            parts = list(zip(*(rows.column(k).to_pylist() for k in (0, 1)), strict=True))
             grams, starts = _grams(data, offsets)
-            for name in set(names):
-                own = [grams[a:b] for a, b, n in zip(starts[:-1], starts[1:], names, strict=True) if n == name]
+            for part in set(parts):
+                own = [grams[a:b] for a, b, p in zip(starts[:-1], starts[1:], parts, strict=True) if p == part]
                 keys, times = np.unique(np.concatenate(own), return_counts=True)
+                number, fold = (np.full(len(keys), x, np.int32) for x in (languages.index(part[0]), part[1]))
                 yield pa.record_batch(
-                    [pa.array([name] * len(keys)), pa.array(keys.view(np.int64)), pa.array(times)],
-                    ["lang", "gram", "n"],
+                    [pa.array(number), pa.array(fold), pa.array(keys.view(np.int64)), pa.array(times)],
+                    ["lang", "fold", "gram", "n"],
                 )
 
-    counted = map_arrow(sample.where("NOT calibrates").select("lang", "text"), count, "lang string, gram long, n long")
-    rows = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()  # bounded by the sample
+    counted = map_arrow(sample.select("lang", "fold", "text"), count, "lang int, fold int, gram long, n long")
+    rows = counted.groupBy("lang", "fold", "gram").agg(F.sum("n").alias("n")).toArrow()  # bounded by the sample
     if not rows.num_rows:
         return None
-    language = np.searchsorted(np.array(languages), np.array(rows["lang"].to_pylist()))
-    model = Model(languages, language, rows["gram"].to_numpy().view(np.uint64), rows["n"].to_numpy())
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    fold, keys, counts = rows["fold"].to_numpy(), rows["gram"].to_numpy().view(np.uint64), rows["n"].to_numpy()
+    # A language without any letter explains nothing and is no answer.
+    lettered, language = np.unique(rows["lang"].to_numpy(), return_inverse=True)
+    languages = [languages[i] for i in lettered]
+    model = _model(languages, language, keys, counts)
+    context = docs.sparkSession.sparkContext
+
+    def explained(part: int) -> pa.Table | None:
+        """Language, entropy and size of the texts of a fold whose language is known from the other folds."""
+        others = fold != part
+        known = np.unique(language[others])
+        if not len(known):
+            return None
+        shared = context.broadcast(_model(languages, language[others], keys[others], counts[others]))
+
+        def calibrate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows, data, offsets in text_chunks(batches, "text"):
+                entropy, sizes, letters = shared.value.cross_entropy(data, offsets)
+                own = np.array([languages.index(x) for x in rows.column(0).to_pylist()], np.int32)
+                best = entropy[:, known].min(axis=1)
+                yield pa.record_batch(
+                    [pa.array(own[letters]), pa.array(best[letters]), pa.array(sizes[letters].astype(np.int64))],
+                    ["lang", "entropy", "size"],
+                )
 
-    def calibrate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in text_chunks(batches, "text"):
-            entropy, sizes, letters = shared.value.cross_entropy(data, offsets)
-            best = entropy.min(axis=1)
-            yield pa.record_batch(
-                [pa.array(best[letters]), pa.array(sizes[letters].astype(np.int64))], ["entropy", "size"]
-            )
+        texts = sample.where((F.col("fold") == part) & F.col("lang").isin([languages[i] for i in known]))
+        out = map_arrow(texts.select("lang", "text"), calibrate, "lang int, entropy double, size long").toArrow()
+        shared.unpersist()
+        return out
 
-    seen = map_arrow(sample.where("calibrates").select("lang", "text"), calibrate, "entropy double, size long")
-    seen = seen.toArrow()  # one pair of numbers per calibration text
-    limits = (np.inf, 0.0, 0.0)
-    if seen.num_rows >= 20:
-        entropy, size = seen["entropy"].to_numpy(), seen["size"].to_numpy()
-        # Texts of one language differ by a part that stays and a part that shrinks with their length.
-        centre = float(np.median(entropy))
-        excess = np.maximum(entropy - centre, 0)
-        stays = float(np.quantile(excess[size >= np.median(size)], 0.999)) + 0.05
-        shrinks = float(np.max(np.maximum(excess - stays, 0) * np.sqrt(size))) + 2.0
-        limits = (centre, 2 * stays, 2 * shrinks)
-    return {"model": shared, "limits": limits}
+    found = [x for x in map(explained, range(FOLDS)) if x is not None]  # three numbers per text of the sample
+    none = {"lang": np.zeros(0, int), "entropy": np.zeros(0), "size": np.zeros(0, int)}
+    seen = [np.concatenate([empty, *(x[c].to_numpy() for x in found)]) for c, empty in none.items()]
+    limits = _limits(len(languages), -model.uniform, *seen)
+    return {"model": context.broadcast(model), "limits": limits}
 
 
 def identify(
@@ -242,8 +287,8 @@ def identify(
 
     ``lang_pred`` has the least cross-entropy per symbol (ties: the language that sorts first), ``score`` is its
     share of the likelihoods at the weight of at most 20 symbols. ``accepted`` is false when even the best language
-    explains the text worse than the calibrated limit. Defined results: a text without letters (NULL, empty,
-    digits) and any text when nothing could be learned is ``und`` with score 0, not accepted. Columns that a caller
+    explains the text worse than the calibrated limit of that language. Defined results: a text without letters
+    (NULL, empty, digits) and any text when nothing could be learned is ``und`` with score 0, not accepted. Columns that a caller
     keeps must not be called like the three results. Empty input: no rows.
     """
     kept = docs.select(*[F.col(c).alias(f"_kept_{i}") for i, c in enumerate(keep)], F.col(text_col).alias("_text"))
@@ -257,13 +302,13 @@ def identify(
                 yield pa.record_batch([*own, pa.array([UNKNOWN] * n), pa.array([0.0] * n), pa.array([False] * n)], names)
                 continue
             model = fitted["model"].value
-            centre, stays, shrinks = fitted["limits"]
+            centres, stays, shrinks = fitted["limits"]
             entropy, sizes, letters = model.cross_entropy(data, offsets)
             best = entropy.argmin(axis=1)
             least = entropy[np.arange(len(best)), best]
             weight = np.minimum(sizes, 20)[:, None]
             share = 1.0 / np.exp(-(entropy - least[:, None]) * weight).sum(axis=1)
-            limit = centre + stays + shrinks / np.sqrt(np.maximum(sizes, 1))
+            limit = centres[best] + stays + shrinks / np.sqrt(np.maximum(sizes, 1))
             labels = np.array([*model.languages, UNKNOWN], object)[np.where(letters, best, len(model.languages))]
             yield pa.record_batch(
                 [

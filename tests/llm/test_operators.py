@@ -273,6 +273,30 @@ def test_language_id(spark, none):
     assert not language_id.identify(strange, larger).first().accepted
 
 
+def test_rejection_at_every_size(spark):
+    small = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang")
+    draw = np.random.default_rng(6)
+    noise = "".join(draw.choice(list("zqxjkvwy"), 400))
+    unknown = "kaikki ihmiset syntyvat vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu jarki " * 4
+    greek = "το γρήγορο καφέ αλεπού πηδά πάνω από το τεμπέλικο σκυλί " * 5
+    strange = spark.createDataFrame([(-1, noise, None), (-2, unknown, None), (-3, greek, None)], small.schema)
+    few = small.where("lang <> 'es' OR doc_id < 40")  # some languages have a handful of texts
+    one = spark.createDataFrame([(0, " ".join(draw.choice(VOCABULARY, 300)), "en")], small.schema)  # one text explains no other
+    for table in (small, few, one):
+        fitted = language_id.fit(table)
+        centres, *spread = fitted["limits"]
+        assert len(centres) == len(fitted["model"].value.languages) and np.isfinite([*centres, *spread]).all()
+        assert not any(r.accepted for r in language_id.identify(strange, fitted).collect())
+    own = spark.createDataFrame([(1, " ".join(draw.choice(VOCABULARY, 300)), None)], small.schema)
+    assert language_id.identify(own, fitted).first().accepted
+    kept = language_id.keep_accepted(small.unionByName(strange))
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in small.collect()}
+    silent = small.unionByName(spark.createDataFrame([(-4, "1 2 3", "xx")], small.schema))  # labelled, without letters
+    assert language_id.fit(silent)["model"].value.languages == ["de", "en", "es", "fr"]
+    fitted = language_id.fit(small)
+    assert (fitted["limits"][0] < 2.0).all()  # every language has a centre of its own, far from a blind guess (3.66)
+
+
 def test_model_probabilities_add_up():
     keys = RANDOM.integers(97, 101, (300, 4)).astype(np.uint64)
     packed = (keys[:, 0] << np.uint64(48)) | (keys[:, 1] << np.uint64(32)) | (keys[:, 2] << np.uint64(16)) | keys[:, 3]
