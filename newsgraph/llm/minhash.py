@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import cache, partial
 from hashlib import blake2b
+from math import ceil, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -19,16 +20,33 @@ from newsgraph.session import stored
 
 SHINGLE = 5
 LINK_PERCENT = 85  # documents link when 100 * intersection >= this * union
-# 84 permutations give 168 values, because each keeps its minimum and its maximum; 28 bands of 6. A pair at
-# similarity 0.85 shares no band with probability 2e-6.
-ROWS, BANDS = 6, 28
-PERMUTATIONS = ROWS * BANDS // 2
+MISSED = 2e-6  # a pair at the link similarity shares no band with this probability at most
+VALUES = 170  # values of a signature, two per permutation, because each keeps its minimum and its maximum
 CELL = 1 << 20  # shingles that are compared in one task at a time
 ID_BITS = 1 << 26
 
-_RNG = np.random.default_rng(85)
-_FACTORS = _RNG.integers(1, 1 << 63, PERMUTATIONS, np.uint64) * np.uint64(2) + np.uint64(1)
-_SHIFTS = _RNG.integers(0, 1 << 63, PERMUTATIONS, np.uint64)
+
+@cache
+def banding(percent: int) -> tuple[int, int]:
+    """Values of a band and number of bands: the longest bands for which ``VALUES`` values keep to ``MISSED``.
+
+    85 percent: 28 bands of 6; 80 percent: 34 bands of 5. Where even bands of one value need more, there are more.
+    """
+    if not 0 < percent <= 100:
+        raise ValueError("percent must be above 0 and at most 100")
+    for rows in range(VALUES // 2, 0, -1):
+        equal = (percent / 100) ** rows
+        pairs = max(1, ceil(log(MISSED) / log1p(-equal) / 2)) if equal < 1 else 1
+        if rows == 1 or 2 * pairs * rows <= VALUES:
+            return rows, 2 * pairs
+    raise AssertionError
+
+
+@cache
+def _permutations(number: int) -> tuple[np.ndarray, np.ndarray]:
+    random = np.random.default_rng(85)
+    factors = random.integers(1, 1 << 63, number, np.uint64) * np.uint64(2) + np.uint64(1)
+    return factors, random.integers(0, 1 << 63, number, np.uint64)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> list[np.ndarray]:
@@ -48,26 +66,28 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) ->
     return out
 
 
-def band_keys(sets: list[np.ndarray]) -> np.ndarray:
+def band_keys(sets: list[np.ndarray], percent: int = LINK_PERCENT) -> np.ndarray:
     """A 64-bit key per set and band. Every set must have a member."""
+    length, bands = banding(percent)
+    factors, shifts = _permutations(length * bands // 2)
     values = np.concatenate(sets)
     at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])[:-1]
-    keys = np.zeros((len(sets), BANDS), np.uint64)
-    for k in range(PERMUTATIONS):
-        permuted = values * _FACTORS[k] + _SHIFTS[k]
+    keys = np.zeros((len(sets), bands), np.uint64)
+    for k in range(len(factors)):
+        permuted = values * factors[k] + shifts[k]
         # Minima fill the first half of the bands and maxima the second, so both of one permutation never meet.
         for half, found in enumerate((np.minimum.reduceat(permuted, at), np.maximum.reduceat(permuted, at))):
-            band = half * (BANDS // 2) + k // ROWS
+            band = half * (bands // 2) + k // length
             keys[:, band] = mix(keys[:, band] ^ found) + np.uint64(band)
     return keys
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signatures(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for rows, data, offsets in text_chunks(batches, "text"):
         sets = shingle_sets(data, offsets)
         sizes = np.array([len(s) for s in sets], np.int64)
         filled = np.flatnonzero(sizes)
-        keys = band_keys([sets[i] for i in filled]) if len(filled) else np.zeros((0, BANDS), np.uint64)
+        keys = band_keys([sets[i] for i in filled], percent) if len(filled) else np.zeros((0, 0), np.uint64)
         bands: list = [None] * len(sets)
         for i, own in zip(filled, keys.view(np.int64), strict=True):
             bands[i] = own
@@ -195,15 +215,16 @@ def near_groups(
     Documents with equal sets form a class and only its smallest id is compared, so copies cost nothing however
     many there are. Classes that share a band of their min-max signature are candidates; all candidates of a family
     are compared exactly (``links_of``) in cells of bounded size. Documents link when 100 * intersection >=
-    ``percent`` * union; at 80 a pair shares no band with probability 2e-4.
+    ``percent`` * union; a pair at ``percent`` shares no band with probability 2e-6 at most (``banding``).
 
     Defined results: a text without words (NULL, empty) has no shingles and links with nothing. Rows that repeat an
     id are one document: they link alike, also with each other. A row with a NULL id is only a group of its own
     (``component_id`` NULL, kept). Empty input: no rows.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    sign = partial(_signatures, percent=percent)
     signed = stored(
-        map_arrow(texts, _signatures, "doc_id long, n_shingles long, set_key binary, bands array<long>"), "signatures"
+        map_arrow(texts, sign, "doc_id long, n_shingles long, set_key binary, bands array<long>"), "signatures"
     )
     filled = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = stored(filled.groupBy("set_key").agg(F.min("doc_id").alias("node")), "set_classes")

@@ -227,6 +227,21 @@ def test_links_at_the_similarity_of_the_pipeline(spark):
         assert got == brute_links(data, percent)
 
 
+def test_bands_fit_the_similarity():
+    assert minhash.banding(85) == (6, 28) and minhash.banding(80) == (5, 34)
+    for percent in (1, 10, 50, 70, 80, 85, 90, 95, 99, 100):
+        length, bands = minhash.banding(percent)
+        assert (1 - (percent / 100) ** length) ** bands <= 2e-6
+    draw = np.random.default_rng(8)
+    sets = []
+    for _ in range(20000):  # pairs at similarity 0.8: 32 shared values of 40
+        values = np.unique(draw.integers(0, 1 << 63, 40, np.uint64))
+        sets += [values[:36], np.concatenate([values[:32], values[36:]])]
+    keys = [minhash.band_keys(sets[k : k + 2000], corpus_pipeline.NEAR_PERCENT) for k in range(0, 40000, 2000)]
+    keys = np.concatenate(keys)
+    assert (keys[::2] == keys[1::2]).any(axis=1).all()
+
+
 def test_large_family_is_cut_into_cells(spark, monkeypatch):
     monkeypatch.setattr(minhash, "CELL", 2000)
     base = prose(120).split()
