@@ -48,7 +48,7 @@ def _enhanced(heads: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Suffix order to DEPTH bytes and the common prefix of each suffix with the one before it."""
     n = len(rest)
     keys = list(heads.T)
-    order = np.lexsort(keys[::-1])
+    order = np.lexsort([rest, *keys[::-1]])  # the end of a piece is before a NUL byte, which looks the same
     common = np.zeros(n, np.int64)
     open_ = np.ones(n, bool)
     open_[:1] = False

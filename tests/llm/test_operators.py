@@ -154,6 +154,28 @@ def test_maximal_repeats_have_all_occurrences():
     assert len(found) == 2
 
 
+def assert_spans_cover(pieces):
+    earliest = np.arange(len(pieces))
+    got = [bytearray(len(p)) for p in pieces]
+    for piece, place, length, document in zip(*suffix_dedup._spans(pieces, earliest), strict=True):
+        assert document < piece
+        got[piece][place : place + length] = b"\1" * length
+    seen = first_documents(list(enumerate(pieces)))
+    assert got == [covered(p, seen, i) for i, p in enumerate(pieces)]
+
+
+def test_suffix_order_with_runs_of_nul():
+    draw = np.random.default_rng(9)
+    for _ in range(200):
+        passage = bytes(draw.integers(97, 123, 60).astype(np.uint8))
+        ends = [bytes(draw.integers(97, 123, 20).astype(np.uint8)) for _ in range(6)]
+        run = int(draw.integers(10, 71))
+        pieces = [passage + bytes(run) + end for end in ends[:2]]
+        pieces += [passage + bytes(int(draw.integers(0, run))) for _ in range(2)]  # end inside the run
+        pieces += [end + passage + bytes(run) for end in ends[2:]]
+        assert_spans_cover([pieces[i] for i in draw.permutation(len(pieces))])
+
+
 def test_substring_operators_without_rows(none):
     assert substring_dedup.dedup_digest(none).count() == 0
     assert suffix_dedup.dedup_digest(none).count() == 0
