@@ -176,6 +176,13 @@ def test_suffix_order_with_runs_of_nul():
         assert_spans_cover([pieces[i] for i in draw.permutation(len(pieces))])
 
 
+def test_repeats_beyond_the_depth_are_covered():
+    draw = np.random.default_rng(10)
+    passage = bytes(draw.integers(97, 123, 400).astype(np.uint8))
+    cuts = [(0, 400), (0, 71), (0, 72), (0, 73), (30, 180), (100, 390), (200, 400), (0, 400)]
+    assert_spans_cover([bytes(draw.integers(97, 123, 9).astype(np.uint8)) + passage[a:b] for a, b in cuts])
+
+
 def test_substring_operators_without_rows(none):
     assert substring_dedup.dedup_digest(none).count() == 0
     assert suffix_dedup.dedup_digest(none).count() == 0
