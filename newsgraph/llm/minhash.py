@@ -82,6 +82,10 @@ def band_keys(sets: list[np.ndarray], percent: int = LINK_PERCENT) -> np.ndarray
     return keys
 
 
+def _digest(shingles: np.ndarray) -> bytes:
+    return blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def _signatures(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for rows, data, offsets in text_chunks(batches, "text"):
         sets = shingle_sets(data, offsets)
@@ -91,7 +95,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
         bands: list = [None] * len(sets)
         for i, own in zip(filled, keys.view(np.int64), strict=True):
             bands[i] = own
-        digests = [blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+        digests = [_digest(s) if len(s) else None for s in sets]
         yield pa.record_batch(
             [rows.column(0), pa.array(sizes), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
             ["doc_id", "n_shingles", "set_key", "bands"],
@@ -108,9 +112,10 @@ def _candidate_sets(table: BitTable):
             lengths = np.diff(offsets)[hit]
             part = np.concatenate([data[offsets[i] : offsets[i + 1]] for i in hit])
             sets = shingle_sets(part, np.concatenate([[0], np.cumsum(lengths)]))
+            contents = [[_digest(s) for s in sets], [s.tobytes() for s in sets]]
             yield pa.record_batch(
-                [rows.column(0).take(pa.array(hit)), pa.array([s.tobytes() for s in sets], pa.binary())],
-                ["node", "shingles"],
+                [rows.column(0).take(pa.array(hit)), *(pa.array(c, pa.binary()) for c in contents)],
+                ["node", "set_key", "shingles"],
             )
 
     return run
@@ -162,14 +167,15 @@ def links_of(ids: np.ndarray, sets: list[np.ndarray], percent: int = LINK_PERCEN
 
 def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by cell. Whole cells are gathered up to CELL shingles and compared together; what small
-    cells of one task find across each other are true links as well."""
+    cells of one task find across each other are true links as well. Every distinct set of a node is compared."""
     ids: list[int] = []
-    sets: list[np.ndarray] = []
+    sets: list[bytes] = []
     mass, cell = 0, None
 
     def done() -> pa.RecordBatch:
-        order = np.unique(np.array(ids, np.int64), return_index=True)[1]
-        found = links_of(np.array(ids, np.int64)[order], [sets[i] for i in order], percent)
+        distinct = sorted(set(zip(ids, sets, strict=True)))
+        nodes = np.array([node for node, _ in distinct], np.int64)
+        found = links_of(nodes, [np.frombuffer(s, np.uint64) for _, s in distinct], percent)
         return pa.record_batch(
             [pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"]
         )
@@ -181,14 +187,14 @@ def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
                 ids, sets, mass = [], [], 0
             cell = at
             ids.append(node)
-            sets.append(np.frombuffer(data, np.uint64))
-            mass += len(sets[-1])
+            sets.append(data)
+            mass += len(data) // 8
     if len(ids) > 1:
         yield done()
 
 
-def _families(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """``node, cell``: the comparisons that cover all candidate pairs, each cell at most about CELL shingles.
+def _families(members: DataFrame) -> DataFrame:
+    """``node, set_key, cell``: the comparisons that cover all candidate pairs, each cell at most about CELL shingles.
 
     Documents that share a band, directly or in a chain, are a family. A family above the bound is cut into blocks
     by hash and every two of its blocks form a cell, so no group of any size lies in one task and no pair is lost.
@@ -196,15 +202,16 @@ def _families(members: DataFrame, sizes: DataFrame) -> DataFrame:
     # A star per band: the smallest document of a bucket stands for it.
     stars = members.select(F.col("node").alias("a"), F.col("_least").alias("b")).where("a <> b").distinct()
     family = components(stars)
-    sized = stored(family.join(sizes, "node"), "family_sizes")
+    sets = members.select("node", "set_key", "n_shingles").distinct()
+    sized = stored(family.join(sets, "node"), "family_sizes")
     blocks = sized.groupBy("component").agg(F.ceil(F.sum("n_shingles") * 2 / CELL).alias("_blocks"))
     placed = sized.join(blocks, "component").withColumn(
-        "_block", F.pmod(F.xxhash64("node"), F.greatest("_blocks", F.lit(1)))
+        "_block", F.pmod(F.xxhash64("node", "set_key"), F.greatest("_blocks", F.lit(1)))
     )
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("_blocks", F.lit(1)) - 1))
     pairs = placed.withColumn("_other", other)
     cell = F.xxhash64("component", F.least("_block", "_other"), F.greatest("_block", "_other"))
-    return pairs.select("node", cell.alias("cell"))
+    return pairs.select("node", "set_key", cell.alias("cell"))
 
 
 def near_groups(
@@ -218,7 +225,7 @@ def near_groups(
     ``percent`` * union; a pair at ``percent`` shares no band with probability 2e-6 at most (``banding``).
 
     Defined results: a text without words (NULL, empty) has no shingles and links with nothing. Rows that repeat an
-    id are one document: they link alike, also with each other. A row with a NULL id is only a group of its own
+    id are one document: they link alike, also with each other, and what any of their texts links with is linked. A row with a NULL id is only a group of its own
     (``component_id`` NULL, kept). Empty input: no rows.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -229,16 +236,17 @@ def near_groups(
     filled = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = stored(filled.groupBy("set_key").agg(F.min("doc_id").alias("node")), "set_classes")
     # One row of each class carries the bands: the one with the smallest id.
-    rows = filled.join(classes, "set_key").where("doc_id = node").select("node", "n_shingles", "bands")
-    banded = rows.select("node", F.explode("bands").alias("_band"))
+    rows = filled.join(classes, "set_key").where("doc_id = node").select("node", "set_key", "n_shingles", "bands")
+    banded = rows.select("node", "set_key", "n_shingles", F.explode("bands").alias("_band"))
     bucket = Window.partitionBy("_band")
-    members = banded.select("node", F.min("node").over(bucket).alias("_least"), F.max("node").over(bucket).alias("_most"))
-    members = stored(members.where("_least <> _most").select("node", "_least").distinct(), "band_members")
+    ends = F.min("node").over(bucket).alias("_least"), F.max("node").over(bucket).alias("_most")
+    members = banded.select("node", "set_key", "n_shingles", *ends).where("_least <> _most").drop("_most").distinct()
+    members = stored(members, "band_members")
 
-    cells = stored(_families(members, rows.select("node", "n_shingles")), "cells")
+    cells = stored(_families(members), "cells")
     table = bit_table(cells, "node", ID_BITS)  # ids serve as their own hashes
-    sets = map_arrow(texts, _candidate_sets(table), "node long, shingles binary")
-    compared = cells.join(sets, "node").select("cell", "node", "shingles")
+    sets = map_arrow(texts, _candidate_sets(table), "node long, set_key binary, shingles binary")
+    compared = cells.join(sets, ["node", "set_key"]).select("cell", "node", "shingles")
     compared = compared.repartition("cell").sortWithinPartitions("cell")
     links = map_arrow(compared, partial(_compare, percent=percent), "a long, b long")
     same = filled.join(classes, "set_key").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
@@ -253,7 +261,8 @@ def near_groups(
 def drop_near_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = LINK_PERCENT
 ) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns kept: one document of each group of linked ones."""
+    """The rows of ``docs`` that stay, all columns kept: one document of each group of linked ones. Rows that
+    repeat an id are one document and stay or go together."""
     found = near_groups(docs, id_col, text_col, percent)
     dropped = stored(found.where("NOT kept").select(F.col("doc_id").alias("_dropped")).distinct(), "near_dropped")
     return docs.join(dropped, docs[id_col] == dropped["_dropped"], "left_anti")

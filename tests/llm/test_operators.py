@@ -271,6 +271,23 @@ def test_bands_fit_the_similarity():
     assert (keys[::2] == keys[1::2]).any(axis=1).all()
 
 
+def test_one_id_with_several_texts(spark):
+    draw = np.random.default_rng(11)
+    data, want = [], {}
+    for k in range(0, 120, 3):  # the texts of node k + 2 are near copies of k and of k + 1, all else is different
+        for own in (0, 1):
+            words = draw.choice(VOCABULARY, 150).tolist()
+            data += [(k + own, " ".join(words)), (k + 2, " ".join([*words[:-1], "changed"]))]
+        want |= {k: k, k + 1: k, k + 2: k}
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    got = minhash.near_groups(df).collect()
+    assert len(got) == len(data) and {r.doc_id: r.component_id for r in got} == want
+    assert {r.doc_id for r in minhash.drop_near_copies(df).collect()} == set(range(0, 120, 3))
+    # Here the node with two texts is the smallest, so both of its sets stand for their classes.
+    turned = spark.createDataFrame([(-i, t) for i, t in data], "doc_id long, text string")
+    assert {-r.doc_id: -r.component_id for r in minhash.near_groups(turned).collect()} == {i: c + 2 for i, c in want.items()}
+
+
 def test_large_family_is_cut_into_cells(spark, monkeypatch):
     monkeypatch.setattr(minhash, "CELL", 2000)
     base = prose(120).split()
