@@ -71,4 +71,40 @@ SELECT p.page_id, strlen(p.html) AS payload_bytes,
 FROM p JOIN g ON p.html = g.html
 """
 
-LLM_ORACLE: dict[str, str] = {"op2_exact_dedup": OP2, "op5_chat_format": OP5, "op7_warc_zip": OP7, "op10_mixing": OP10}
+OP11 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents
+), i AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE text IS NOT NULL
+), win AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[k : k + least(10, len(w)) - 1], ' ') AS win
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM i WHERE len(w) > 0)
+), own AS (SELECT DISTINCT n, win FROM win),
+pos AS (
+  SELECT rid, k, n, array_to_string(w[k : k + n - 1], ' ') AS win
+  FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)
+), met AS (SELECT rid, k, pos.n, pos.win FROM pos JOIN own ON pos.win = own.win AND pos.n = own.n),
+hit AS (
+  SELECT rid, count(DISTINCT spot) AS n_hit FROM (SELECT rid, unnest(range(k, k + n)) AS spot FROM met) GROUP BY rid
+), named AS (
+  SELECT rid, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS id FROM met JOIN win USING (win)) WHERE id IS NOT NULL
+  GROUP BY rid
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN named USING (rid)
+"""
+
+LLM_ORACLE: dict[str, str] = {
+    "op2_exact_dedup": OP2,
+    "op5_chat_format": OP5,
+    "op7_warc_zip": OP7,
+    "op10_mixing": OP10,
+    "op11_decontamination": OP11,
+}

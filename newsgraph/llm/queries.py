@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from newsgraph.llm import (
     chat_format,
+    decontamination,
     exact_dedup,
     language_id,
     minhash,
@@ -69,6 +70,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -80,4 +85,5 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pivot_index": op8_pivot_index,
     "op9_minhash": op9_minhash,
     "op10_mixing": op10_mixing,
+    "op11_decontamination": op11_decontamination,
 }
