@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from newsgraph.llm import (
     chat_format,
     decontamination,
+    divergence,
     exact_dedup,
     language_id,
     minhash,
@@ -74,6 +75,10 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -86,4 +91,5 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash": op9_minhash,
     "op10_mixing": op10_mixing,
     "op11_decontamination": op11_decontamination,
+    "op13_divergence": op13_divergence,
 }
