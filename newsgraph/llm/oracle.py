@@ -101,6 +101,41 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN hit USING (rid) LEFT JOIN named USING (rid)
 """
 
+OP12 = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS donor,
+         xor(4294967295, list_reduce([4294967295] || flatten([[ascii(x), -1, -1, -1, -1, -1, -1, -1, -1]
+             FOR x IN string_split(CAST(conv_id AS VARCHAR), '')]),
+           lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a // 2, (a % 2) * 3988292384) END)) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)
+), r AS (
+  SELECT c.conv_id, pos, role, text FROM c JOIN t ON t.conv_id = c.donor WHERE pos <= h
+  UNION ALL SELECT c.conv_id, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id WHERE pos > h
+), s AS (
+  SELECT c.conv_id, coalesce(path, []) AS path
+  FROM c LEFT JOIN (SELECT conv_id, list([role, text] ORDER BY pos) AS path FROM r GROUP BY conv_id) q USING (conv_id)
+), p AS (SELECT conv_id, path, unnest(range(0, len(path) + 1)) AS depth FROM s),
+n AS (
+  SELECT path[1:depth] AS pre, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         CASE WHEN depth = 0 THEN 0 ELSE length(path[1:depth][-1][2]) END AS chars
+  FROM p GROUP BY ALL
+), kids AS (SELECT pre[1:depth - 1] AS pre, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids ON n.pre = kids.pre),
+sub AS (
+  SELECT pre[1:k] AS pre, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * chars) AS saved
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS k FROM m) GROUP BY 1
+), ends AS (SELECT path AS pre, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM s GROUP BY path)
+SELECT m.conv_id, m.depth, up.conv_id AS parent_conv_id, m.n_convs, m.n_children,
+       CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
+       sha256(coalesce(ids, '')) AS ends_sha256
+FROM m JOIN sub ON sub.pre = m.pre LEFT JOIN ends ON ends.pre = m.pre
+LEFT JOIN m up ON m.depth > 0 AND up.pre = m.pre[1:m.depth - 1]
+"""
+
 OP13 = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
@@ -142,5 +177,6 @@ LLM_ORACLE: dict[str, str] = {
     "op7_warc_zip": OP7,
     "op10_mixing": OP10,
     "op11_decontamination": OP11,
+    "op12_prefix_trie": OP12,
     "op13_divergence": OP13,
 }

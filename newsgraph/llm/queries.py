@@ -17,6 +17,7 @@ from newsgraph.llm import (
     mixing,
     packing,
     pivot_index,
+    prefix_trie,
     substring_dedup,
     suffix_dedup,
     warc_zip,
@@ -75,6 +76,10 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.shared_prefixes(table(spark, sf_dir, "conversations"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -91,5 +96,6 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash": op9_minhash,
     "op10_mixing": op10_mixing,
     "op11_decontamination": op11_decontamination,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_divergence": op13_divergence,
 }
