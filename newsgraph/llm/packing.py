@@ -9,6 +9,7 @@ the pieces of its length and finds its bin by joining the plan.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -27,13 +28,14 @@ def plan_bins(
 ) -> list[dict]:
     """Plan best fit, longest first, for ``counts`` pieces of each length.
 
-    A piece goes to the open bin with the least room that is enough. If there is none, a bin opens in the capacity
+    A piece goes to the open bin with the least room that is enough; of several with this room, to the one that was
+    opened first. If there is none, a bin opens in the capacity
     whose cost per token is least when the bin is filled with pieces of this length that are left (ties: the
     larger one). At the end each bin shrinks to the smallest capacity that holds its contents. Bins with the same
     contents are one range; the result has a row per range and length in it.
     """
     sizes = sorted(set(capacities))
-    open_bins: dict[int, list[tuple]] = {}  # room -> [(first bin, bins, used, contents)]
+    open_bins: dict[int, list[tuple]] = {}  # room -> heap of (first bin, bins, used, contents, capacity)
     rooms: list[int] = []
     n_bins = 0
 
@@ -43,7 +45,7 @@ def plan_bins(
             if room not in open_bins:
                 open_bins[room] = []
                 insort(rooms, room)
-            open_bins[room].append((first, bins, used, contents, capacity))
+            heappush(open_bins[room], (first, bins, used, contents, capacity))
 
     for length in sorted((x for x in counts if x > 0), reverse=True):
         left, slot = counts[length], 0
@@ -51,7 +53,7 @@ def plan_bins(
             at = bisect_left(rooms, length)
             if at < len(rooms):
                 room = rooms[at]
-                first, bins, used, contents, capacity = open_bins[room].pop()
+                first, bins, used, contents, capacity = heappop(open_bins[room])
                 if not open_bins[room]:
                     del open_bins[room], rooms[at]
             else:

@@ -411,8 +411,20 @@ def best_fit_by_hand(lengths, capacities, overhead):
     return Counter((min(c for c in capacities if c >= sum(b)), sum(b)) for _, b in bins)
 
 
+@pytest.mark.parametrize("seed", range(200))
+def test_packing_plan_is_best_fit(seed):
+    draw = np.random.default_rng(seed)
+    lengths = draw.integers(1, draw.integers(2, 65), draw.integers(1, 400)).tolist()
+    capacities = [(16, 32, 64), (64,), (40, 64), (10, 20, 30, 64)][seed % 4]
+    bins = {}
+    for r in packing.plan_bins(Counter(lengths), capacities, 2):
+        for k in range(r["slots"] // r["each"]):
+            bins.setdefault(r["bin"] + k, (r["capacity"], r["used"]))
+    assert Counter(bins.values()) == best_fit_by_hand(lengths, capacities, 2)
+
+
 def test_packing_is_best_fit(spark, none, docs):
-    lengths = RANDOM.integers(1, 40, 300).tolist() + [64, 63, 1, 1]
+    lengths = np.random.default_rng(7).integers(1, 40, 300).tolist() + [64, 63, 1, 1]
     data = [(i, " ".join(["w"] * n)) for i, n in enumerate(lengths)]
     df = spark.createDataFrame(data, "doc_id long, text string")
     got = packing.best_fit(df, capacities=(16, 32, 64), overhead=2).collect()
