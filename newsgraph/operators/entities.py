@@ -20,7 +20,7 @@ DEFAULT_RULES = {
     "EMAIL": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
 }
 WORD = r"[\p{L}\p{Nd}]+"
-ANCHOR_WORDS = 4  # leading words by which a gazetteer term meets a text; longer terms are then looked up whole
+REACH = 3  # words on either side of its anchor pair that are compared when a term meets a text
 
 # texts -> one list of (entity, label) per text
 Extractor = Callable[[Sequence[str]], Sequence[Sequence[tuple[str, str]]]]
@@ -61,47 +61,72 @@ def rule_entities(
     return _found(input_fields(df, fields), found)
 
 
-def _phrases(n: int) -> Column:
-    """All sequences of ``n`` neighbouring words of the array ``words``."""
-    if n == 1:
-        return F.col("words")
-    last_words = F.slice("words", F.lit(n), F.size("words"))
-    pairs = F.zip_with(_phrases(n - 1), last_words, lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.filter(pairs, lambda phrase: phrase.isNotNull())
-
-
 def _cut_words(column: str) -> Column:
     return F.regexp_extract_all(F.lower(column), F.lit(WORD), F.lit(0))
 
 
+def anchored_terms(words: DataFrame, terms: DataFrame) -> DataFrame:
+    """Give each term (``entity, entity_label, term_words``) its rarest word as ``anchor``, the number of that word in
+    the term as ``at``, and in how many texts it occurs as ``frequency``.
+
+    ``words`` has a row per text and word of it. A term with a word that no text has cannot be found and is left out.
+    """
+    frequency = words.groupBy("word").agg(F.count("*").alias("frequency"))
+    places = terms.select("*", F.posexplode("term_words").alias("at", "word")).join(frequency, "word", "left")
+    rarest = F.min(F.struct(F.coalesce("frequency", F.lit(0)).alias("frequency"), F.col("word").alias("anchor"), "at"))
+    chosen = places.groupBy("entity", "entity_label", "term_words").agg(rarest.alias("rarest"))
+    return chosen.select("entity", "entity_label", "term_words", "rarest.*").where("frequency > 0")
+
+
 def gazetteer_entities(df: DataFrame, gazetteer: DataFrame, fields: Sequence[str] | None = None) -> DataFrame:
     """Distinct gazetteer terms (``entity, entity_label``) found as whole words, case ignored.
 
     Terms and texts are cut into words alike, so "U.S. Senate" is found as the words u, s, senate; terms may have any
-    number of words, terms without words are never found. Every text gives its distinct sequences of one to four
-    words, which meet the leading words of the terms with nothing but a row number beside them; terms with more words are
-    then looked up in the whole text. There is no broadcast hint: Spark broadcasts the terms when their measured size
-    is under its threshold and otherwise joins by shuffle, where the adaptive skew join splits very common words.
+    number of words, terms without words are never found. The words of the texts are first filtered to those of the
+    terms; counting them gives each term its rarest word, by which alone it meets a text (a term of several words
+    together with the word beside it). The words around that place are then compared with the term by position; terms
+    that reach further than REACH words are looked up in the whole text at the end. There is no broadcast hint: Spark
+    broadcasts the terms when their measured size is under its threshold and otherwise joins by shuffle, where the
+    adaptive skew join splits a frequent anchor.
     """
     texts = input_fields(df, fields).withColumns({"words": _cut_words("text"), "row": F.monotonically_increasing_id()})
     rows = stored(texts.where(F.size("words") > 0).drop("text"), "gazetteer-texts")  # fixes the row numbers
-    words = F.col("term_words")
-    terms = (
-        gazetteer.select("entity", "entity_label", _cut_words("entity").alias("term_words"))
-        .where(F.size(words) > 0)
-        .distinct()
-        .select(
-            "entity",
-            "entity_label",
-            F.array_join(F.slice(words, 1, ANCHOR_WORDS), " ").alias("anchor"),
-            F.when(F.size(words) > ANCHOR_WORDS, F.array_join(words, " ")).alias("whole"),
-        )
+    words, n, at = F.col("term_words"), F.size("term_words"), F.col("at")
+    terms = gazetteer.select("entity", "entity_label", _cut_words("entity").alias("term_words")).where(n > 0).distinct()
+    vocabulary = terms.select(F.explode("term_words").alias("word")).distinct()
+    own = rows.select("row", F.explode(F.array_distinct("words")).alias("word"))
+    own = stored(own.join(vocabulary, "word", "left_semi"), "gazetteer-words")
+
+    anchored = stored(anchored_terms(own, terms), "gazetteer-terms")
+    single = anchored.where(n == 1).select("entity", "entity_label", F.col("anchor").alias("word"))
+    found = own.join(single, "word").select("row", "entity", "entity_label")
+
+    first = F.greatest(F.least(at, n - 2), F.lit(0))  # the anchor and the word after it, or the one before the last word
+    skipped = F.greatest(first - REACH, F.lit(0))
+    several = anchored.where(n > 1).select(
+        "entity",
+        "entity_label",
+        F.concat_ws(" ", F.slice(words, first + 1, 2)).alias("pair"),
+        (first - skipped).alias("ahead"),
+        F.slice(words, skipped + 1, first - skipped + 2 + REACH).alias("near"),
+        F.when((skipped > 0) | (n > first + 2 + REACH), F.concat_ws(" ", words)).alias("whole"),
+    )
+    places = rows.select("row", "words", F.posexplode("words").alias("at", "word")).where(at < F.size("words") - 1)
+    skipped = F.greatest(at - REACH, F.lit(0))
+    places = places.select(
+        "row",
+        F.concat("word", F.lit(" "), F.get("words", at + 1)).alias("pair"),
+        (at - skipped).alias("before"),
+        F.slice("words", skipped + 1, at - skipped + 2 + REACH).alias("context"),
     )
-    anchors = F.array_distinct(F.concat(*[_phrases(n) for n in range(1, ANCHOR_WORDS + 1)]))
-    met = rows.select("row", F.explode(anchors).alias("anchor")).join(terms, "anchor").drop("anchor")
-    text = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
+    begin = F.col("before") - F.col("ahead")
+    same = F.slice("context", F.greatest(begin, F.lit(0)) + 1, F.size("near")) == F.col("near")
+    met = places.join(several, "pair").where((begin >= 0) & same).select("row", "entity", "entity_label", "whole").distinct()
+    text = F.concat(F.lit(" "), F.concat_ws(" ", "words"), F.lit(" "))
     holds = text.contains(F.concat(F.lit(" "), F.col("whole"), F.lit(" ")))
-    return met.join(rows, "row").where(F.col("whole").isNull() | holds).select(*ENTITY_COLUMNS)
+    long_terms = met.where("whole IS NOT NULL").join(rows.select("row", "words"), "row").where(holds)
+    found = found.union(met.where("whole IS NULL").drop("whole")).union(long_terms.select(found.columns))
+    return found.join(rows.drop("words"), "row").select(*ENTITY_COLUMNS)
 
 
 def model_entities(

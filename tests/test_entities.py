@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -131,3 +132,30 @@ def test_gazetteer_terms_of_any_length_are_cut_like_texts(spark, articles):
     assert sorted(r["entity"] for r in found.collect()) == sorted([*terms[:3], "two"])
     assert entities.gazetteer_entities(text, gazetteer.limit(0)).count() == 0
     assert entities.gazetteer_entities(text.limit(0), gazetteer).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_gazetteer_on_few_words_agrees_with_brute_force(spark, seed):
+    draw = random.Random(seed)
+    few = ["a", "b", "c", "Dé", "e1"]  # every word is frequent, most terms nearly match
+    texts = [" ".join(draw.choices(few, k=draw.choice([1, 2, 5, 40]))) for _ in range(40)] + ["", "-", "a " * 3000]
+    schema = "article_id string, url_hash string, publication_date string, body string"
+    articles = spark.createDataFrame([(str(i), "h", None, t) for i, t in enumerate(texts)], schema)
+    terms = {" ".join(draw.choices(few, k=draw.choice([1, 2, 3, 4, 5, 8, 9, 12]))) for _ in range(60)}
+    terms |= {" ".join(texts[3].split()[:30]), texts[5] or "x", "A, b", "absent a"}
+    gazetteer = spark.createDataFrame([(t, label) for t in sorted(terms) for label in ("P", "Q")], "entity string, entity_label string")
+
+    def cut(text):
+        return " " + " ".join(re.findall(r"\w+", text.lower())) + " "
+
+    expected = [(str(i), t, x) for i, text in enumerate(texts) for t in terms for x in "PQ" if cut(t).strip() and cut(t) in cut(text)]
+    found = entities.gazetteer_entities(articles, gazetteer)
+    assert rows(found.select("article_id", "entity", "entity_label")) == sorted(expected)
+
+
+def test_terms_are_anchored_at_their_rarest_word(spark):
+    words = spark.createDataFrame([(i, w) for i, t in enumerate(["the of x", "the of", "the"]) for w in t.split()], "row int, word string")
+    terms = [("of the", ["of", "the"]), ("the x of", ["the", "x", "of"]), ("the zebra", ["the", "zebra"])]
+    terms = spark.createDataFrame([(e, "T", w) for e, w in terms], "entity string, entity_label string, term_words array<string>")
+    got = entities.anchored_terms(words, terms).select("entity", "anchor", "at", "frequency")
+    assert rows(got) == [("of the", "of", 0, 2), ("the x of", "x", 1, 1)]
