@@ -137,10 +137,12 @@ def _page_dataset(pages: DataFrame) -> DataFrame:
 
 @query
 def ingest_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A folder of three datasets with different columns; two have a config, the third is kept as whole rejected rows."""
+    """A folder of three datasets with different columns: one with partition folders, one of 500 files, and one without
+    a config, which is kept as whole rejected rows."""
     out = scratch_dir(spark, "folder")
-    tables.raw_articles(spark, sf_dir).drop("file_name", "doc_id").write.parquet(f"{out}/in/documents.parquet")
-    _page_dataset(table(spark, sf_dir, "pages")).write.parquet(f"{out}/in/pages.parquet")
+    documents = tables.raw_articles(spark, sf_dir).drop("file_name", "doc_id")
+    documents.write.partitionBy("language").parquet(f"{out}/in/documents.parquet")
+    _page_dataset(table(spark, sf_dir, "pages")).repartition(500).write.parquet(f"{out}/in/pages.parquet")
     table(spark, sf_dir, "benchmark").write.parquet(f"{out}/in/benchmark.parquet")
     for name, config in (("documents", DOCUMENTS_CONFIG), ("pages", PAGES_CONFIG)):
         write_small_file(spark, f"{out}/configs/{name}.parquet.yml", config.to_text())
@@ -151,6 +153,26 @@ def ingest_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accepted.unionByName(rejected, allowMissingColumns=True)
 
 
+@query
+def ingest_dropped_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One stream over three datasets dropped in two steps: two with configs, the later one partitioned, one without."""
+    out = scratch_dir(spark, "dropped")
+    for name, config in (("documents", DOCUMENTS_CONFIG), ("pages", PAGES_CONFIG)):
+        write_small_file(spark, f"{out}/configs/{name}.parquet.yml", config.to_text())
+    table(spark, sf_dir, "benchmark").write.parquet(f"{out}/in/benchmark.parquet")
+    _page_dataset(table(spark, sf_dir, "pages")).write.parquet(f"{out}/in/pages.parquet")
+    arguments = (f"{out}/in", f"{out}/configs", f"{out}/articles", f"{out}/checkpoint")
+    jobs.ingest_stream(spark, *arguments, FIRST_LOAD)
+    documents = tables.raw_articles(spark, sf_dir).drop("file_name", "doc_id")
+    documents.write.partitionBy("language").parquet(f"{out}/in/documents.parquet")
+    for run_ts in (tables.SECOND_LOAD, "2024-03-01 00:00:00"):  # the last run finds nothing new
+        jobs.ingest_stream(spark, *arguments, run_ts, max_files_per_batch=3)
+    columns = ["etl_timestamp", "file_name", "url", "label", "title", "language", "body_hash", "custom_columns"]
+    accepted = _stamped(snapshot.read_articles(spark, f"{out}/articles").select(*columns), columns)
+    rejected = spark.read.parquet(f"{out}/articles_rejected").select("reject_reason", "row")
+    return accepted.unionByName(rejected, allowMissingColumns=True)
+
+
 @query
 def ingest_two_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two streams of different datasets, each with its own checkpoint, that fill one article table."""

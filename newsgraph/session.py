@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -35,6 +36,14 @@ def build_session(app_name: str = "newsgraph", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
+def package_for_workers(spark: SparkSession) -> None:
+    """Let Python workers find this package also when the driver was started from another folder."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    if root not in environment.get("PYTHONPATH", "").split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [environment.get("PYTHONPATH"), root]))
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder for intermediate tables.
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from urllib.parse import unquote
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,20 +14,6 @@ def read_parquet(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.parquet(*paths)
 
 
-def dataset_files(spark: SparkSession, path: str) -> dict[str, list[str]]:
-    """Dataset name -> its files. A dataset is a file, or the folder that holds the part files of a writer."""
-    found: dict[str, list[str]] = {}
-    for file in sorted(read_parquet(spark, path).inputFiles()):
-        *_, folder, name = file.split("/")
-        found.setdefault(unquote(folder if name.startswith("part-") else name), []).append(file)
-    return found
-
-
-def with_dataset_name(df: DataFrame, name: str, dataset_col: str = "file_name") -> DataFrame:
-    """Rows with the name of their dataset; a dataset that already carries names keeps them."""
-    return df if dataset_col in df.columns else df.withColumn(dataset_col, F.lit(name))
-
-
 def read_csv(
     spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = False
 ) -> DataFrame:

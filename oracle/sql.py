@@ -634,6 +634,20 @@ FROM site
 UNION ALL
 SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'no mapping config',
   CAST(json_object('item_id', item_id, 'text', text, 'file_name', 'benchmark.parquet') AS VARCHAR)
+FROM benchmark""",
+    "ingest_dropped_datasets": f"""
+WITH {RAW}, site AS (SELECT *, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS site FROM pages)
+SELECT '2024-02-01 00:00:00' AS etl_timestamp, 'documents.parquet' AS file_name, {_null("site_url")} AS url, {_null("type")} AS label, {_null("title")} AS title,
+  {_null("language")} AS language, sha256({_null("text")}) AS body_hash,
+  CAST(json_object('n_chars', n_chars) AS VARCHAR) AS custom_columns, NULL::VARCHAR AS reject_reason,
+  NULL::VARCHAR AS "row"
+FROM raw
+UNION ALL
+SELECT '2024-01-01 00:00:00', 'pages.parquet', {_null("url")}, {_null("site")}, {_null("url")}, 'null', sha256({_null("html")}), '{{}}', NULL, NULL
+FROM site
+UNION ALL
+SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'no mapping config',
+  CAST(json_object('item_id', item_id, 'text', text, 'file_name', 'benchmark.parquet') AS VARCHAR)
 FROM benchmark""",
     "ingest_two_streams": f"""
 WITH {ART}, site AS (SELECT *, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS site FROM pages)

@@ -1,15 +1,18 @@
 import hashlib
 import json
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from newsgraph.operators import ingest
 from newsgraph.plans import jobs
 from newsgraph.schema import ARTICLE_COLUMNS
+from newsgraph.sources import catalogue
 from newsgraph.sources import config as mapping
 from newsgraph.sources.config import MappingConfig
-from tests.helpers import column
+from tests.helpers import column, rows
 
 YAML = """
 source: https://example.org/data
@@ -169,3 +172,68 @@ def test_drop_empty_text(source):
     counts = {r["column_name"]: (r["n_before"], r["n_after"]) for r in
               ingest.row_counts_before_after(source, "title", "text").collect()}
     assert counts == {"title": (2, 1), "text": (2, 2)}
+
+
+def plain_config(**columns):
+    names = {"body": "text", "url": "u", "label": "l", "title": "title", "file_name": "file_name", **columns}
+    return MappingConfig(names, {"publication_date": "year"}, ("extra",))
+
+
+def write_rows(folder, name, count=1, **columns):
+    (folder / name).parent.mkdir(parents=True, exist_ok=True)
+    data = {"text": "b", "title": "t", "u": "u", "l": "x", **columns}
+    pq.write_table(pa.table({k: [v] * count for k, v in data.items() if v is not None}), folder / name)
+
+
+def mapped(spark, folder, configs):
+    accepted, rejected = jobs.map_files(catalogue.list_files(spark, str(folder)), configs, RUN)
+    return accepted, rejected
+
+
+def test_partition_folders_belong_to_their_dataset(spark, tmp_path):
+    write_rows(tmp_path, "a.parquet/year=2020/part-0.parquet")
+    write_rows(tmp_path, "a.parquet/year=2021/month=1/data.parquet")  # named otherwise, and one more level
+    write_rows(tmp_path, "odd +name%20é.parquet", extra=7)
+    write_rows(tmp_path, "foreign.parquet/year=2019/part-0.parquet")
+    write_rows(tmp_path, "sub/folder/part-1.parquet", title=None)
+    configs = {name: plain_config() for name in ("a.parquet", "odd +name%20é.parquet", "folder")}
+    accepted, rejected = mapped(spark, tmp_path, configs)
+    assert rows(accepted.select("file_name", "publication_date", "custom_columns")) == [
+        ("a.parquet", "2020", '{"extra":"null"}'),
+        ("a.parquet", "2021", '{"extra":"null"}'),
+        ("odd +name%20é.parquet", "null", '{"extra":7}'),
+    ]
+    assert rows(rejected) == [
+        ("missing mandatory column: title", '{"text":"b","u":"u","l":"x","file_name":"folder"}'),
+        ("no mapping config", '{"text":"b","title":"t","u":"u","l":"x","year":2019,"file_name":"foreign.parquet"}'),
+    ]
+
+
+def test_files_of_one_dataset_may_differ_in_columns(spark, tmp_path):
+    write_rows(tmp_path, "a.parquet/part-0.parquet", extra=1)
+    write_rows(tmp_path, "a.parquet/part-1.parquet", extra="one")
+    write_rows(tmp_path, "a.parquet/part-2.parquet")
+    write_rows(tmp_path, "a.parquet/part-3.parquet", count=0)
+    accepted, rejected = mapped(spark, tmp_path, {"a.parquet": plain_config()})
+    found = sorted(column(accepted, "custom_columns"))
+    assert found == ['{"extra":"null"}', '{"extra":"one"}', '{"extra":1}'] and rejected.count() == 0
+
+
+def test_plan_does_not_grow_with_the_files(spark, tmp_path):
+    sizes = []
+    for folder, count in (("few", 3), ("many", 60)):
+        for i in range(count):
+            write_rows(tmp_path / folder, f"set-{i}.parquet")  # each file a dataset of its own
+            write_rows(tmp_path / folder, f"other.parquet/part-{i}.parquet", extra="e")
+        configs = {f"set-{i}.parquet": plain_config() for i in range(count)}
+        accepted, rejected = mapped(spark, tmp_path / folder, configs)
+        assert len(set(column(accepted, "file_name"))) == count
+        assert rejected.count() == count
+        plan = accepted.unionByName(rejected, allowMissingColumns=True)._jdf.queryExecution().optimizedPlan()
+        sizes.append(plan.toString().count("\n"))
+    assert sizes[0] == sizes[1]
+
+
+def test_nothing_to_ingest(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        mapped(spark, tmp_path, {})

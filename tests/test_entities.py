@@ -150,7 +150,7 @@ def test_gazetteer_on_few_words_agrees_with_brute_force(spark, seed):
 
     expected = [(str(i), t, x) for i, text in enumerate(texts) for t in terms for x in "PQ" if cut(t).strip() and cut(t) in cut(text)]
     found = entities.gazetteer_entities(articles, gazetteer)
-    assert rows(found.select("article_id", "entity", "entity_label")) == sorted(expected)
+    assert rows(found.select("article_id", "entity", "entity_label")) == sorted(expected, key=str)
 
 
 def test_terms_are_anchored_at_their_rarest_word(spark):

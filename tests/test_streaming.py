@@ -1,4 +1,8 @@
+from pyspark.sql import functions as F
+
+from newsgraph.plans import jobs
 from newsgraph.plans.tables import CONFIG
+from newsgraph.sources.config import MappingConfig
 from newsgraph.sources.readers import file_manifest
 from newsgraph.streaming.ingest import ingest_new_files
 from tests.helpers import column, rows
@@ -64,3 +68,34 @@ def test_file_manifest(spark, tmp_path):
     found = file_manifest(spark, str(tmp_path), r"/to_add/\w+")
     assert sorted(column(found, "file_name")) == ["a.parquet", "b.json"]
     assert column(file_manifest(spark, str(tmp_path), r"\.json$"), "n_bytes") == [1, 1]
+
+
+def test_one_stream_takes_many_datasets(spark, tmp_path):
+    source, table, configs = tmp_path / "in", str(tmp_path / "articles"), tmp_path / "configs"
+    configs.mkdir()
+    mandatory = {"body": "text", "url": "u", "label": "l", "title": "text", "file_name": "file_name"}
+    for name, body in (("a", "text"), ("b", "content")):
+        own = {**mandatory, "body": body, "title": body}
+        (configs / f"{name}.parquet.yml").write_text(MappingConfig(own).to_text())
+
+    def drop(name, schema, *data):
+        spark.createDataFrame(list(data), schema).coalesce(1).write.mode("append").parquet(str(source / name))
+
+    def run(stamp, **options):
+        jobs.ingest_stream(spark, str(source), str(configs), table, str(tmp_path / "c"), stamp, **options)
+        found = spark.read.parquet(table)
+        return rows(found.select("file_name", "body", F.date_format("etl_timestamp", "d")))
+
+    drop("a.parquet", "text string, u string, l string", ("a1", "u", "l"))
+    drop("b.parquet/day=1", "content string, u string, l string", ("b1", "u", "l"))
+    first = [("a.parquet", "a1", "1"), ("b.parquet", "b1", "1")]
+    assert run("2024-01-01 00:00:00") == first
+    assert run("2024-01-02 00:00:00") == first  # nothing new
+    drop("a.parquet", "text string, u string, l string, more int", ("a2", "u", "l", 1))  # a column more
+    drop("b.parquet/day=2", "content string, u string, l string", ("b2", "u", "l"))
+    drop("c.parquet", "x int", (1,))
+    late = [("a.parquet", "a1", "1"), ("a.parquet", "a2", "3"), ("b.parquet", "b1", "1"), ("b.parquet", "b2", "3")]
+    assert run("2024-01-03 00:00:00", max_files_per_batch=1) == late
+    assert rows(spark.read.parquet(f"{table}_rejected").select("reject_reason", "row")) == [
+        ("no mapping config", '{"x":1,"file_name":"c.parquet"}')
+    ]
