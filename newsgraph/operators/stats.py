@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsgraph.session import stored
 
-_OCTAVE_BINS = 16  # bins per power of two in the first histogram
-_FINE_BINS = 1 << 16  # bins of the second histogram, between the smallest and largest value of a first bin
+_BITS = 64
+_DIGIT = 16  # bits by which each step narrows a rank
 
 
 def melt(df: DataFrame, ids: list[str], values: list[str] | None = None) -> DataFrame:
@@ -17,12 +19,22 @@ def melt(df: DataFrame, ids: list[str], values: list[str] | None = None) -> Data
     return df.unpivot(ids, values, "variable", "value")
 
 
-def _coarse_bin(value: Column) -> Column:
-    """Bin number of a double. Bins follow the order of the values; infinities and NaN have their own."""
+def order_bits(value: Column) -> Column:
+    """A double as a 64-bit integer of the same order, different for different values; NaN is the largest.
+
+    Powers of two are exact, so exponent and fraction are taken out without rounding; the estimate of the exponent by
+    its logarithm is corrected where it is one off.
+    """
     size = F.abs(value)
-    step = F.when(size == float("inf"), 1_000_000).otherwise(F.floor(F.log2(size) * _OCTAVE_BINS) + 20_000)
-    number = F.when(F.isnan(value), 2_000_000).when(value == 0, 0).otherwise(F.signum(value) * step)
-    return number.cast("long")
+    guess = F.floor(F.log2(size))
+    exponent = F.when(F.pow(F.lit(2.0), guess) > size, guess - 1)
+    exponent = exponent.when(F.pow(F.lit(2.0), guess + 1) <= size, guess + 1).otherwise(guess)
+    fraction = ((size / F.pow(F.lit(2.0), exponent) - 1) * 2.0**52).cast("long")
+    normal = (exponent.cast("long") + 1023) * (1 << 52) + fraction
+    small = (size * 2.0**537 * 2.0**537).cast("long")  # below the smallest normal number the steps are equal
+    infinite = F.lit(2047 << 52)
+    bits = F.when(size == float("inf"), infinite).when(size < 2.0**-1022, small).otherwise(normal)
+    return F.when(F.isnan(value), infinite + 1).when(value < 0, -bits).otherwise(bits)
 
 
 def _same(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
@@ -41,22 +53,18 @@ def _ranked(counts: DataFrame, groups: list[str], order: str) -> DataFrame:
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
     """Exact quantiles (linear interpolation) per key, one column per requested quantile.
 
-    Two histograms, each combined per task before its shuffle, narrow every wanted rank to one bin: first by powers
-    of two (about 70,000 bins at most), then by 65,536 equal steps inside the bin that holds the rank. Only the
-    distinct values of that last bin are ordered. Each step counts every value, so the result does not depend on
-    how the values are spread. NULLs are left out, NaN is the largest value, a key without values has no row.
+    Radix selection: values are read as integers of the same order, and every wanted rank is narrowed 16 bits a step,
+    by counts of the values with the prefix found so far. A step is one aggregation that is combined per task and has
+    65,536 rows at most per key and rank, however the values are spread; after four steps at most, one value is left.
+    A rank whose prefix holds one value only is settled at once. NULLs are left out, NaN is the largest value, a key
+    without values has no row.
     """
     names = [f"_key{i}" for i in range(len(keys))]
     known = (
         df.where(F.col(value).isNotNull())
         .select(*[F.col(c).alias(n) for c, n in zip(keys, names, strict=True)], F.col(value).cast("double").alias("value"))
-        .withColumn("coarse", _coarse_bin(F.col("value")))
+        .withColumn("bits", order_bits(F.col("value")))
     )
-    extent = (F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
-    target = ["quantile", "side", "part"]
-    hit = "place < upto AND place >= upto - n"
-    inner_place = F.expr("place - (upto - n)").alias("place")
-
     rank = {name: F.lit(float(q)) * (F.col("total") - 1) for name, q in quantiles.items()}
     wanted = F.array(
         *[
@@ -70,36 +78,33 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[
             for side in ("floor", "ceil")
         ]
     )
-    coarse = _ranked(known.groupBy(*names, "coarse").agg(*extent), names, "coarse")
-    coarse = coarse.withColumn("total", F.sum("n").over(W.partitionBy(*names)))
-    at_coarse = stored(
-        coarse.select(*names, "coarse", "n", "upto", "low", "high", F.inline(wanted))
-        .where(hit)
-        .select(*names, "coarse", "low", "high", *target, inner_place),
-        "coarse-bins",
-    )
-
-    # The stored targets have two rows per key and quantile, so Spark sees their size and the values stay in place.
-    share = (F.col("value") - F.col("low")) / (F.col("high") - F.col("low"))
-    fine = F.when(F.col("high") > F.col("low"), F.floor(share * _FINE_BINS)).otherwise(0)
-    near = _same(known, at_coarse.select(*names, "coarse", "low", "high").distinct(), [*names, "coarse"])
-    fine_counts = near.withColumn("fine", fine).groupBy(*names, "coarse", "fine").agg(*extent)
-    at_fine = stored(
-        _same(at_coarse.drop("low", "high"), _ranked(fine_counts, [*names, "coarse"], "fine"), [*names, "coarse"])
-        .where(hit)
-        .select(*names, "coarse", "fine", "low", "high", *target, inner_place),
-        "fine-bins",
-    )
-
-    bin_keys = [*names, "coarse", "fine"]
-    left = _same(known, at_fine.select(*bin_keys, "low", "high").distinct(), [*names, "coarse"])
-    values = left.where("value >= low AND value <= high").groupBy(*bin_keys, "value").agg(F.count(F.lit(1)).alias("n"))
-    found = _same(at_fine.drop("low", "high"), _ranked(values, bin_keys, "value"), bin_keys).where(hit)
+    target = [*names, "quantile", "side", "part"]
+    settled, ranks = [], None
+    for shift in range(_BITS - _DIGIT, -1, -_DIGIT):
+        prefix = F.shiftright("bits", shift).alias("prefix")
+        extent = (F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+        if ranks is None:
+            counts = _ranked(known.groupBy(*names, prefix).agg(*extent), names, "prefix")
+            counts = counts.withColumn("total", F.sum("n").over(W.partitionBy(*names)))
+            met = counts.select(*names, "prefix", "n", "upto", "low", "high", F.inline(wanted))
+        else:
+            # The stored ranks have two rows per key and quantile, so Spark sees their size and the values stay in place.
+            known_so_far = known.withColumn("before", F.shiftright("bits", shift + _DIGIT))
+            near = _same(known_so_far, ranks.select(*names, "before").distinct(), [*names, "before"])
+            counts = near.groupBy(*names, "before", prefix).agg(*extent)
+            met = _same(ranks, _ranked(counts, [*names, "before"], "prefix"), [*names, "before"])
+        met = met.where("place < upto AND place >= upto - n")
+        place = F.expr("place - (upto - n)").alias("place")
+        found = stored(met.select(*target, F.col("prefix").alias("before"), place, "low", "high"), "ranks")
+        settled.append(found.where("low = high").select(*target, F.col("low").alias("value")))
+        ranks = found.where("low <> high").drop("low", "high")
+        if ranks.isEmpty():
+            break
 
     at_floor = F.max(F.when(F.col("side") == "floor", F.col("value")))
     at_ceiling = F.max(F.when(F.col("side") == "ceil", F.col("value")))
     between = at_floor + (at_ceiling - at_floor) * F.max("part")
-    picked = found.groupBy(*names, "quantile").agg(
+    picked = reduce(DataFrame.union, settled).groupBy(*names, "quantile").agg(
         F.when(at_floor == at_ceiling, at_floor).otherwise(between).alias("result")
     )
     return picked.groupBy(*[F.col(n).alias(c) for c, n in zip(keys, names, strict=True)]).agg(

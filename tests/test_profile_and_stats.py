@@ -7,6 +7,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from newsgraph.operators import profile, sinks, stats
 from newsgraph.sources.readers import read_csv
 from tests.helpers import rows
@@ -182,3 +184,31 @@ def test_quantiles_with_null_keys_not_a_number_and_no_values(spark):
     assert set(found) == {None, "a"}
     assert (found[None]["m"], found[None]["top"], found["a"]["m"]) == (2.0, 3.0, 2.0)
     assert math.isnan(found["a"]["top"])
+
+
+def test_order_bits_keep_the_order(spark):
+    draw = np.random.default_rng(3)
+    values = draw.integers(0, 1 << 63, 3000, np.uint64).view(np.float64).tolist()  # any bit pattern
+    values += (2.0 ** draw.integers(-1074, 1023, 300)).tolist() + [5e-324, 2.2250738585072014e-308, 1.7976931348623157e308]
+    values += [np.nextafter(v, d) for v in (1.0, 2.0, 0.1, 2.0**-1022, 1e300) for d in (0, np.inf)] + [0.0, -0.0, np.inf]
+    values = [v for v in values + [-v for v in values] if v == v]
+    df = spark.createDataFrame([(float(v),) for v in values], "v double").select("v", stats.order_bits(F.col("v")).alias("b"))
+    found = {r["v"] + 0.0: r["b"] for r in df.collect()}
+    order = sorted(found)
+    bits = [found[v] for v in order]
+    assert bits == sorted(bits) and len(set(bits)) == len(order)
+    positive = np.array([v for v in order if v > 0])
+    assert [found[v] for v in positive.tolist()] == positive.view(np.int64).tolist()
+    assert df.sparkSession.range(1).select(stats.order_bits(F.lit(float("nan")))).first()[0] > max(bits)
+
+
+def test_quantiles_of_values_in_one_narrow_bin_with_an_outlier(spark):
+    values = [1 + k * 2.0**-52 for k in range(5000)] + [1e308, -1e308]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    wanted = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.999, "e": 1.0}
+    found = stats.exact_quantiles(df, [], "v", wanted).first()
+    order = sorted(values)
+    for name, q in wanted.items():
+        rank = q * (len(order) - 1)
+        low, high = order[math.floor(rank)], order[math.ceil(rank)]
+        assert low <= found[name] <= high

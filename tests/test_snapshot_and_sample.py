@@ -4,7 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from newsgraph.operators.sampling import sample_rows
+from newsgraph.operators.sampling import number_in_place, sample_rows
 from newsgraph.operators.snapshot import latest_snapshot, lookup
 from tests.helpers import rows
 
@@ -60,3 +60,19 @@ def test_sample_is_exact_and_repeatable(spark, n):
     order = sorted(range(1000), key=lambda k: (hashlib.md5(f"7:{k}".encode()).hexdigest(), k))
     assert sorted(found) == sorted(order[:n])
     assert len(set(found)) == min(n, 1000)
+
+
+@pytest.mark.parametrize("n", [0, 1, 150, 299, 300, 301])
+def test_sample_of_one_key(spark, n):
+    df = spark.range(300).select(F.lit("k").alias("key"), "id").repartition(7)
+    found = sample_rows(df, "key", n)
+    assert len({r["id"] for r in found.collect()}) == min(n, 300)
+    assert sample_rows(df.withColumn("key", F.lit(None).cast("string")), "key", n).count() == min(n, 300)
+
+
+def test_ties_are_numbered_without_a_gathering_window(spark):
+    df = spark.range(100).select((F.col("id") % 3).alias("key"), "id").repartition(5)
+    numbered = number_in_place(df, "number")
+    assert sorted(r["number"] for r in numbered.collect()) == list(range(100))
+    plan = sample_rows(df, "key", 50)._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan and "windowspecdefinition(_part" in plan
