@@ -7,7 +7,9 @@ de-duplicated before they are expanded, so the shuffle carries the short fact ke
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 
 from newsgraph.functions import XSD, iri_quote_sql
 from newsgraph.schema import TRIPLE_COLUMNS, TRIPLE_SCHEMA
+from newsgraph.session import make_folder, stored
 
 DEFAULT_NS = "https://newsgraph.example/ns#"
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
@@ -354,28 +357,93 @@ def merge_triples(existing: DataFrame, new: DataFrame) -> DataFrame:
     return existing.unionByName(new).distinct()
 
 
-def new_triples(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """The distinct triples of ``new`` that the store does not hold yet.
+# Folders of a stored graph: custom keys share the first one, other predicates are dealt to the rest. Their number does
+# not depend on the data.
+PREDICATE_GROUPS = 64
+_GROUP, _DIGEST = "p_group", "digest"
+_TRIPLE_DDL = ", ".join(f"{c} string" for c in TRIPLE_COLUMNS)
 
-    Of the store only the predicates of ``new`` are read, and it is compared by the digest of a triple, so its long
-    literals do not travel.
-    """
+
+def predicate_group(predicate: Column) -> Column:
+    """The folder of a predicate."""
+    hashed = (F.pmod(F.xxhash64(predicate), F.lit(PREDICATE_GROUPS - 1)) + 1).cast("int")
+    return F.when(F.regexp_substr(predicate, F.lit("[^/#]*$")).startswith("cf_"), 0).otherwise(hashed)
+
+
+def triple_digest() -> Column:
+    """128 bits of the sha256 of all parts of a triple."""
     parts = F.to_json(F.struct(*TRIPLE_COLUMNS))  # absent parts are left out, so NULL is not an empty text
-    fresh = new.distinct().withColumn("_digest", F.unhex(F.sha2(parts, 256)))
-    held = existing.join(new.select("p").distinct(), "p", "left_semi")
-    held = held.select("p", F.unhex(F.sha2(parts, 256)).alias("_digest"))
-    return fresh.join(held, ["p", "_digest"], "left_anti").select(*TRIPLE_COLUMNS)
+    return F.unhex(F.left(F.sha2(parts, 256), F.lit(32)))
 
 
 def write_triples(triples: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Store a graph partitioned by predicate, so that a pattern reads only the triples of its predicate."""
+    """Write a graph with a folder per predicate, so that a pattern reads only the triples of its predicate. A graph with
+    custom keys has as many predicates as keys; ``TripleStore`` bounds the folders."""
     triples.select(*TRIPLE_COLUMNS).write.mode(mode).partitionBy("p").parquet(path)
 
 
 def read_triples(spark: SparkSession, path: str) -> DataFrame:
+    """A written graph or a store."""
     return spark.read.schema(TRIPLE_SCHEMA).parquet(path).select(*TRIPLE_COLUMNS)
 
 
-def append_triples(spark: SparkSession, path: str, new: DataFrame) -> None:
-    """Import a graph into the stored triples; only what is new is written."""
-    write_triples(new_triples(read_triples(spark, path), new.select(*TRIPLE_COLUMNS)), path, "append")
+@contextmanager
+def _store_table(spark: SparkSession, path: str, buckets: int) -> Iterator[str]:
+    """The files of a store as a bucketed table. The name exists only inside the block; the files stay."""
+    name = f"triples_{uuid.uuid4().hex}"
+    columns = f"{_TRIPLE_DDL}, {_DIGEST} binary, {_GROUP} int"
+    location = path.replace("'", "\\'")
+    make_folder(spark, path)
+    spark.sql(
+        f"CREATE TABLE {name} ({columns}) USING parquet PARTITIONED BY ({_GROUP}) "
+        f"CLUSTERED BY ({_DIGEST}) SORTED BY ({_DIGEST}) INTO {buckets} BUCKETS LOCATION '{location}'"
+    )
+    try:
+        if spark.conf.get("spark.sql.hive.manageFilesourcePartitions") == "true":
+            spark.catalog.recoverPartitions(name)
+        yield name
+    finally:
+        spark.sql(f"DROP TABLE {name}")  # an external table: its files are not touched
+
+
+class TripleStore:
+    """A graph laid out for imports: bucketed by the digest of a triple inside its predicate group.
+
+    An import deals only the new graph to the buckets; the store is read bucket by bucket where it lies and is never
+    shuffled. ``buckets`` belongs to the store and must be the same whenever it is opened; choose it so that a bucket of
+    digests (16 bytes a triple) fits a task. The session catalog holds a table name for as long as an import runs.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.spark, self.path, self.buckets = spark, path, buckets
+
+    def _write(self, fresh: DataFrame, name: str) -> None:
+        rows = fresh.select(*TRIPLE_COLUMNS, _DIGEST, predicate_group(F.col("p")).alias(_GROUP))
+        # One task per bucket writes one file per group.
+        rows = rows.repartition(self.buckets, _DIGEST)
+        writer = rows.write.mode("append").format("parquet").partitionBy(_GROUP)
+        writer.bucketBy(self.buckets, _DIGEST).sortBy(_DIGEST).option("path", self.path).saveAsTable(name)
+
+    def held(self, name: str) -> DataFrame:
+        """The digests of the store, in its buckets."""
+        return self.spark.table(name).select(_DIGEST)
+
+    def new_triples(self, new: DataFrame, name: str) -> DataFrame:
+        """The distinct triples of ``new`` with their digest that the store does not hold yet."""
+        fresh = new.select(*TRIPLE_COLUMNS, triple_digest().alias(_DIGEST))
+        fresh = fresh.repartition(self.buckets, _DIGEST).dropDuplicates([_DIGEST])
+        return fresh.join(self.held(name).hint("merge"), _DIGEST, "left_anti")
+
+    def append(self, new: DataFrame) -> None:
+        """Import a graph; only what is new is written."""
+        with _store_table(self.spark, self.path, self.buckets) as name:
+            self._write(stored(self.new_triples(new, name), "new_triples"), name)
+
+    def read(self, predicates: Sequence[str] | None = None) -> DataFrame:
+        """All triples, or those of some predicates from their folders."""
+        rows = self.spark.read.schema(f"{_TRIPLE_DDL}, {_GROUP} int").parquet(self.path)
+        if predicates is not None:
+            wanted = [predicate_group(F.lit(p)) for p in predicates]
+            groups = self.spark.range(1).select(F.array(*wanted)).first()[0]
+            rows = rows.where(F.col(_GROUP).isin(groups) & F.col("p").isin(list(predicates)))
+        return rows.select(*TRIPLE_COLUMNS)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from newsgraph.operators.clean import assemble_records, dedupe_last_wins, drop_missing_keys, parse_all, split_parsed
 from newsgraph.operators.entities import DEFAULT_RULES, rule_entities
 from newsgraph.operators.ingest import map_articles, map_mixed_articles, quarantine
-from newsgraph.operators.rdf import DEFAULT_NS, ontology, write_triples
+from newsgraph.operators.rdf import DEFAULT_NS, TripleStore, ontology, write_triples
 from newsgraph.operators.sinks import sidecar_json, write_documents, write_json_batches, write_text
 from newsgraph.operators.snapshot import append_articles, latest_snapshot, load_name, read_articles
 from newsgraph.operators.triples import (
@@ -115,9 +115,10 @@ def snapshot_of(spark: SparkSession, table: str, unique: bool = False) -> DataFr
 
 
 def export_graph(spark: SparkSession, table: str, triples_path: str, ns: str = DEFAULT_NS) -> None:
-    """Latest snapshot -> triples table, with the ontology once."""
-    graph = article_triples(snapshot_of(spark, table), ns, with_custom=True)
-    write_triples(graph.unionByName(ontology(spark, "articles", ns)), triples_path)
+    """Latest snapshot -> triple store, with the ontology once. A later export adds what is new."""
+    with scratch(spark):
+        graph = article_triples(snapshot_of(spark, table), ns, with_custom=True)
+        TripleStore(spark, triples_path).append(graph.unionByName(ontology(spark, "articles", ns)))
 
 
 def export_documents(spark: SparkSession, table: str, path: str, ns: str = DEFAULT_NS) -> None:

@@ -498,10 +498,10 @@ def triples_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stored graph into which an overlapping graph is imported twice: the second time nothing is new."""
     path = scratch_dir(spark, "import")
     first, second = tables.article_loads(spark, sf_dir)
-    rdf.write_triples(graph.article_triples(first), path)
-    for _ in range(2):
-        rdf.append_triples(spark, path, graph.article_triples(second))
-    return rdf.read_triples(spark, path)
+    store = rdf.TripleStore(spark, path, buckets=8)
+    for load in (first, second, second):
+        store.append(graph.article_triples(load))
+    return store.read()
 
 
 @query

@@ -69,6 +69,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    """A folder in any store that Spark can reach; nothing happens if it is there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(target)
+
+
 def write_small_file(spark: SparkSession, path: str, text: str) -> None:
     """One small file, such as a config, written by the driver to any store that Spark can reach."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

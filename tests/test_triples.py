@@ -68,16 +68,45 @@ def test_blank_nodes_are_the_same_in_every_run(articles):
 def test_merging_again_changes_nothing(spark, articles, tmp_path):
     found = graph.article_triples(articles)
     assert rdf.merge_triples(found, found).count() == found.count()
-    path = str(tmp_path / "store")
-    rdf.write_triples(graph.article_triples(articles.where("url = 'u1'")), path)
-    rdf.append_triples(spark, path, found)
-    rdf.append_triples(spark, path, found)
-    stored = rdf.read_triples(spark, path)
-    assert rows(stored) == rows(found)
-    one = executed_plan(stored.where(F.col("p") == NS + "has_title_hash"))
+    rdf.write_triples(found, str(tmp_path / "written"))
+    written = rdf.read_triples(spark, str(tmp_path / "written"))
+    assert rows(written) == rows(found)
+    one = executed_plan(written.where(F.col("p") == NS + "has_title_hash"))
     assert "PartitionFilters: [isnotnull(p" in one
 
 
+def test_imports_into_a_store(spark, articles, tmp_path):
+    found = graph.article_triples(articles, with_custom=True)
+    store = rdf.TripleStore(spark, str(tmp_path / "store's"), buckets=4)
+    for part in (found.where("s < o"), found, found.union(found), found.limit(0)):
+        store.append(part)
+        store = rdf.TripleStore(spark, store.path, buckets=4)  # opened again
+    assert rows(store.read()) == rows(found) == rows(rdf.read_triples(spark, store.path))
+    wanted = [NS + "has_title_hash", NS + "absent"]
+    assert rows(store.read(wanted)) == rows(found.where(F.col("p").isin(wanted)))
+    assert "PartitionFilters: [p_group" in executed_plan(store.read(wanted))
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("triples_")]
+
+
+def test_a_store_is_not_shuffled_and_its_folders_are_bounded(spark, tmp_path):
+    many = spark.range(500).selectExpr(
+        "concat('s', id) AS s", "concat('http://x#cf_key', id) AS p", "string(id) AS o", "'literal' AS o_kind", "null AS o_datatype"
+    )
+    store = rdf.TripleStore(spark, str(tmp_path / "store"), buckets=4)
+    store.append(many)
+    assert [f.name for f in (tmp_path / "store").iterdir() if f.is_dir()] == ["p_group=0"]
+    assert len(list((tmp_path / "store" / "p_group=0").glob("*.parquet"))) <= 4
+    store.append(many.withColumn("p", F.concat(F.lit("http://x#p"), "o")))
+    folders = [f for f in (tmp_path / "store").iterdir() if f.is_dir()]
+    assert len(folders) <= rdf.PREDICATE_GROUPS
+    with rdf._store_table(spark, store.path, 4) as name:
+        plan = executed_plan(store.new_triples(many, name))
+    join = plan[plan.index("SortMergeJoin") :]
+    scan = join[: join.index("spark_catalog.default")]
+    assert "Bucketed: true" in plan and scan.count("Exchange") == 1  # the new graph is dealt to the buckets once
+    assert store.read().count() == 1000
+
+
 def test_custom_literals_are_typed(articles):
     found = graph.custom_triples(articles.where("url = 'u1'"))
     values = {r["p"].split("#")[1]: (r["o"], (r["o_datatype"] or "").split("#")[-1]) for r in
