@@ -359,7 +359,7 @@ def merge_triples(existing: DataFrame, new: DataFrame) -> DataFrame:
 
 # Folders of a stored graph: custom keys share the first one, other predicates are dealt to the rest. Their number does
 # not depend on the data.
-PREDICATE_GROUPS = 64
+PREDICATE_GROUPS = 16
 _GROUP, _DIGEST = "p_group", "digest"
 _TRIPLE_DDL = ", ".join(f"{c} string" for c in TRIPLE_COLUMNS)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsgraph.functions import (
@@ -20,11 +20,13 @@ from newsgraph.functions import (
 )
 from newsgraph.operators import clean, entities, ingest, patterns, profile, rdf, sampling, sinks, snapshot, stats
 from newsgraph.operators import triples as graph
+from newsgraph.operators.redistribute import redistribute
 from newsgraph.plans import jobs, tables
 from newsgraph.plans.tables import CONFIG, FIRST_LOAD, table
 from newsgraph.schema import ARTICLE_COLUMNS, ENTITY_COLUMNS, RECORD_COLUMNS, SIDECAR_COLUMNS
-from newsgraph.session import scratch_dir, write_small_file
+from newsgraph.session import scratch_dir, stored, write_small_file
 from newsgraph.sources import config as mapping
+from newsgraph.sources import documents as named
 from newsgraph.sources import readers
 from newsgraph.streaming.ingest import ingest_new_files
 
@@ -635,6 +637,30 @@ def turtle_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.article_documents(_unique_articles(spark, sf_dir))
 
 
+@query
+def documents_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written many to a file, indexed by their place, and fetched one by one by the names of all articles."""
+    path = scratch_dir(spark, "named")
+    articles = stored(_unique_articles(spark, sf_dir), "unique-articles")
+    sinks.write_documents(graph.article_documents(articles), f"{path}/text")
+    named.write_document_index(spark, f"{path}/text", f"{path}/index")
+    names = articles.select(F.sha2(webpage_id(F.col("article_id"), F.col("url_hash")), 256).alias("name"))
+    return named.fetch_documents(spark.read.parquet(f"{path}/index"), names)
+
+
+@query
+def texts_by_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text fields of all articles dealt out by their bytes: how much there is, and how many of the partitions are
+    heavier than twice the mean."""
+    fields = entities.input_fields(tables.articles(spark, sf_dir))
+    dealt = redistribute(fields, F.octet_length("text"), 16)
+    n_bytes = F.sum(F.octet_length("text").cast("long")).alias("n_bytes")
+    parts = dealt.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n_texts"), n_bytes)
+    mean = F.sum("n_bytes").over(Window.partitionBy()) / F.count("*").over(Window.partitionBy())
+    parts = parts.withColumn("heavy", F.col("n_bytes") > 2 * mean)
+    return parts.agg(F.sum("n_texts").alias("n_texts"), F.sum("n_bytes").alias("n_bytes"), F.count_if("heavy").alias("n_heavy"))
+
+
 @query
 def ner_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.entity_documents(entities.rule_entities(tables.articles(spark, sf_dir)))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from hashlib import sha256
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs
@@ -57,11 +57,12 @@ def with_dataset(files: DataFrame) -> DataFrame:
     )
 
 
-def _open(path: str) -> pa.NativeFile:
+def open_file(path: str, encoded: bool = False) -> pa.NativeFile:
+    """A file for random reads inside a task. ``encoded``: special characters of the path are written as %XX."""
     if path.startswith(("file:", "/")):
         local = "/" + path.removeprefix("file:").lstrip("/")
-        return pyarrow.fs.LocalFileSystem().open_input_file(local)
-    system, inside = pyarrow.fs.FileSystem.from_uri(quote(path, safe=":/@?=&"))
+        return pyarrow.fs.LocalFileSystem().open_input_file(unquote(local) if encoded else local)
+    system, inside = pyarrow.fs.FileSystem.from_uri(path if encoded else quote(path, safe=":/@?=&"))
     return system.open_input_file(inside)
 
 
@@ -80,7 +81,7 @@ def catalogue(files: DataFrame) -> DataFrame:
         for batch in batches:
             found = []
             for path in batch.column(0).to_pylist():
-                with _open(path) as file:
+                with open_file(path) as file:
                     found.append(fingerprint(pq.ParquetFile(file).schema))
             yield batch.append_column("fingerprint", pa.array(found, pa.string()))
 

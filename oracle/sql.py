@@ -790,6 +790,13 @@ WITH {WEB} SELECT domain_hash, label, count(DISTINCT url_hash) AS url_count FROM
     "turtle_documents": _documents(
         UNIQUE, article_graph("uniq") + "\nUNION\n" + custom_graph("uniq"), "sha256(webpage)"
     ),
+    "documents_by_name": _documents(
+        UNIQUE, article_graph("uniq") + "\nUNION\n" + custom_graph("uniq"), "sha256(webpage)"
+    ),
+    "texts_by_weight": f"""
+WITH {FIELDS}
+SELECT count(*) AS n_texts, CAST(sum(strlen(text)) AS BIGINT) AS n_bytes, 0::BIGINT AS n_heavy
+FROM fields WHERE text <> 'null'""",
     "ner_documents": _documents(ENTITIES, entity_graph(), "doc"),
     "ntriples_export": f"WITH {WEB}, g AS ({content_graph()}) SELECT {LINE} AS line FROM g",
     # entities
