@@ -58,9 +58,12 @@ def reused_bodies(df: DataFrame, top: int = 50, distinct: bool = True) -> DataFr
     return counts.orderBy(F.desc("url_count"), "body_hash", "label").limit(top)
 
 
-def cross_domain_bodies(df: DataFrame, top: int = 50) -> DataFrame:
-    """Labels per distinct body and domain; the report keeps the ``top`` largest."""
+def cross_domain_bodies(df: DataFrame, top: int | None = 50, least: int = 0) -> DataFrame:
+    """Labels per distinct body and domain with ``least`` labels; the report keeps the ``top`` largest, None all."""
     counts = df.groupBy("body_hash", "domain_hash").agg(F.count_distinct("label").alias("label_count"))
+    counts = counts.where(F.col("label_count") >= least)
+    if top is None:
+        return counts
     return counts.orderBy(F.desc("label_count"), "body_hash", "domain_hash").limit(top)
 
 

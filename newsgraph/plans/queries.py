@@ -431,6 +431,12 @@ def cross_domain_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.cross_domain_bodies(tables.web_articles(spark, sf_dir))
 
 
+@query
+def cross_labelled_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies that one domain has under more than one label."""
+    return profile.cross_domain_bodies(tables.web_articles(spark, sf_dir), least=2, top=None)
+
+
 @query
 def reconcile_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the append-only table against publications in the graph of the labelled articles."""
@@ -458,6 +464,12 @@ def triples_article(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.article_triples(tables.articles(spark, sf_dir))
 
 
+@query
+def triples_all_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles with authors, countries and dates, which most articles of the other queries lack."""
+    return graph.article_triples(tables.full_articles(spark, sf_dir))
+
+
 @query
 def triples_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.custom_triples(tables.articles(spark, sf_dir))
@@ -688,6 +700,13 @@ def ner_rule_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.rule_entities(tables.articles(spark, sf_dir))
 
 
+@query
+def ner_all_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities in every text field of the article table that is not a hash."""
+    articles = tables.full_articles(spark, sf_dir)
+    return entities.rule_entities(articles, fields=entities.text_fields(articles, all_text=True))
+
+
 @query
 def ner_gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences of one to four words of the benchmark passages, and the whole passages, looked up in all articles."""

@@ -33,6 +33,14 @@ CONFIG = MappingConfig(
     source="documents",
 )
 
+# The same dataset with every supplementary column.
+FULL_CONFIG = MappingConfig(
+    mandatory=CONFIG.mandatory,
+    supplementary={**CONFIG.supplementary, "detailed_news_label": "segment", "classification_date": "classified"},
+    custom=CONFIG.custom,
+    source="documents",
+)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_parquet(spark, f"{sf_dir}/{name}.parquet")
@@ -87,6 +95,29 @@ def articles(spark: SparkSession, sf_dir: str, run_ts: str = FIRST_LOAD) -> Data
     return accepted
 
 
+def full_articles(spark: SparkSession, sf_dir: str, run_ts: str = FIRST_LOAD) -> DataFrame:
+    """The standard article table with author, country, dates and detailed label where a customer has the article's
+    number; its first order is the publication, its last one the classification."""
+    customers = table(spark, sf_dir, "customer").join(
+        table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left"
+    )
+    segment = F.initcap("c_mktsegment")
+    customers = customers.select(
+        F.col("c_custkey").alias("doc_id"),
+        F.concat("c_name", F.lit(" of Desk "), segment).alias("author"),
+        F.col("n_name").alias("country"),
+        F.col("c_mktsegment").alias("segment"),
+    )
+    stamp = "yyyy-MM-dd'T'HH:mm:ss"
+    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("doc_id"))
+    orders = orders.agg(
+        F.date_format(F.min("o_orderdate"), stamp).alias("published"),
+        F.date_format(F.max("o_orderdate"), stamp).alias("classified"),
+    )
+    rows = raw_articles(spark, sf_dir).join(customers, "doc_id", "left").join(orders, "doc_id", "left")
+    return map_articles(rows, FULL_CONFIG, run_ts)[0]
+
+
 def article_loads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Two loads: all articles before they are labelled, then the articles that got a label."""
     rows = raw_articles(spark, sf_dir)

@@ -45,6 +45,25 @@ art AS (
 )"""
 )
 
+# Articles with every supplementary column, where a customer has the article's number.
+FULL = (
+    ART.replace("'null' AS publication_date", _null("strftime(first_day, '%Y-%m-%dT%H:%M:%S')") + " AS publication_date")
+    .replace("'null' AS classification_date", _null("strftime(last_day, '%Y-%m-%dT%H:%M:%S')") + " AS classification_date")
+    .replace(
+        "'null' AS author",
+        _null("c_name || ' of Desk ' || c_mktsegment[1] || lower(c_mktsegment[2:])") + " AS author",
+    )
+    .replace("'null' AS detailed_news_label", _null("c_mktsegment") + " AS detailed_news_label")
+    .replace("'null' AS country_of_origin", _null("n_name") + " AS country_of_origin")
+    .replace(
+        "  FROM raw\n",
+        """  FROM raw LEFT JOIN customer ON c_custkey = doc_id LEFT JOIN nation ON n_nationkey = c_nationkey
+    LEFT JOIN (SELECT o_custkey, min(o_orderdate) AS first_day, max(o_orderdate) AS last_day FROM orders GROUP BY 1)
+      ON o_custkey = doc_id
+""",
+    )
+)
+
 LOADS = (
     ART
     + """,
@@ -283,6 +302,14 @@ fields AS (
 )"""
 )
 
+TEXT_COLUMNS = (
+    "body", "url", "label", "title", "file_name", "publication_date", "author", "detailed_news_label", "language",
+    "classification_date", "country_of_origin", "custom_columns", "article_id",
+)
+ALL_FIELDS = f"{FULL},\nfields AS (" + " UNION ALL ".join(
+    f"SELECT article_id, url_hash, publication_date, '{c}' AS source_column, {c} AS text FROM art" for c in TEXT_COLUMNS
+) + ")"
+
 MISC = r"\p{Lu}\p{L}+(?: \p{Lu}\p{L}+)+"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 
@@ -744,6 +771,9 @@ ORDER BY url_count DESC, body_hash, label LIMIT 50""",
 WITH {WEB}
 SELECT body_hash, domain_hash, count(DISTINCT label) AS label_count FROM webh GROUP BY ALL
 ORDER BY label_count DESC, body_hash, domain_hash LIMIT 50""",
+    "cross_labelled_bodies": f"""
+WITH {WEB}
+SELECT body_hash, domain_hash, count(DISTINCT label) AS label_count FROM webh GROUP BY ALL HAVING count(DISTINCT label) > 1""",
     "reconcile_stores": f"""
 WITH {ART},
 l AS (SELECT webpage, count(*) AS n FROM art GROUP BY webpage),
@@ -758,6 +788,7 @@ FROM l FULL JOIN r USING (webpage) GROUP BY 1""",
     ),
     # graphs
     "triples_article": f"WITH {ART} {article_graph('art')}",
+    "triples_all_columns": f"WITH {FULL} {article_graph('art')}",
     "triples_custom": f"WITH {ART} {custom_graph('art')}",
     "triples_url_centric": f"WITH {WEB} {hashed_url_graph()}",
     "triples_url_raw": f"WITH {WEB} {raw_url_graph(True)}",
@@ -808,6 +839,8 @@ FROM fields WHERE text <> 'null'""",
     "ner_rule_entities": f"WITH {ENTITIES} SELECT * FROM ents",
     "ner_entities": f"WITH {ENTITIES} SELECT DISTINCT * FROM ents",
     "ner_model_plugin": f"WITH {ENTITIES} SELECT * FROM ents WHERE entity_label = 'EMAIL'",
+    "ner_all_fields": f"""
+WITH {ALL_FIELDS}, ents AS ({_matches(MISC, "MISC")} UNION ALL {_matches(EMAIL, "EMAIL")}) SELECT * FROM ents""",
     "ner_gazetteer": f"""
 WITH {FIELDS},
 words AS (SELECT text, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{Nd}}]+') AS w FROM benchmark),
