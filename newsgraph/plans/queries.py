@@ -270,6 +270,19 @@ def clean_reject_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.reject_counts(clean.assemble_records(tables.raw_lines(spark, sf_dir)))
 
 
+@query
+def clean_damaged_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of records with every kind of damage."""
+    return clean.reject_counts(clean.assemble_records(tables.damaged_lines(spark, sf_dir)))
+
+
+@query
+def clean_damaged_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The damaged records that are rejected, whole and with their reason."""
+    _, rejected = clean.parse_records(clean.assemble_records(tables.damaged_lines(spark, sf_dir)))
+    return rejected.select("record", "reject_reason")
+
+
 @query
 def clean_dedupe_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles published again under the same headline: the one with the highest index stays."""

@@ -20,6 +20,7 @@ FIRST_LOAD = "2024-01-01 00:00:00"
 SECOND_LOAD = "2024-02-01 00:00:00"
 # The three stamps of a raw record.
 STAMPS = ("2018-01-25 16:17:44.789555", "2018-02-02 01:19:41.756632", "2018-02-02 01:19:41.756664")
+RECORD_STAMPS = ("scraped_at", "inserted_at", "updated_at")
 
 CONFIG = MappingConfig(
     mandatory={"body": "text", "url": "site_url", "label": "type", "title": "title", "file_name": "file_name"},
@@ -142,7 +143,7 @@ def news_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("type", F.lit("unknown")).alias("label"),
         F.coalesce("site_url", F.concat_ws("/", "file_name", F.col("doc_id").cast("string"))).alias("url"),
         F.col("text").alias("body"),
-        *[F.lit(s).alias(n) for s, n in zip(STAMPS, ("scraped_at", "inserted_at", "updated_at"))],
+        *[F.lit(s).alias(n) for s, n in zip(STAMPS, RECORD_STAMPS)],
         "title",
     )
 
@@ -161,6 +162,27 @@ def raw_record_text(records: DataFrame) -> DataFrame:
     return records.select(record.alias("value"))
 
 
+def damaged_record_text(records: DataFrame) -> DataFrame:
+    """The same text with damage of six kinds by turns: no quotes, a leading field lost, stamps replaced, one stamp lost,
+    the end cut off after the stamps, and a title that is a bracketed list. Every seventh record is whole."""
+    kind = F.pmod(F.col("idx").cast("long"), F.lit(7))
+    body, title = F.concat(F.lit('"'), "body", F.lit('"')), F.concat(F.lit('"'), "title", F.lit('"'))
+    fields = ["idx", "news_id", F.when(kind != 2, F.col("domain")), "label", "url"]
+    stamps = F.when(kind == 3, "soon").when(kind == 4, F.concat_ws(",", *RECORD_STAMPS[:2]))
+    bracketed = F.concat(F.lit('"['), "title", F.lit(']"'))
+    title = F.when(kind == 6, bracketed).when(kind != 5, title)
+    end = F.when(kind != 5, '"Unknown","",""')
+    whole = F.concat_ws(",", *fields, body, stamps.otherwise(F.concat_ws(",", *RECORD_STAMPS)), title, end)
+    return records.select(F.when(kind == 1, F.concat_ws(",", *fields, F.lit("lost"))).otherwise(whole).alias("value"))
+
+
+def damaged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of damaged records, read back line by line."""
+    path = scratch_dir(spark, "damaged-lines")
+    damaged_record_text(news_records(spark, sf_dir)).write.text(path)
+    return read_lines(spark, path)
+
+
 def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents rendered as broken CSV files and read back line by line."""
     path = scratch_dir(spark, "raw-lines")

@@ -147,6 +147,19 @@ accepted AS (
 )"""
 )
 
+DAMAGED = (
+    """CASE doc_id % 7 WHEN 1 THEN concat_ws(',', idx, news_id, domain, label, url, 'lost')
+  WHEN 2 THEN concat_ws(',', idx, news_id, label, url, '"' || body || '"', scraped_at, inserted_at, updated_at, '"' || title || '"', '"Unknown","",""')
+  WHEN 3 THEN concat_ws(',', idx, news_id, domain, label, url, '"' || body || '"', 'soon', '"' || title || '"', '"Unknown","",""')
+  WHEN 4 THEN concat_ws(',', idx, news_id, domain, label, url, '"' || body || '"', scraped_at, inserted_at, '"' || title || '"', '"Unknown","",""')
+  WHEN 5 THEN concat_ws(',', idx, news_id, domain, label, url, '"' || body || '"', scraped_at, inserted_at, updated_at)
+  WHEN 6 THEN concat_ws(',', idx, news_id, domain, label, url, '"' || body || '"', scraped_at, inserted_at, updated_at, '"[' || title || ']"', '"Unknown","",""')
+  ELSE """
+    + RECORD
+    + " END"
+)
+DAMAGED_PARSED = PARSED.replace(RECORD, DAMAGED)
+
 RECORD_COLUMNS = "idx, news_id, domain, label, url, body, scraped_at, inserted_at, updated_at, title"
 
 
@@ -697,6 +710,10 @@ SELECT etl_timestamp, label, count(*) AS n_articles FROM ({SNAPSHOT}) GROUP BY A
     # cleaning
     "clean_record_assembly": f"WITH {WEB} SELECT {RECORD} AS record FROM web",
     "clean_parse": f"WITH {PARSED} SELECT {RECORD_COLUMNS} FROM accepted",
+    "clean_damaged_reasons": f"""
+WITH {DAMAGED_PARSED} SELECT coalesce(reason, 'accepted') AS outcome, count(*) AS n_records FROM parsed GROUP BY ALL""",
+    "clean_damaged_records": f"""
+WITH {DAMAGED_PARSED} SELECT record, reason AS reject_reason FROM parsed WHERE reason IS NOT NULL""",
     "clean_reject_reasons": f"""
 WITH {PARSED} SELECT coalesce(reason, 'accepted') AS outcome, count(*) AS n_records FROM parsed GROUP BY ALL""",
     "clean_dedupe_last_wins": f"""
