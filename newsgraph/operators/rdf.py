@@ -267,6 +267,7 @@ class Graph:
     facts: tuple[Fact, ...]
     label_predicate: str = RDFS_LABEL
     nested: Nested | None = None
+    local: str | None = None  # the page column: facts whose first key it is depend on one page only
 
 
 def _all_present(names: tuple[str, ...]) -> str:
@@ -274,6 +275,64 @@ def _all_present(names: tuple[str, ...]) -> str:
 
 
 def graph_to_triples(df: DataFrame, graph: Graph) -> DataFrame:
+    """The set of triples of all rows.
+
+    Facts of one page (``graph.local``) are apart from facts that pages share: a page is one narrow row in one shuffle and
+    is expanded after it, and only the shared nodes and facts are combined triple by triple.
+    """
+    if graph.local is None:
+        return _fact_triples(df, graph)
+
+    def part(local: bool) -> Graph:
+        def own(facts: tuple[Fact, ...]) -> tuple[Fact, ...]:
+            return tuple(f for f in facts if (f.keys[0] == graph.local) == local)
+
+        nested = graph.nested
+        if nested:
+            nested = Nested(nested.column, nested.fields, lambda entry: own(graph.nested.facts(entry)))
+            nested = nested if nested.facts("") else None
+        return Graph(graph.ns, () if local else graph.nodes, own(graph.facts), graph.label_predicate, nested)
+
+    shared = part(False)
+    pages = _page_triples(df, part(True), graph.local)
+    return pages.unionByName(_fact_triples(df, shared)) if shared.nodes or shared.facts or shared.nested else pages
+
+
+_NO_TRIPLES = f"CAST(array() AS array<struct<{', '.join(f'{c}: string' for c in TRIPLE_COLUMNS)}>>)"
+
+
+def _page_triples(df: DataFrame, graph: Graph, page: str) -> DataFrame:
+    """Triples of the facts about one page.
+
+    All rows of a page are combined per task to the smallest and the largest of them. If both are equal, and they are
+    for pages that come once or as copies, this row says all about the page. Pages with different rows, of which one may
+    have very many, are few; their rows go the way of shared facts.
+    """
+    nested = graph.nested
+    fields = set(nested.fields) if nested else set()
+    columns = sorted({k for f in graph.facts for k in f.keys} - {page} - fields)
+    row = F.struct(*columns, *([nested.column] if nested else []), F.lit(0).alias("_any"))
+    pages = stored(df.groupBy(page).agg(F.min(row).alias("low"), F.max(row).alias("high")), "pages")
+    same = F.col("low").eqNullSafe(F.col("high"))
+    many = stored(pages.where(~same).select(F.col(page).alias("_page")), "pages-with-different-rows")
+
+    def triples(f: Fact) -> str:
+        made = f.array(Triple.struct)
+        return f"IF({_all_present(f.required)}, {made}, {_NO_TRIPLES})" if f.required else made
+
+    arrays = [triples(f) for f in graph.facts]
+    if nested:
+        each = ", ".join(map(triples, nested.facts("e.")))
+        arrays.append(f"coalesce(flatten(transform({nested.column}, e -> concat({each}))), {_NO_TRIPLES})")
+    whole = pages.where(same).select(page, "low.*")
+    out = whole.selectExpr(f"inline(array_distinct(concat({', '.join(arrays)})))")
+    if many.isEmpty():
+        return out
+    rows = df.join(many, F.col(page).eqNullSafe(F.col("_page")), "left_semi")
+    return out.unionByName(_fact_triples(rows, graph))
+
+
+def _fact_triples(df: DataFrame, graph: Graph) -> DataFrame:
     """The set of triples of all rows, in one shuffle on the fact keys.
 
     Repeated facts (a label, a language, a source) are combined per task before the shuffle, so a value shared by

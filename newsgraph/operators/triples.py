@@ -120,7 +120,8 @@ def article_graph(
         facts.append(Fact(("webpage", column), (linked,), missing=(column, anonymous)))
     facts += date_facts(pub, ns, "webpage", ARTICLE_DATES)
     nodes = tuple((column, cls) for column, cls, *_ in LINKED_VALUES)
-    return Graph(ns, nodes, tuple(facts), nested=_custom_fields(ns) if with_custom else None)
+    nested = _custom_fields(ns) if with_custom else None
+    return Graph(ns, nodes, tuple(facts), nested=nested, local="webpage")
 
 
 def article_triples(
@@ -140,7 +141,9 @@ def article_triples(
 
 def custom_triples(df: DataFrame, ns: str = DEFAULT_NS, guess_datetime: bool = False) -> DataFrame:
     """Triples of the custom fields only."""
-    return graph_to_triples(_article_values(df, guess_datetime), Graph(ns, (), (), nested=_custom_fields(ns)))
+    return graph_to_triples(
+        _article_values(df, guess_datetime), Graph(ns, (), (), nested=_custom_fields(ns), local="webpage")
+    )
 
 
 def article_documents(
@@ -229,7 +232,7 @@ def _hashed_url_graph(ns: str) -> Graph:
     ]
     facts += date_facts(url, ns, "url_hash", RECORD_DATES)
     nodes = [("url_hash", "urlHash"), *[(column, cls) for column, cls, *_ in links]]
-    return Graph(ns, tuple(nodes), tuple(facts))
+    return Graph(ns, tuple(nodes), tuple(facts), local="url_hash")
 
 
 def _raw_url_graph(ns: str, typed: bool) -> Graph:
@@ -253,7 +256,7 @@ def _raw_url_graph(ns: str, typed: bool) -> Graph:
         facts.append(fact(("body_hash",), type_triple(body, ns + "bodyHash")))
     nodes = (("news_id", "newsId"), ("label", "newsLabel"), ("domain", "domain"))
     nodes = tuple((column, cls if typed else None) for column, cls in nodes)
-    return Graph(ns, nodes, tuple(facts), label_predicate)
+    return Graph(ns, nodes, tuple(facts), label_predicate, local="url")
 
 
 def _content_rows(records: DataFrame) -> DataFrame:

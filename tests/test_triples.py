@@ -156,14 +156,32 @@ def executed_plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_graph_of_a_stored_table_reads_no_texts_and_shuffles_once(spark, articles, tmp_path):
-    append_articles(articles, str(tmp_path / "articles"), "1")
-    stored = read_articles(spark, str(tmp_path / "articles"))
-    plan = executed_plan(graph.article_triples(stored, with_custom=True))
-    assert plan.count("Exchange hashpartitioning") == 1
+def test_graph_of_a_stored_table_reads_no_texts_and_shuffles_no_page_triples(spark, articles, tmp_path):
+    one_per_page = articles.dropDuplicates(["article_id", "url_hash"])
+    append_articles(one_per_page.union(one_per_page), str(tmp_path / "articles"), "1")  # copies only
+    found = graph.article_triples(read_articles(spark, str(tmp_path / "articles")), with_custom=True)
+    plan = executed_plan(found)
+    assert plan.count("Exchange hashpartitioning") == 1  # the shared nodes and facts
+    assert "Exchange" not in plan[: plan.index("FileScan parquet")]  # the pages come first in the union
     scanned = re.findall(r"FileScan parquet \[([^\]]*)\]", plan)
-    assert len(scanned) == 1 and "body_hash#" in scanned[0]
-    assert "body#" not in scanned[0] and "title#" not in scanned[0]
+    assert len(scanned) == 2 and "body_hash#" in scanned[1]
+    assert not any("body#" in s or "title#" in s for s in scanned)
+    assert rows(found) == rows(graph.article_triples(one_per_page, with_custom=True))
+
+
+def test_pages_with_different_rows_keep_all_their_facts(spark, articles):
+    first = articles.limit(1)
+    changed = [first.withColumn("label", F.lit(label)) for label in ("x", "y", "x", "null")]
+    changed.append(first.withColumn("custom_columns", F.lit('{"k":"v"}')))
+    every = articles
+    for df in changed:
+        every = every.unionByName(df)
+    found = graph.article_triples(every, with_custom=True)
+    parts = [graph.article_triples(df, with_custom=True) for df in [articles, *changed]]
+    expected = parts[0]
+    for df in parts[1:]:
+        expected = expected.union(df)
+    assert rows(found) == rows(expected.distinct())
 
 
 def test_documents_sink(spark, articles, tmp_path):
