@@ -27,7 +27,7 @@ SCALE, PRIOR = 1_000_000_000, 5
 _TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 _FOLD = str.maketrans(UPPER, LOWER)
 _HELD = 1 << 18  # entries a task holds before it hands on its partial counts
-SHARD_ENTRIES = 1 << 18  # index entries of a cell
+SHARD_ENTRIES = 1 << 16  # index entries of a cell
 CELL_COUNTERS = 1 << 21  # accumulators of a cell
 
 
