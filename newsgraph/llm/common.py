@@ -29,6 +29,11 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def by_position(docs: DataFrame) -> DataFrame:
+    """The same rows with columns named _c0, _c1, ..., so that no name of the user's meets one of an operator's."""
+    return docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

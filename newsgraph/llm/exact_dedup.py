@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsgraph.llm.common import ascii_lower
+from newsgraph.llm.common import ascii_lower, by_position
 from newsgraph.session import stored
 
 _KEY = ["_md5", "_sha"]
@@ -55,14 +55,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; one row of each group of equal texts."""
+    """The rows of ``docs`` that stay, with all their columns; one row of each group of equal texts. Of rows that also
+    share the id, any one stays."""
     found = stored(exact_groups(docs, id_col, text_col, keep), "exact_rows")
     stays = found.filter("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("_n"))
     keys = stays.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "_n")
-    marked = docs.withColumn("_sha_row", F.sha2(normalised(F.col(text_col)), 256))
-    kept = marked.join(keys, marked[id_col].eqNullSafe(keys["_id"]) & (marked["_sha_row"] == keys["_sha"]))
-    single = kept.filter("_n = 1").select(*[marked[c] for c in docs.columns])
-    if keys.filter("_n > 1").isEmpty():
-        return single
-    again = kept.filter("_n > 1").dropDuplicates(["_id", "_sha"]).select(*[marked[c] for c in docs.columns])
-    return single.unionByName(again)
+    rows = by_position(docs)
+    own_id, own_text = (F.col(rows.columns[docs.columns.index(c)]) for c in (id_col, text_col))
+    marked = rows.withColumn("_sha_row", F.sha2(normalised(own_text), 256))
+    kept = marked.join(keys, own_id.eqNullSafe(F.col("_id")) & (F.col("_sha_row") == F.col("_sha")))
+    single = kept.filter("_n = 1").select(*rows.columns)
+    if not keys.filter("_n > 1").isEmpty():
+        single = single.unionByName(kept.filter("_n > 1").dropDuplicates(["_id", "_sha"]).select(*rows.columns))
+    return single.toDF(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsgraph.llm.common import ranked, word_count
+from newsgraph.llm.common import by_position, ranked, word_count
 from newsgraph.session import stored
 
 WEIGHTS = (5, 2, 1)  # production parameters: weights in source order, repeating
@@ -108,8 +108,8 @@ def mix(
     sizes = docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
     totals = sizes.groupBy("source").agg(F.sum("size").alias("size"))
     targets = stored(source_targets(totals, weights, share, most), "mix_targets")
-    drawn = docs.withColumn("_draw", draw(F.col(id_col), seed))
-    copies = _with_rates(drawn, source_col, targets)
-    return copies.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int")))).select(
-        *[drawn[c] for c in docs.columns]
-    )
+    rows = by_position(docs)
+    own_id, own_source = (rows.columns[docs.columns.index(c)] for c in (id_col, source_col))
+    copies = _with_rates(rows.withColumn("_draw", draw(F.col(own_id), seed)), own_source, targets)
+    copies = copies.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int"))))
+    return copies.select(*rows.columns).toDF(*docs.columns)

@@ -8,7 +8,9 @@ from collections import Counter, defaultdict
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from newsgraph.llm import decontamination, divergence, prefix_trie
 from newsgraph.llm.oracle import LLM_ORACLE
 from newsgraph.llm.queries import LLM_QUERIES
@@ -210,3 +212,23 @@ def test_shares_are_exact_for_large_counts(spark):
     n, total, kinds = 9_000_000_000_000_000_001, 9_223_372_036_854_775_807, 1_000_003
     df = spark.createDataFrame([(n, total, kinds)], "n long, total long, kinds long")
     assert df.select(divergence.share("n", "total", "kinds")).first()[0] == 1 + 10**9 * (n + 5) // (total + 5 * kinds)
+
+
+CLASHES = ["rate", "_copies", "_copy", "_draw", "_source", "target", "source_size", "_n", "_id", "_sha", "_sha_row", "kept"]
+CLASHES += ["keep_id", "group_size", "text_sha256", "component_id", "_dropped", "_c0", "size", "position", "label"]
+
+
+@pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_columns_of_any_name(spark, stage):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    docs = docs.unionByName(docs.limit(3))  # rows that are repeated whole
+    wide = docs
+    for i, name in enumerate(CLASHES):
+        wide = wide.withColumn(name, F.lit(i))
+    plain, found = stage(spark, docs, DATA), stage(spark, wide, DATA)
+    if "text" in plain.columns:
+        assert found.columns == wide.columns
+        assert found.select(CLASHES).distinct().collect() == [tuple(range(len(CLASHES)))]
+        assert rows(found.select(docs.columns)) == rows(plain)
+    else:
+        assert rows(found) == rows(plain)
