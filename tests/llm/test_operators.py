@@ -90,7 +90,7 @@ def rows(df):
 @pytest.mark.parametrize("name", list(LLM_ORACLE))
 def test_query_matches_its_sql(spark, name):
     db = duckdb.connect()
-    for table in ("documents", "conversations", "pages"):
+    for table in ("documents", "conversations", "pages", "benchmark"):
         db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     df = LLM_QUERIES[name](spark, DATA)
     result = db.execute(LLM_ORACLE[name])
