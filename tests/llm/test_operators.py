@@ -521,6 +521,34 @@ def test_pivot_index(spark):
     assert pivot_index.near_groups(df.limit(0)).count() == 0
 
 
+def test_pivot_index_counts_links_by_vector(spark):
+    near = [1.0, 0.1, 0.0]
+    df = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (1, [0.0, 0.0, 1.0]), (2, near)], "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in pivot_index.near_groups(df).collect())
+    assert got == [(1, 0, 1), (1, 1, 1), (2, 1, 1)]
+
+
+def test_pivot_index_recall(spark):
+    """3,000 vectors, 54 pivots, 10 describe a vector: pairs just above the similarity can be missed, few are."""
+    random = np.random.default_rng(17)
+    base = random.normal(size=(1000, 32))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    copies = []
+    for cosine in (0.9505, 0.97):
+        side = random.normal(size=base.shape)
+        side -= (side * base).sum(axis=1)[:, None] * base
+        side /= np.linalg.norm(side, axis=1)[:, None]
+        copies.append(cosine * base + (1 - cosine**2) ** 0.5 * side)
+    units = np.concatenate([base, *copies])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(units)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in pivot_index.near_groups(df).collect()}
+    units /= np.linalg.norm(units, axis=1)[:, None]
+    links = (units @ units.T >= 0.95).sum(axis=1) - 1
+    found = np.array([got[i] for i in range(len(units))])
+    assert (found <= links).all() and links.sum() >= 4000
+    assert found.sum() >= 0.95 * links.sum()
+
+
 def test_pipeline_stages(spark):
     docs = spark.createDataFrame(fixture(), SCHEMA)
     docs = docs.unionByName(spark.read.parquet(f"{DATA}/documents.parquet").selectExpr("doc_id + 100 AS doc_id", "text", "lang", "source", "n_chars"))
