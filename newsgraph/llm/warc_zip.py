@@ -13,6 +13,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from hashlib import sha1
+from math import ceil
 
 import pyarrow as pa
 import pyarrow.fs
@@ -24,6 +25,7 @@ from newsgraph.session import scratch_dir, stored
 
 MIN_BYTES = 0  # production parameter: payloads from this size on are written once
 PACKAGE_BYTES = 64 << 20  # a task starts a new package beyond this size
+PIECE = 8 << 20  # bytes of neighbouring records that go to one reading task together
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 _LIMIT = 0xFFFFFFFF
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -223,7 +225,8 @@ def write_packages(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES, zi
 def read_packages(packages: DataFrame) -> DataFrame:
     """``page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to`` of every record.
 
-    The indexes give the ranges; the ranges are dealt out evenly and each record is one read of its package.
+    The indexes give the ranges; neighbours of PIECE bytes are dealt out together and each record is one read of its
+    package.
     """
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,8 +276,16 @@ def read_packages(packages: DataFrame) -> DataFrame:
         if file is not None:
             file.close()
 
-    places = map_arrow(packages.select("path").repartition("path"), ranges, "path string, place long, length long")
-    places = places.repartition("path", "place").sortWithinPartitions("path", "place")
+    parallel = 4 * packages.sparkSession.sparkContext.defaultParallelism
+    n = packages.count()
+    paths = packages.select("path").repartition(max(1, min(n, parallel), n // 64), "path")
+    places = map_arrow(paths, ranges, "path string, place long, length long")
+    # Tasks by bytes of the records, not of the places, which adaptive execution would merge into a few partitions.
+    places = stored(places, "places")
+    piece = F.floor(F.col("place") / PIECE)
+    total, pieces = places.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count_distinct("path", piece)).first()
+    places = places.repartition(max(1, min(pieces, parallel), ceil(total / (8 * PIECE))), "path", piece)
+    places = places.sortWithinPartitions("path", "place")
     return map_arrow(
         places,
         read,
