@@ -170,9 +170,10 @@ def _labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     labelled = labelled.select(
         F.col(lang_col).alias("lang"),
         F.col(text_col).alias("text"),
-        (F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)).alias("_u"),
+        # The text belongs to the draw: rows with one id, or with none, are not drawn together.
+        (F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 30)) / float(1 << 30)).alias("_u"),
         # Another hash than the one that picks the sample, so the folds do not depend on the rate.
-        F.pmod(F.xxhash64(F.lit("fold"), F.col(id_col)), F.lit(FOLDS)).cast("int").alias("fold"),
+        F.pmod(F.xxhash64(F.lit("fold"), F.col(id_col), F.col(text_col)), F.lit(FOLDS)).cast("int").alias("fold"),
     )
     rates = stored(
         labelled.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("_rate")), "language_rates"
