@@ -55,10 +55,53 @@ class RangeHash:
         return mix((self.sums[width:] - self.sums[:-width]) * self.down[:n])
 
 
+def _drawn(prime: int) -> tuple[np.uint64, int, np.ndarray]:
+    values = _RNG.integers(1, prime, 256, np.uint64)
+    values[65:91] = values[97:123]  # A-Z like a-z
+    return np.uint64(prime), int(_RNG.integers(1 << 20, prime)), values
+
+
+_PRIME_HASHES = tuple(_drawn(prime) for prime in ((1 << 31) - 1, (1 << 31) - 19))
+
+
+def _prime_powers(prime: np.uint64, base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base modulo a prime and of its inverse, by doubling."""
+    key = f"modulo {prime}"
+    if key not in _powers or len(_powers[key][0]) < n:
+        size = max(n, 1 << 16)
+        made = []
+        for x in (base, pow(base, -1, int(prime))):
+            steps = np.ones(1, np.uint64)
+            while len(steps) < size:
+                steps = np.concatenate([steps, steps * np.uint64(pow(x, len(steps), int(prime))) % prime])
+            made.append(steps[:size])
+        _powers[key] = (made[0], made[1])
+    return _powers[key][0][:n], _powers[key][1][:n]
+
+
 def byte_hash(data: np.ndarray, lower: bool = False) -> RangeHash:
     return RangeHash((_LOWER if lower else _BYTE)[data], "byte")
 
 
+class WordHash:
+    """Hashes of byte ranges in which no two contents are bound to collide: polynomials modulo two primes, each with a
+    drawn base and drawn byte values. A sum modulo 2**64 meets for certain on some long words, whatever its base."""
+
+    def __init__(self, data: np.ndarray):
+        self.parts = []
+        for prime, base, values in _PRIME_HASHES:
+            up, down = _prime_powers(prime, base, len(data) + 1)
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(values[data] * up[:-1] % prime, out=sums[1:])
+            self.parts.append((prime, sums, down))
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        (p, first, down), (q, second, under) = self.parts
+        high = (first[end] - first[start]) % p * down[start] % p
+        low = (second[end] - second[start]) % q * under[start] % q
+        return mix(high << np.uint64(32) | low)
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First byte and end of every word, and the range of words of each text. Words never cross texts."""
     inside = ~_BREAK[data]

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsgraph.llm.arrays import RangeHash, byte_hash, mix, words
+from newsgraph.llm.arrays import RangeHash, WordHash, mix, words
 from newsgraph.llm.common import map_arrow, text_chunks
 from newsgraph.llm.components import components
 from newsgraph.llm.membership import BitTable, bit_table
@@ -50,9 +50,10 @@ def _permutations(number: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> list[np.ndarray]:
-    """Sorted distinct 64-bit hashes of the word shingles of each text; a shorter text is one shingle."""
+    """Sorted distinct 64-bit hashes of the word shingles of each text; a shorter text is one shingle. A shingle is a
+    polynomial of at most ``width`` hashed words, each mixed and drawn (``WordHash``)."""
     starts, ends, ranges = words(data, offsets)
-    word = byte_hash(data, lower=True)(starts, ends)
+    word = WordHash(data)(starts, ends)
     shingle = RangeHash(word, "word")
     runs = shingle.sliding(width)
     out = []
