@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pyarrow.fs
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from newsgraph.llm import (
@@ -288,6 +289,15 @@ def test_one_id_with_several_texts(spark):
     assert {-r.doc_id: -r.component_id for r in minhash.near_groups(turned).collect()} == {i: c + 2 for i, c in want.items()}
 
 
+def test_words_that_collide_modulo_two_to_the_64(spark):
+    """A Thue-Morse word and its complement have one polynomial hash modulo 2**64 for every odd base."""
+    bits = [bin(i).count("1") % 2 for i in range(4096)]
+    left, right = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    df = spark.createDataFrame([(1, left), (2, right), (3, left.upper())], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_groups(df).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
 def test_large_family_is_cut_into_cells(spark, monkeypatch):
     monkeypatch.setattr(minhash, "CELL", 2000)
     base = prose(120).split()
@@ -358,6 +368,17 @@ def test_rejection_at_every_size(spark):
     assert (fitted["limits"][0] < 2.0).all()  # every language has a centre of its own, far from a blind guess (3.66)
 
 
+def test_language_sample_is_bounded_without_ids(spark):
+    """Rows without an id, or with one id, are drawn one by one."""
+    df = spark.range(4000).select(
+        F.when(F.col("id") % 2 == 0, F.lit(1)).cast("long").alias("doc_id"),
+        F.concat(F.lit("some text "), "id").alias("text"),
+        F.lit("en").alias("lang"),
+    )
+    n = language_id._labelled_sample(df, "doc_id", "text", "lang", 400).count()
+    assert 300 < n < 500
+
+
 def test_model_probabilities_add_up():
     keys = RANDOM.integers(97, 101, (300, 4)).astype(np.uint64)
     packed = (keys[:, 0] << np.uint64(48)) | (keys[:, 1] << np.uint64(32)) | (keys[:, 2] << np.uint64(16)) | keys[:, 3]
@@ -549,6 +570,73 @@ def test_pivot_index_recall(spark):
     assert found.sum() >= 0.95 * links.sum()
 
 
+def shingles_by_hand(text):
+    found = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(found[i : i + 5]) for i in range(max(1, len(found) - 4))} if found else set()
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Every decision after the language filter, which has tests of its own, from plain sets and counts."""
+    docs = spark.createDataFrame([r for r in fixture() if r[0] is not None], SCHEMA)
+    docs = docs.unionByName(spark.read.parquet(f"{DATA}/documents.parquet").selectExpr("doc_id + 100 AS doc_id", "text", "lang", "source", "n_chars"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    accepted = stages["language_id"](spark, docs, str(tmp_path)).collect()
+    texts = {}
+    for r in accepted:
+        key = re.sub("[A-Z]", lambda m: m[0].lower(), r.text or "")
+        texts[key] = max(texts.get(key, r), r, key=lambda x: x.doc_id)
+    exact = sorted({r.doc_id: r for r in texts.values()}.values(), key=lambda r: r.doc_id)
+    assert len(exact) == len(texts)
+    sets = [shingles_by_hand(r.text) for r in exact]
+    owners = {}
+    for k, own in enumerate(sets):
+        for shingle in own:
+            owners.setdefault(shingle, []).append(k)
+    root = list(range(len(exact)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, own in enumerate(sets):
+        for j, common in Counter(j for shingle in own for j in owners[shingle] if j < k).items():
+            if 100 * common >= 80 * (len(own) + len(sets[j]) - common):
+                a, b = find(j), find(k)
+                root[max(a, b)] = min(a, b)
+    kept = [r for k, r in enumerate(exact) if find(k) == k]
+    assert len(kept) < len(exact) < len(accepted)
+    size = {r.doc_id: len(WORD.findall(r.text or "")) for r in kept}
+    mass = Counter()
+    for r in kept:
+        mass[r.source] += size[r.doc_id]
+    order = sorted(mass, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    target, free, left = {}, set(order), 1.5 * sum(mass.values())
+    while free:
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = {s for s in free if share[s] > 2 * mass[s]}
+        target |= {s: 2 * mass[s] for s in over} or share
+        left -= sum(2 * mass[s] for s in over)
+        free = free - over if over else set()
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    words = Counter()
+    for r in packed:
+        words[r.doc_id] += r.length
+    for r in kept:
+        rate = target[r.source] / mass[r.source] if mass[r.source] else 0
+        copies = words[r.doc_id] / size[r.doc_id] if size[r.doc_id] else 0
+        assert not size[r.doc_id] or copies in {int(rate + 1e-9), int(rate - 1e-9) + 1}, (r.doc_id, rate, copies)
+    assert not set(words) - set(size)
+    bins = {}
+    for r in packed:
+        bins.setdefault(r.bin_id, []).append(r)
+    found = Counter((own[0].bin_capacity, sum(r.length for r in own)) for own in bins.values())
+    assert found == best_fit_by_hand([r.length for r in packed], packing.CAPACITIES, packing.OVERHEAD)
+
+
 def test_pipeline_stages(spark):
     docs = spark.createDataFrame(fixture(), SCHEMA)
     docs = docs.unionByName(spark.read.parquet(f"{DATA}/documents.parquet").selectExpr("doc_id + 100 AS doc_id", "text", "lang", "source", "n_chars"))
