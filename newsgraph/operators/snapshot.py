@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsgraph.schema import ARTICLE_COLUMNS, ARTICLE_SCHEMA
+from newsgraph.sources.addresses import ADDRESS, addressed, fetch_rows
 
 SNAPSHOT_KEYS = ("article_id", "url")
 
@@ -60,6 +61,38 @@ def latest_snapshot(
     return df.join(latest, [*keys, ts], "inner").select(*df.columns)
 
 
+def latest_addresses(
+    table: DataFrame,
+    keys: tuple[str, ...] = SNAPSHOT_KEYS,
+    ts: str = "etl_timestamp",
+    unique: bool = False,
+    tiebreak: tuple[str, ...] = (),
+) -> DataFrame:
+    """Addresses of the rows that ``latest_snapshot`` keeps: only keys, stamps, tie columns and addresses are shuffled.
+
+    Without ``tiebreak``, rows of one key and stamp are told apart by a digest of the whole row, taken in the scan, so
+    the choice depends on content only; equal rows are told apart by their address.
+    """
+    others = [c for c in table.columns if c not in (*keys, ts)]
+    ties = tiebreak if unique else ()
+    digest = []
+    if unique and not tiebreak:
+        digest = [F.sha2(F.to_json(F.struct(*others), {"ignoreNullFields": "false"}), 256).alias("_digest")]
+        ties = ("_digest",)
+    narrow = addressed(table).select(*keys, ts, *ADDRESS, *(tiebreak if unique else ()), *digest)
+    found = latest_snapshot(narrow, keys, ts, unique, (*ties, *ADDRESS))
+    return found.select(*ADDRESS)
+
+
+def latest_articles(
+    spark: SparkSession, path: str, unique: bool = False, tiebreak: tuple[str, ...] = ()
+) -> DataFrame:
+    """The latest snapshot of the stored article table, wide columns fetched by row address: bodies are read for the
+    winners only and are in no shuffle."""
+    found = latest_addresses(read_articles(spark, path), unique=unique, tiebreak=tiebreak)
+    return fetch_rows(found, ARTICLE_SCHEMA)
+
+
 def lookup(df: DataFrame, column: str, value) -> DataFrame:
     """Rows with a given key value; the equality is pushed to the scan."""
     return df.where(F.col(column) == value)

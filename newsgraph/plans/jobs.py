@@ -13,7 +13,7 @@ from newsgraph.operators.entities import DEFAULT_RULES, rule_entities
 from newsgraph.operators.ingest import map_articles, map_mixed_articles, quarantine
 from newsgraph.operators.rdf import DEFAULT_NS, TripleStore, ontology, write_triples
 from newsgraph.operators.sinks import sidecar_json, write_documents, write_json_batches, write_text
-from newsgraph.operators.snapshot import append_articles, latest_snapshot, load_name, read_articles
+from newsgraph.operators.snapshot import append_articles, latest_articles, latest_snapshot, load_name, read_articles
 from newsgraph.operators.triples import (
     add_record_hashes,
     article_documents,
@@ -110,7 +110,10 @@ def ingest_stream(
     query.start().awaitTermination()
 
 
-def snapshot_of(spark: SparkSession, table: str, unique: bool = False) -> DataFrame:
+def snapshot_of(spark: SparkSession, table: str, unique: bool = False, late: bool = False) -> DataFrame:
+    """The latest snapshot of the article table; ``late`` shuffles row addresses instead of whole rows."""
+    if late:
+        return latest_articles(spark, table, unique=unique)
     return latest_snapshot(read_articles(spark, table), unique=unique)
 
 

@@ -235,6 +235,27 @@ def latest_snapshot_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stamped(latest, ["article_id", "url", "label", "file_name", "custom_columns", "etl_timestamp"])
 
 
+def _stored_loads(spark: SparkSession, sf_dir: str) -> str:
+    path = scratch_dir(spark, "articles")
+    for number, load in enumerate(tables.article_loads(spark, sf_dir)):
+        snapshot.append_articles(load, path, f"load-{number}")
+    return path
+
+
+@query
+def latest_snapshot_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ties kept, rows fetched by address from a stored article table of two loads, bodies too."""
+    latest = snapshot.latest_articles(spark, _stored_loads(spark, sf_dir))
+    return _stamped(latest, ["article_id", "url", "label", "file_name", "etl_timestamp", "body"])
+
+
+@query
+def latest_snapshot_late_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _stored_loads(spark, sf_dir)
+    latest = snapshot.latest_articles(spark, path, unique=True, tiebreak=("label", "file_name", "custom_columns"))
+    return _stamped(latest, ["article_id", "url", "label", "file_name", "custom_columns", "etl_timestamp"])
+
+
 SNAPSHOT_SQL = """
 SELECT * FROM article_table LEFT SEMI JOIN (
   SELECT article_id, url, max(etl_timestamp) AS etl_timestamp FROM article_table GROUP BY ALL

@@ -704,6 +704,9 @@ UNION ALL SELECT count(*), 'site_url', count(site_url) FROM raw""",
     # snapshots
     "latest_snapshot_join": SNAPSHOT,
     "latest_snapshot_window": f"""
+WITH {UNIQUE} SELECT article_id, url, label, file_name, custom_columns, etl_timestamp FROM uniq""",
+    "latest_snapshot_late": SNAPSHOT.replace("a.etl_timestamp FROM", "a.etl_timestamp, a.body FROM", 1),
+    "latest_snapshot_late_unique": f"""
 WITH {UNIQUE} SELECT article_id, url, label, file_name, custom_columns, etl_timestamp FROM uniq""",
     "append_then_snapshot": f"""
 SELECT etl_timestamp, label, count(*) AS n_articles FROM ({SNAPSHOT}) GROUP BY ALL""",
