@@ -1,7 +1,7 @@
 """Language identification with interpolated Kneser-Ney character models, one per language.
 
 The models are fit on a bounded sample of labelled rows (``per_language`` documents of each language, picked by the
-hash of the id) and are the only thing that comes to the driver. Every whole text of the input is then scored.
+hash of id and text) and are the only thing that comes to the driver. Every whole text of the input is then scored.
 """
 
 from __future__ import annotations
