@@ -115,13 +115,13 @@ def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     for run_ts in (FIRST_LOAD, tables.SECOND_LOAD):  # the second run finds nothing new
         ingest_new_files(
             spark,
-            source=sf_dir,
+            source=f"{sf_dir}/documents.parquet",  # a file or a folder of files
             schema=schema,
             config=CONFIG,
             table=f"{out}/articles",
             checkpoint=f"{out}/checkpoint",
             run_ts=run_ts,
-            glob="documents.parquet",
+            glob="*",
             prepare=lambda batch: tables.raw_articles(spark, sf_dir, batch),
         )
     return _stamped(snapshot.read_articles(spark, f"{out}/articles"), ARTICLE_COLUMNS)

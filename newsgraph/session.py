@@ -75,6 +75,13 @@ def make_folder(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(target)
 
 
+def is_file(spark: SparkSession, path: str) -> bool:
+    """Whether a path names one file, in any store that Spark can reach; a folder, a glob or nothing does not."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.exists(target) and system.getFileStatus(target).isFile()
+
+
 def write_small_file(spark: SparkSession, path: str, text: str) -> None:
     """One small file, such as a config, written by the driver to any store that Spark can reach."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -9,9 +9,16 @@ from pyspark.sql import types as T
 
 from newsgraph.operators.ingest import map_articles, quarantine
 from newsgraph.operators.snapshot import append_articles, load_name
+from newsgraph.session import is_file
 from newsgraph.sources.config import MappingConfig
 
 
+def _watched(spark: SparkSession, source: str) -> str:
+    """The path that a stream is given for a dataset. A folder is its own base, so partition folders are kept; a single file
+    cannot be one and becomes a glob that matches this file only."""
+    return f"{source[:-1]}[{source[-1]}]" if is_file(spark, source) else source
+
+
 def ingest_new_files(
     spark: SparkSession,
     source: str,
@@ -24,7 +31,8 @@ def ingest_new_files(
     prepare: Callable[[DataFrame], DataFrame] | None = None,
     max_files_per_batch: int | None = None,
 ) -> None:
-    """Load every file of ``source`` that no earlier run has loaded, then stop.
+    """Load every file of ``source`` that no earlier run has loaded, then stop. ``source`` is a dataset: the folder of its
+    files, whose names ``glob`` selects, or one file.
 
     The checkpoint assigns each file to one batch. A batch may be repeated after a failure, so it replaces the
     partition of the table that is named by checkpoint and batch instead of appending to it, so several streams fill
@@ -43,7 +51,7 @@ def ingest_new_files(
         append_articles(quarantine(rejected), f"{table}_rejected", load_id)
 
     query = (
-        reader.parquet(source)
+        reader.parquet(_watched(spark, source))
         .writeStream.foreachBatch(load)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from newsgraph.plans import jobs
+from newsgraph.plans.queries import QUERIES
 from newsgraph.plans.tables import CONFIG
 from newsgraph.sources.config import MappingConfig
 from newsgraph.sources.readers import file_manifest
@@ -47,6 +48,39 @@ def test_two_streams_fill_one_table(spark, tmp_path):
     assert sorted(r["body"] for r in spark.read.parquet(table).collect()) == ["a", "b", "c"]
 
 
+def test_source_is_one_file_or_a_folder_of_files(spark, tmp_path):
+    schema = spark.createDataFrame([], SCHEMA).schema
+    drop_file(spark, str(tmp_path / "in" / "a.parquet"), "one", ["a"])
+    drop_file(spark, str(tmp_path / "in" / "a.parquet"), "two", ["b"])  # a folder of two files
+    drop_file(spark, str(tmp_path / "loose"), "three", ["c"])
+    (part,) = (tmp_path / "loose").glob("part-*")
+    (tmp_path / "in" / "b.parquet").write_bytes(part.read_bytes())
+    (tmp_path / "in" / "a.parquet" / "b.parquet").write_bytes(part.read_bytes())  # of that name, but not that file
+    for name, texts in (("a", ["a", "b", "c"]), ("b", ["c"])):
+        source, table = str(tmp_path / "in" / f"{name}.parquet"), str(tmp_path / f"table-{name}")
+        for stamp in ("2024-01-01 00:00:00", "2024-01-02 00:00:00"):  # the second run finds nothing new
+            ingest_new_files(spark, source, schema, CONFIG, table, str(tmp_path / f"c-{name}"), stamp)
+            assert sorted(column(spark.read.parquet(table), "body")) == texts
+
+
+def test_partition_folders_of_a_streamed_dataset_are_kept(spark, tmp_path):
+    source, table = str(tmp_path / "in" / "a.parquet"), str(tmp_path / "articles")
+    data = [(t, f"title {t}", f"u{t}", "fake", "one", lang) for t, lang in (("a", "de"), ("b", "fr"))]
+    rows_in = spark.createDataFrame(data, SCHEMA)
+    rows_in.write.partitionBy("language").parquet(source)
+    ingest_new_files(spark, source, rows_in.schema, CONFIG, table, str(tmp_path / "c"), "2024-01-01 00:00:00")
+    assert rows(spark.read.parquet(table).select("body", "language")) == [("a", "de"), ("b", "fr")]
+
+
+def test_stream_queries_read_tables_that_are_folders(spark, tmp_path):
+    """Tables of one file and the same tables as folders of several files give the same rows."""
+    given = "/root/testdata/sf0.001"
+    for name in ("documents", "labels", "pages"):
+        spark.read.parquet(f"{given}/{name}.parquet").repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for name in ("incremental_ingest",):
+        assert rows(QUERIES[name](spark, str(tmp_path))) == rows(QUERIES[name](spark, given))
+
+
 def test_rejected_rows_are_kept(spark, tmp_path):
     source, table = str(tmp_path / "to_add"), str(tmp_path / "articles")
     drop_file(spark, source, "one", ["a", "b"])
