@@ -186,13 +186,13 @@ def ingest_two_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, (config, prepare) in streams.items():
         ingest_new_files(
             spark,
-            source=sf_dir,
+            source=f"{sf_dir}/{name}.parquet",  # a file or a folder of files
             schema=table(spark, sf_dir, name).schema,
             config=config,
             table=f"{out}/articles",
             checkpoint=f"{out}/checkpoint-{name}",
             run_ts=FIRST_LOAD,
-            glob=f"{name}.parquet",
+            glob="*",
             prepare=prepare,
         )
     rows = snapshot.read_articles(spark, f"{out}/articles")

@@ -77,7 +77,7 @@ def test_stream_queries_read_tables_that_are_folders(spark, tmp_path):
     given = "/root/testdata/sf0.001"
     for name in ("documents", "labels", "pages"):
         spark.read.parquet(f"{given}/{name}.parquet").repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
-    for name in ("incremental_ingest",):
+    for name in ("incremental_ingest", "ingest_two_streams"):
         assert rows(QUERIES[name](spark, str(tmp_path))) == rows(QUERIES[name](spark, given))
 
 
