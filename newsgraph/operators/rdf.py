@@ -278,10 +278,12 @@ def graph_to_triples(df: DataFrame, graph: Graph) -> DataFrame:
     """The set of triples of all rows.
 
     Facts of one page (``graph.local``) are apart from facts that pages share: a page is one narrow row in one shuffle and
-    is expanded after it, and only the shared nodes and facts are combined triple by triple.
+    is expanded after it, and only the shared nodes and facts are combined triple by triple. The input is read once, for
+    the columns of the graph: texts that only their digests are taken of are joined and shuffled no second time.
     """
     if graph.local is None:
         return _fact_triples(df, graph)
+    df = stored(df.select(*_graph_columns(graph)), "graph-rows")
 
     def part(local: bool) -> Graph:
         def own(facts: tuple[Fact, ...]) -> tuple[Fact, ...]:
@@ -298,6 +300,15 @@ def graph_to_triples(df: DataFrame, graph: Graph) -> DataFrame:
     return pages.unionByName(_fact_triples(df, shared)) if shared.nodes or shared.facts or shared.nested else pages
 
 
+def _graph_columns(graph: Graph) -> list[str]:
+    """The columns of the input that a graph is made of."""
+    nested = graph.nested
+    facts = [*graph.facts, *(nested.facts("") if nested else ())]
+    columns = {column for column, _ in graph.nodes} | {k for f in facts for k in (*f.keys, *f.required)}
+    columns |= {graph.local} if graph.local else set()
+    return sorted(columns - set(nested.fields) | {nested.column}) if nested else sorted(columns)
+
+
 _NO_TRIPLES = f"CAST(array() AS array<struct<{', '.join(f'{c}: string' for c in TRIPLE_COLUMNS)}>>)"
 
 
@@ -312,9 +323,9 @@ def _page_triples(df: DataFrame, graph: Graph, page: str) -> DataFrame:
     fields = set(nested.fields) if nested else set()
     columns = sorted({k for f in graph.facts for k in f.keys} - {page} - fields)
     row = F.struct(*columns, *([nested.column] if nested else []), F.lit(0).alias("_any"))
-    pages = stored(df.groupBy(page).agg(F.min(row).alias("low"), F.max(row).alias("high")), "pages")
-    same = F.col("low").eqNullSafe(F.col("high"))
-    many = stored(pages.where(~same).select(F.col(page).alias("_page")), "pages-with-different-rows")
+    pages = df.groupBy(page).agg(F.min(row).alias("low"), F.max(row).alias("high"))
+    pages = stored(pages.select(page, "low", F.col("low").eqNullSafe(F.col("high")).alias("same")), "pages")
+    many = pages.where("NOT same").select(F.col(page).alias("_page"))
 
     def triples(f: Fact) -> str:
         made = f.array(Triple.struct)
@@ -324,7 +335,7 @@ def _page_triples(df: DataFrame, graph: Graph, page: str) -> DataFrame:
     if nested:
         each = ", ".join(map(triples, nested.facts("e.")))
         arrays.append(f"coalesce(flatten(transform({nested.column}, e -> concat({each}))), {_NO_TRIPLES})")
-    whole = pages.where(same).select(page, "low.*")
+    whole = pages.where("same").select(page, "low.*")
     out = whole.selectExpr(f"inline(array_distinct(concat({', '.join(arrays)})))")
     if many.isEmpty():
         return out
@@ -477,9 +488,8 @@ class TripleStore:
         self.spark, self.path, self.buckets = spark, path, buckets
 
     def _write(self, fresh: DataFrame, name: str) -> None:
+        """Write triples that are dealt to the buckets: the one task of a bucket writes one file per group."""
         rows = fresh.select(*TRIPLE_COLUMNS, _DIGEST, predicate_group(F.col("p")).alias(_GROUP))
-        # One task per bucket writes one file per group.
-        rows = rows.repartition(self.buckets, _DIGEST)
         writer = rows.write.mode("append").format("parquet").partitionBy(_GROUP)
         writer.bucketBy(self.buckets, _DIGEST).sortBy(_DIGEST).option("path", self.path).saveAsTable(name)
 
@@ -488,15 +498,16 @@ class TripleStore:
         return self.spark.table(name).select(_DIGEST)
 
     def new_triples(self, new: DataFrame, name: str) -> DataFrame:
-        """The distinct triples of ``new`` with their digest that the store does not hold yet."""
+        """The distinct triples of ``new`` with their digest that the store does not hold yet, dealt to the buckets."""
         fresh = new.select(*TRIPLE_COLUMNS, triple_digest().alias(_DIGEST))
         fresh = fresh.repartition(self.buckets, _DIGEST).dropDuplicates([_DIGEST])
         return fresh.join(self.held(name).hint("merge"), _DIGEST, "left_anti")
 
     def append(self, new: DataFrame) -> None:
-        """Import a graph; only what is new is written."""
+        """Import a graph; only what is new is written, in the tasks that have found it. The files of the store are listed
+        before the first of them is written."""
         with _store_table(self.spark, self.path, self.buckets) as name:
-            self._write(stored(self.new_triples(new, name), "new_triples"), name)
+            self._write(self.new_triples(new, name), name)
 
     def read(self, predicates: Sequence[str] | None = None) -> DataFrame:
         """All triples, or those of some predicates from their folders."""

@@ -9,6 +9,7 @@ from newsgraph.operators.ingest import map_articles
 from newsgraph.operators.snapshot import append_articles, read_articles
 from newsgraph.plans import jobs
 from newsgraph.schema import RECORD_COLUMNS, TRIPLE_COLUMNS
+from newsgraph.session import stored
 from newsgraph.sources.config import MappingConfig
 from newsgraph.sources.readers import read_sidecars
 from tests.helpers import column, rows
@@ -107,6 +108,40 @@ def test_a_store_is_not_shuffled_and_its_folders_are_bounded(spark, tmp_path):
     assert store.read().count() == 1000
 
 
+def test_an_import_deals_new_triples_once_and_writes_them_where_they_are_found(spark, tmp_path, monkeypatch):
+    many = spark.range(500).selectExpr(
+        "concat('s', id) AS s", "concat('http://x#p', id % 5) AS p", "string(id) AS o", "'literal' AS o_kind", "null AS o_datatype"
+    )
+    store = rdf.TripleStore(spark, str(tmp_path / "store"), buckets=4)
+    store.append(many.where("o < '3'"))
+    before = set((tmp_path / "store").rglob("*.parquet"))
+    kept, plans, write = [], [], rdf.TripleStore._write
+
+    def seen(self, fresh, name):
+        plans.append(executed_plan(fresh))
+        write(self, fresh, name)
+
+    monkeypatch.setattr(rdf, "stored", lambda df, name: kept.append(name) or stored(df, name))
+    monkeypatch.setattr(rdf.TripleStore, "_write", seen)
+    store.append(many.union(many))
+    assert kept == [] and len(plans) == 1  # no copy of the new triples beside the store
+    assert plans[0].count("Exchange hashpartitioning") == 1 and "SortMergeJoin" in plans[0]
+    fresh = set((tmp_path / "store").rglob("*.parquet")) - before
+    places = [(f.parent.name, f.name.split("_")[-1].split(".")[0]) for f in fresh]  # group and bucket
+    assert len(places) == len(set(places)) and len({bucket for _, bucket in places}) == 4
+    assert rows(store.read()) == rows(many)
+
+
+def test_a_graph_reads_its_input_once(spark, articles):
+    """The joins and texts behind the articles are not computed again for the shared facts or for pages with different rows."""
+    given = articles.withColumn("label", F.lit("x")).union(articles).union(articles)
+    found = graph.article_triples(given, with_custom=True)
+    plan = executed_plan(found)
+    assert not re.search("ExistingRDD|LocalTableScan", plan) and "FileScan parquet" in plan
+    both = graph.article_triples(given.where("label = 'x'"), with_custom=True)
+    assert rows(found) == rows(both.union(graph.article_triples(articles, with_custom=True)).distinct())
+
+
 def test_custom_literals_are_typed(articles):
     found = graph.custom_triples(articles.where("url = 'u1'"))
     values = {r["p"].split("#")[1]: (r["o"], (r["o_datatype"] or "").split("#")[-1]) for r in
