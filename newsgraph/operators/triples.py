@@ -53,6 +53,9 @@ LINKED_VALUES = [
 ARTICLE_DATES = {"classification_date": "classifiedDate", "publication_date": "publishedDate"}
 RECORD_DATES = {"scraped_at": "scraped_at", "inserted_at": "inserted_at", "updated_at": "updated_at"}
 
+# The columns of the article table that graphs and documents are made of; texts are not among them.
+DOCUMENT_COLUMNS = ("article_id", *[c for c, *_ in LINKED_VALUES], *ARTICLE_DATES, "custom_columns")
+
 
 def _article_values(df: DataFrame, guess_datetime: bool = False) -> DataFrame:
     """The columns that article triples are made of, with the text 'null' as NULL, and the custom fields."""

@@ -687,7 +687,7 @@ def turtle_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def documents_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written many to a file, indexed by their place, and fetched one by one by the names of all articles."""
     path = scratch_dir(spark, "named")
-    articles = stored(_unique_articles(spark, sf_dir), "unique-articles")
+    articles = stored(_unique_articles(spark, sf_dir).select(*graph.DOCUMENT_COLUMNS), "unique-articles")
     sinks.write_documents(graph.article_documents(articles), f"{path}/text")
     named.write_document_index(spark, f"{path}/text", f"{path}/index")
     names = articles.select(F.sha2(webpage_id(F.col("article_id"), F.col("url_hash")), 256).alias("name"))

@@ -13,30 +13,38 @@ from newsgraph.session import package_for_workers
 from newsgraph.sources.catalogue import open_file
 
 HEAD = "# "  # a document is this, its name, a line break, and its lines up to the next head
+BATCH_BYTES = 8 << 20  # a task of a lookup holds documents of about so many bytes
 
 
 def document_offsets(spark: SparkSession, path: str) -> DataFrame:
     """``name, file, first_byte, length`` of every document in the text files under ``path``.
 
-    Line lengths are added up inside the blocks in which the files are read, and the totals of the blocks before are
-    added; no file is gathered, and only the heads of documents are ordered by file.
+    The files are read with a record per document, heads being the separators. Record lengths are added up inside the
+    blocks in which the files are read, and the totals of the blocks before are added; no file is gathered.
     """
-    lines = spark.read.option("lineSep", "\n").text(path).select(
+    records = spark.read.option("lineSep", f"\n{HEAD}").text(path).select(
         F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_size").alias("total"),
         F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line"),
-        (F.octet_length("value") + 1).cast("long").alias("bytes"),
-        F.when(F.startswith("value", F.lit(HEAD)), F.substr("value", F.lit(len(HEAD) + 1))).alias("name"),
+        F.monotonically_increasing_id().alias("record"),
+        (F.octet_length("value") + len(HEAD) + 1).cast("long").alias("bytes"),
+        F.substring_index("value", "\n", 1).alias("name"),
+    )
+    in_block = W.partitionBy("file", "block").orderBy("record").rowsBetween(W.unboundedPreceding, -1)
+    placed = records.withColumn("inside", F.coalesce(F.sum("bytes").over(in_block), F.lit(0))).drop("bytes")
+    blocks = records.groupBy("file", "block").agg(F.sum("bytes").alias("bytes"))
+    before = F.sum("bytes").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+    blocks = blocks.select("file", "block", F.coalesce(before, F.lit(0)).alias("before"))
+    # The head before a record was taken as its separator; the record that opens a file still has it, or has no name.
+    start = F.col("before") + F.col("inside")
+    opening = start == 0
+    heads = placed.join(blocks, ["file", "block"]).where(~opening | F.startswith("name", F.lit(HEAD)))
+    heads = heads.select(
+        F.when(opening, F.substr("name", F.lit(len(HEAD) + 1))).otherwise(F.col("name")).alias("name"),
+        "file",
+        F.when(opening, F.lit(0)).otherwise(start - len(HEAD)).cast("long").alias("first_byte"),
+        "total",
     )
-    in_block = W.partitionBy("file", "block").orderBy("line").rowsBetween(W.unboundedPreceding, -1)
-    placed = lines.withColumn("inside", F.coalesce(F.sum("bytes").over(in_block), F.lit(0))).where("name IS NOT NULL")
-    blocks = lines.groupBy("file", "block").agg(F.sum("bytes").alias("bytes"))
-    of_file = W.partitionBy("file").orderBy("block")
-    before = F.coalesce(F.sum("bytes").over(of_file.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("bytes").over(W.partitionBy("file"))
-    blocks = blocks.select("file", "block", before.alias("before"), total.alias("total"))
-    first = F.col("before") + F.col("inside")
-    heads = placed.join(blocks, ["file", "block"]).select("name", "file", first.alias("first_byte"), "total")
     following = F.lead("first_byte").over(W.partitionBy("file").orderBy("first_byte"))
     return heads.select("name", "file", "first_byte", (F.coalesce(following, "total") - F.col("first_byte")).alias("length"))
 
@@ -51,11 +59,14 @@ def fetch_documents(index: DataFrame, names: DataFrame) -> DataFrame:
     index does not have gives no row; a name that is asked for twice gives one."""
     package_for_workers(index.sparkSession)
 
+    def made(names: list[str], found: list[str]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(names, pa.string()), pa.array(found, pa.string())], ["name", "document"])
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, source = None, None
         try:
+            names, found, size = [], [], 0
             for batch in batches:
-                found = []
                 for row in batch.to_pylist():
                     if row["file"] != name:
                         if source is not None:
@@ -63,8 +74,14 @@ def fetch_documents(index: DataFrame, names: DataFrame) -> DataFrame:
                         name, source = row["file"], open_file(row["file"], encoded=True)
                     source.seek(row["first_byte"])
                     text = source.read(row["length"]).decode("utf-8")
+                    names.append(row["name"])
                     found.append(text.partition("\n")[2].removesuffix("\n"))
-                yield pa.record_batch([batch.column(0), pa.array(found, pa.string())], ["name", "document"])
+                    size += row["length"]
+                    if size >= BATCH_BYTES:
+                        yield made(names, found)
+                        names, found, size = [], [], 0
+            if names:
+                yield made(names, found)
         finally:
             if source is not None:
                 source.close()

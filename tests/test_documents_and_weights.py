@@ -3,6 +3,8 @@ from pyspark.sql import functions as F
 
 from newsgraph.operators.redistribute import redistribute
 from newsgraph.operators.sinks import write_documents
+from newsgraph.plans import queries
+from newsgraph.session import stored
 from newsgraph.sources.documents import document_offsets, fetch_documents, write_document_index
 from tests.helpers import column, rows
 
@@ -39,6 +41,46 @@ def test_offsets_do_not_depend_on_the_blocks(spark, documents, tmp_path):
     assert len(whole) == 202 and sum(r[3] for r in whole) == sum(f.stat().st_size for f in (tmp_path / "text").glob("part-*"))
 
 
+def by_reading(folder):
+    """The index by reading the files as a whole."""
+    found = []
+    for file in folder.glob("part-*"):
+        data, place = file.read_bytes(), 0
+        starts = []
+        for line in data.split(b"\n")[:-1]:
+            if line.startswith(b"# "):
+                starts.append((place, line[2:].decode()))
+            place += len(line) + 1
+        ends = [p for p, _ in starts[1:]] + [len(data)]
+        found += [(name, file.name, p, end - p) for (p, name), end in zip(starts, ends)]
+    return sorted(found, key=str)
+
+
+@pytest.mark.parametrize("block", ["61", "64", "509"])
+def test_offsets_wherever_blocks_end(spark, tmp_path, block):
+    data = [(f"n{i}", ["", "#x\n #\n", "<é> \r# .", "l\n" * (i % 11)][i % 4]) for i in range(70)]
+    write_documents(spark.createDataFrame(data, "name string, document string").coalesce(2), str(tmp_path / "text"))
+    (tmp_path / "text" / "part-x").write_bytes(b"no head\n#no\n# first\n# # second\nl\n")
+    limit = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    try:
+        found = rows(document_offsets(spark, str(tmp_path / "text")))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", limit)
+    assert sorted([(n, f.rsplit("/", 1)[1], p, length) for n, f, p, length in found], key=str) == by_reading(tmp_path / "text")
+    assert len(found) == 72
+
+
+def test_named_documents_are_made_without_texts(spark, monkeypatch):
+    """The articles that the names are taken of are stored without their bodies, which no snapshot has to shuffle."""
+    kept = {}
+    monkeypatch.setattr(queries, "stored", lambda df, name: kept.setdefault(name, stored(df, name)))
+    found = queries.documents_by_name(spark, "/root/testdata/sf0.001")
+    (articles,) = kept.values()
+    assert "body_hash" in articles.columns and not {"body", "title"} & set(articles.columns)
+    assert rows(found) == rows(queries.turtle_documents(spark, "/root/testdata/sf0.001"))
+
+
 def weights(df):
     return column(df.groupBy(F.spark_partition_id().alias("p")).agg(F.sum("w").alias("w")), "w")
 
