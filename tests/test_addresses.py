@@ -1,4 +1,7 @@
 import datetime
+import io
+import random
+from array import array
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -8,6 +11,7 @@ from pyspark.sql import functions as F
 from newsgraph.operators.snapshot import append_articles, latest_articles, latest_snapshot, read_articles
 from newsgraph.plans.jobs import snapshot_of
 from newsgraph.schema import ARTICLE_COLUMNS, ARTICLE_SCHEMA
+from newsgraph.sources import addresses
 from newsgraph.sources.addresses import addressed, fetch_rows
 from tests.helpers import rows
 
@@ -68,3 +72,31 @@ def test_rows_by_address_across_row_groups(spark, tmp_path):
     assert sorted(r.id for r in got.collect()) == wanted
     assert got.where("more IS NULL AND length(pad) = 50").count() == len(wanted)
     assert fetch_rows(found.limit(0), ARTICLE_SCHEMA).count() == 0
+
+
+class Watched(io.FileIO):
+    largest = 0
+
+    def read(self, size=-1):
+        got = super().read(size)
+        self.largest = max(self.largest, len(got))
+        return got
+
+
+@pytest.mark.parametrize("long, n", [(4_000, 6_000), (400_000, 60)])
+def test_a_fetch_holds_no_row_group(tmp_path, long, n):
+    """One row group of 24 MB: neither its chunks nor its rows are in memory as a whole, and rows come as they are asked for."""
+    draw = random.Random(n)
+    bodies = [draw.randbytes(long // 2).hex() for _ in range(n)]
+    path = str(tmp_path / "wide.parquet")
+    schema = pa.schema([("id", pa.int64()), ("body", pa.string()), ("absent", pa.string())])
+    data = pa.table({"id": range(n), "body": bodies})
+    pq.write_table(data, path, row_group_size=n, data_page_size=1 << 18, write_batch_size=1, use_dictionary=False)
+    asked = [i for i in range(n) if i % 5 != 3 and i < n - 7]
+    with Watched(path) as file:
+        found = list(addresses._wanted(addresses._streamed(pa.PythonFile(file, "r")), array("q", asked), schema))
+        assert file.largest < 2 << 20  # a chunk is 24 MB
+    assert [i for b in found for i in b.column("id").to_pylist()] == asked
+    assert [t for b in found for t in b.column("body").to_pylist()] == [bodies[i] for i in asked]
+    assert max(b.num_rows for b in found) <= addresses.BATCH_ROWS
+    assert max(sum(map(len, b.column("body").to_pylist())) for b in found) <= addresses.BATCH_BYTES
